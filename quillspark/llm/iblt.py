@@ -1,12 +1,13 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame operations only.
 
-A paragraph is a line, or each run of up to WORDS words of a longer one; its digest is a 64-bit hash. A sketch has
-cells of three fields: a count, the XOR of digests and the XOR of check hashes. Each digest goes to one cell in each of
-PARTS parts. Subtracting another version's sketch cell by cell leaves the paragraphs in which the versions differ;
-peeling takes a cell that holds a single digest, removes that digest from its other cells, and goes on until all cells
-are empty. If cells remain, both versions are sketched again, larger: digests are dealt into segments by hash, each with
-a sketch of its own; segments that still fail are dealt anew with other hashes and twice the room. Should the largest
-sketch fail, which is a matter of hash collisions, the digests themselves are compared.
+A paragraph is a line, or each run of up to WORDS words of a longer one; its digest is 48 bits of a hash with a 16-bit
+check of those. A cell of a sketch is the XOR of the digests that fall on it; each digest falls on one cell in each of
+several parts. XOR is its own inverse: subtracting another version's sketch cell by cell leaves the paragraphs in which
+the versions differ. Peeling takes the cells whose check holds, which have a single digest, removes those digests from
+their other cells, and goes on until all cells are empty. How many of the recovered digests are of either side follows
+from the sizes of both sets. If cells remain, both versions are sketched again, larger: digests are dealt into segments
+by hash, each with a sketch of its own; segments that still fail are dealt anew by other hashes with more room. Should
+the largest sketch fail, which is a matter of hash collisions, the digests themselves are compared.
 
 Likeness is the Jaccard similarity of the two sets of paragraphs, from the recovered digests and the sizes of the sets.
 
@@ -34,76 +35,57 @@ RUN = r"\S+(?:[^\S\n]+\S+){0,%d}" % (WORDS - 1)
 
 
 def digests(text: Column) -> Column:
-    """The distinct hashes of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda x: F.xxhash64(x)))
+    """The distinct digests of a text's paragraphs."""
+    checked = lambda x: F.shiftleft(x, 16).bitwiseOR(_check(x))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda x: let(F.shiftrightunsigned(F.xxhash64(x), 16), checked)))
+
+
+def _check(x: Column) -> Column:
+    return F.xxhash64(x).bitwiseAND(0xFFFF)
 
 
 def _places(key: Column, shape: tuple[int, int], shift: int) -> Column:
-    """A bit for each of the cells that a digest goes to."""
+    """A bit for each of the cells that a digest falls on."""
     parts, bits = shape
     out = None
     for p in range(parts):
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.shiftrightunsigned(key, shift + p * bits).bitwiseAND((1 << bits) - 1) + p * (1 << bits)).cast("int"))
+        bit = _bit(F.shiftrightunsigned(key, 16 + shift + p * bits).bitwiseAND((1 << bits) - 1).cast("int") + p * (1 << bits))
         out = bit if out is None else out.bitwiseOR(bit)
     return out
 
 
-def _entries(keys: Column, shape: tuple[int, int], shift: int) -> Column:
-    return F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(k).alias("c"), _places(k, shape, shift).alias("m")))
-
-
 def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
+def _toggle(cells: Column, entries: Column) -> Column:
+    """XORs entries (k, m) into the cells that their m names."""
+    return F.transform(cells, lambda c, i: F.aggregate(entries, c, lambda a, e: F.when(e["m"].bitwiseAND(_bit(i)) != 0, a.bitwiseXOR(e["k"])).otherwise(a)))
+
+
 def sketch(keys: Column, shape: tuple[int, int], shift: int = 0) -> Column:
-    """The cells (n, k, c) of a set of digests."""
-    cells = shape[0] << shape[1]
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    add = lambda a, e: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["c"].bitwiseXOR(e["c"]).alias("c"))
-    return let(
-        _entries(keys, shape, shift),
-        lambda es: F.transform(
-            F.sequence(F.lit(0), F.lit(cells - 1)),
-            lambda i: let(_bit(i), lambda b: F.aggregate(es, empty, lambda a, e: F.when(e["m"].bitwiseAND(b) != 0, add(a, e)).otherwise(a))),
-        ),
-    )
+    """The cells of a set of digests; of two sets one after the other: the difference of their sketches."""
+    empty = F.array_repeat(F.lit(0).cast("long"), shape[0] << shape[1])
+    return let(F.transform(keys, lambda k: F.struct(k.alias("k"), _places(k, shape, shift).alias("m"))), lambda es: _toggle(empty, es))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
-def peel(cells: Column, shape: tuple[int, int], shift: int = 0, rounds: int = 8) -> Column:
-    """struct(left, right, done): how many digests only the first or only the second version has; done if all were recovered."""
-    pure = lambda cs: F.array_distinct(
-        F.transform(
-            F.filter(cs, lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["k"]) == c["c"])),
-            lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), _places(c["k"], shape, shift).alias("m")),
-        )
-    )
-    take = lambda a, p: F.struct((a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["c"].bitwiseXOR(p["c"]).alias("c"))
-    strip = lambda cs, ps: F.transform(
-        cs, lambda c, i: let(_bit(i), lambda b: F.aggregate(ps, F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c")), lambda a, p: F.when(p["m"].bitwiseAND(b) != 0, take(a, p)).otherwise(a)))
-    )
+def peel(cells: Column, shape: tuple[int, int], shift: int = 0, rounds: int = 10) -> Column:
+    """struct(n, done): how many digests were recovered, and whether none is left."""
+    holds = lambda c: (c != 0) & (_check(F.shiftrightunsigned(c, 16)) == c.bitwiseAND(0xFFFF))
+    pure = lambda cs: F.transform(F.array_distinct(F.filter(cs, holds)), lambda k: F.struct(k.alias("k"), _places(k, shape, shift).alias("m")))
+    state = lambda cs, n, stop: F.struct(cs.alias("cells"), n.alias("n"), stop.alias("stop"))
 
     def step(s, _):
-        nxt = let(
-            pure(s["cells"]),
-            lambda ps: F.when(F.size(ps) == 0, F.struct(s["cells"].alias("cells"), s["l"].alias("l"), s["r"].alias("r"), F.lit(True).alias("stop"))).otherwise(
-                F.struct(
-                    strip(s["cells"], ps).alias("cells"),
-                    (s["l"] + F.size(F.filter(ps, lambda p: p["n"] > 0))).alias("l"),
-                    (s["r"] + F.size(F.filter(ps, lambda p: p["n"] < 0))).alias("r"),
-                    F.lit(False).alias("stop"),
-                )
-            ),
-        )
-        return F.when(s["stop"], s).otherwise(nxt)
-
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(False).alias("stop"))
-    done = lambda s: ~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.struct(s["l"].alias("left"), s["r"].alias("right"), done(s).alias("done")))
+        more = let(pure(s["cells"]), lambda ps: F.when(F.size(ps) == 0, state(s["cells"], s["n"], F.lit(True))).otherwise(state(_toggle(s["cells"], ps), s["n"] + F.size(ps), F.lit(False))))
+        return F.when(s["stop"], s).otherwise(more)
+
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(rounds)), state(cells, F.lit(0), F.lit(False)), step, lambda s: F.struct(s["n"].alias("n"), (~F.exists(s["cells"], lambda c: c != 0)).alias("done"))
+    )
 
 
 def _segments(pair: Column, room: int, salt: int) -> Column:
@@ -119,7 +101,7 @@ def _segments(pair: Column, room: int, salt: int) -> Column:
 
 
 def with_differences(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """rows with out: struct(left, right), the numbers of digests that only column a, only column b has.
+    """rows with out: the number of digests that only one of the columns a and b has.
 
     Peels the difference of the columns a_cells and b_cells first; what fails is sketched anew in segments, try by try,
     each try in a column of its own, and what fails then is compared digest by digest.
@@ -129,29 +111,27 @@ def with_differences(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
     nothing = F.array().cast("array<struct<a:array<bigint>,b:array<bigint>>>")
     rows = rows.withColumn(name("first"), peel(subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")), SMALL))
     rows = rows.withColumn(name("open"), F.when(F.col(name("first"))["done"], nothing).otherwise(F.array(pair)))
-    found = [F.when(F.col(name("first"))["done"], F.col(name("first")))]
+    sums = F.when(F.col(name("first"))["done"], F.col(name("first"))["n"]).otherwise(0)
     for k, room in enumerate(ROOM):
         shift = 3 * (k + 1)
-        got = lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), peel(subtract(sketch(p["a"], LARGE, shift), sketch(p["b"], LARGE, shift)), LARGE, shift).alias("got"))  # noqa: B023, E731
+        got = lambda p: F.struct(p.alias("p"), peel(sketch(F.concat(p["a"], p["b"]), LARGE, shift), LARGE, shift).alias("got"))  # noqa: B023, E731
         rows = rows.withColumn(name(f"segments{k}"), F.flatten(F.transform(F.col(name("open")), lambda p: _segments(p, room, k))))  # noqa: B023
         rows = rows.withColumn(name(f"tried{k}"), F.transform(F.col(name(f"segments{k}")), got))
-        rows = rows.withColumn(name("open"), F.transform(F.filter(F.col(name(f"tried{k}")), lambda x: ~x["got"]["done"]), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-        found.append(F.transform(F.filter(F.col(name(f"tried{k}")), lambda x: x["got"]["done"]), lambda x: x["got"]))
-    rest = F.transform(F.col(name("open")), lambda p: F.struct(F.size(F.array_except(p["a"], p["b"])).alias("left"), F.size(F.array_except(p["b"], p["a"])).alias("right"), F.lit(True).alias("done")))
-    total = lambda xs, side: F.aggregate(xs, F.lit(0), lambda n, x: n + x[side])
-    sums = lambda side: sum((total(xs, side) for xs in [*found[1:], rest]), F.coalesce(found[0][side], F.lit(0)))
-    rows = rows.withColumn(out, F.struct(sums("left").alias("left"), sums("right").alias("right")))
+        rows = rows.withColumn(name("open"), F.transform(F.filter(F.col(name(f"tried{k}")), lambda x: ~x["got"]["done"]), lambda x: x["p"]))
+        sums += F.aggregate(F.col(name(f"tried{k}")), F.lit(0), lambda n, x: F.when(x["got"]["done"], n + x["got"]["n"]).otherwise(n))
+    rest = F.transform(F.col(name("open")), lambda p: F.size(F.array_except(p["a"], p["b"])) + F.size(F.array_except(p["b"], p["a"])))
+    rows = rows.withColumn(out, sums + F.aggregate(rest, F.lit(0), lambda n, x: n + x))
     return rows.drop(*[c for c in rows.columns if c.startswith(f"__{out}_")])
 
 
-def likeness(n_a: Column, n_b: Column, diff: Column) -> Column:
-    union = n_b + diff["left"]
-    return F.when(union == 0, F.lit(1.0)).otherwise((n_a - diff["left"]) / union)
+def likeness(n_a: Column, n_b: Column, differ: Column) -> Column:
+    """Shared digests of all digests, from the sizes of both sets and the number that only one has."""
+    return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - differ) / (n_a + n_b + differ))
 
 
 def as_text(cells: Column) -> Column:
-    """A fingerprint: each cell's count, digests and checks in hex."""
-    return F.array_join(F.transform(cells, lambda c: F.lower(F.concat(F.hex(c["n"]), F.lit("."), F.hex(c["k"]), F.lit("."), F.hex(c["c"].bitwiseAND(0xFFFF))))), "-")
+    """A fingerprint: the cells in hex."""
+    return F.array_join(F.transform(cells, lambda c: F.lower(F.hex(c))), "-")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
