@@ -175,7 +175,7 @@ def fit(rows: DataFrame) -> Model:
                 n += len(y)
         yield pa.RecordBatch.from_arrays([pa.array([zz.tobytes()], pa.binary()), pa.array([zy.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["zz", "zy", "n"])
 
-    parts = train.repartition(FIT_PARTITIONS, "id").sortWithinPartitions("id").mapInArrow(add, "zz binary, zy binary, n long").collect()
+    parts = train.coalesce(FIT_PARTITIONS).sortWithinPartitions("id").mapInArrow(add, "zz binary, zy binary, n long").collect()
     zz = sum(np.frombuffer(p["zz"]).reshape(FEATURES + 1, -1) for p in parts)
     zy, n = sum(np.frombuffer(p["zy"]) for p in parts), sum(p["n"] for p in parts)
     model.weights = np.linalg.solve(zz + RIDGE * n / FEATURES * np.eye(FEATURES + 1), zy)
