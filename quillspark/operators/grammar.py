@@ -12,6 +12,7 @@ TEXT_RULES = [
     ("space_before_mark", "Punctuation", r"[\p{L}\p{N}] +[,.;:!?]", "No space belongs before the mark."),
     ("no_space_after_comma", "Punctuation", r"\p{L},\p{L}", "A space belongs after the comma."),
     ("repeated_mark", "Punctuation", r"[,;]{2,}", "The mark is repeated."),
+    ("shouting", "Style", r"!{2,}", "One mark is enough."),
     ("double_space", "Typographical", r"\p{L} {2,}\p{L}", "Two spaces."),
     ("teh", "Misspelling", r"\bteh\b", "the"),
 ]
