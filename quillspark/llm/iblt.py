@@ -144,7 +144,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows, top = ids.agg(F.count("*"), F.max("id")).first()
     n = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
     bounds: list[int] = []
-    if n > 1:
+    if n > 1 and top is not None:
         got = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]
         bounds = [b for b in sorted(set(got)) if b < top]
     steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else []

@@ -80,7 +80,7 @@ def capture(page_id: int | None, url: str | None, payload: bytes, response_id: i
         main = record("response", page_id, [*target, *own], http + payload)
     with_it = ("WARC-Concurrent-To", record_id("response", page_id))
     path = re.sub(r"^[a-z]+://[^/]*", "", target[0][1]) if target else ""
-    request = record("request", page_id, [*target, with_it, ("Content-Type", "application/http;msgtype=request")], f"GET {path or '/'} HTTP/1.1\r\n\r\n".encode())
+    request = record("request", page_id, [*target, with_it, ("Content-Type", "application/http;msgtype=request")], f"GET /{path.removeprefix('/')} HTTP/1.1\r\n\r\n".encode())
     metadata = record("metadata", page_id, [*target, with_it, ("Content-Type", "application/warc-fields")], f"payloadSha1Hex: {digest.hexdigest()}\r\n".encode())
     return [request, main, metadata]
 
@@ -234,7 +234,7 @@ def transactions(records_df: DataFrame) -> DataFrame:
 
 def page_number(record: F.Column) -> F.Column:
     """The page's id that a record id carries."""
-    x = F.regexp_replace(record, "[^0-9a-f]|urn:uuid:", "")
+    x = F.regexp_replace(record, "urn:uuid:|[^0-9a-f]", "")
     high, low = F.conv(F.substring(x, -16, 8), 16, 10).cast("long"), F.conv(F.substring(x, -8, 8), 16, 10).cast("long")
     null = F.substring(x, 13, 1).isin(*"89abcdef")
     return F.when(~null, F.shiftleft(high, 32).bitwiseOR(low))
