@@ -24,7 +24,7 @@ def read_affixes(text: str) -> list[tuple[str, str, bool, str, str, str]]:
 
 def read_replacements(text: str) -> list[tuple[str, str]]:
     """The REP pairs of an .aff file; _ stands for a space."""
-    return [(f[1], f[2].replace("_", " ")) for f in map(str.split, text.splitlines()) if len(f) == 3 and f[0] == "REP"]
+    return [(f[1].replace("_", " "), f[2].replace("_", " ")) for f in map(str.split, text.splitlines()) if len(f) == 3 and f[0] == "REP"]
 
 
 def read_words(lines: DataFrame, line_col: str = "value") -> DataFrame:

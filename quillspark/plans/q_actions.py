@@ -231,4 +231,4 @@ def check_action(spark, sf_dir):
 def events_by_window(spark, sf_dir):
     from ..streaming import incremental
 
-    return incremental.counts_by_window(spark.read.parquet(f"{sf_dir}/events.parquet")).select("window_start", "event_type", "n")
+    return incremental.counts_by_window(spark.read.parquet(f"{sf_dir}/events.parquet")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,17 +22,21 @@ def kind_of_path(path: Column) -> Column:
 
 
 def from_files(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
-    """Whole files as origins, each once, read by Spark; others than Rust, Markdown and manifests are left out."""
-    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    rows = reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """Whole files as origins, each once, read by Spark; others than Rust, Markdown and manifests are left out. Spark plans no split for an empty file, so those have no row."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    rows = reader.load(paths).select("path", F.col("content").cast("string").alias("content"))
     rows = rows.withColumn("kind", kind_of_path(F.col("path"))).filter("kind is not null")
     return rows.select(F.col("path").alias("origin_id"), "kind", "path", "content").dropDuplicates(["origin_id"])
 
 
 def from_project(spark: SparkSession, found: Found) -> DataFrame:
     """The files that project.extract found, and descriptions with their text."""
-    files = [*found.rust, *found.markdown]
-    rows = from_files(spark, files) if files else spark.createDataFrame([], "origin_id string, kind string, path string, content string")
+    schema = "origin_id string, kind string, path string, content string"
+    named = [("rust", p) for p in found.rust] + [("cmark", p) for p in found.markdown]
+    files = [p for _, p in named if os.path.getsize(p)]
+    rows = from_files(spark, files) if files else spark.createDataFrame([], schema)
+    if blank := [(p, k, p, "") for k, p in named if not os.path.getsize(p)]:
+        rows = rows.unionByName(spark.createDataFrame(blank, schema))
     if found.descriptions:
         told = spark.createDataFrame([(f"{p}#description", "description", p, d) for p, d in found.descriptions], rows.schema)
         rows = rows.unionByName(told)

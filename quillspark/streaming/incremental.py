@@ -16,5 +16,5 @@ def unknown_words(stream: DataFrame, forms: DataFrame, id_col: str = "doc_id", t
 
 def counts_by_window(events: DataFrame, ts: str = "ts", key: str = "event_type", size: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """window_start, key, n, total; events later than late are dropped and their state with them."""
-    grouped = events.withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    grouped = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, size).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(F.col("w.start").alias("window_start"), key, "n", "total")
