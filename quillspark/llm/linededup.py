@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower
+from .common import SPACES, ascii_lower, cut
 
 LAST = (1 << 63) - 1
 
@@ -46,7 +46,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("__id"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(carry)]
     ).withColumn("version", F.xxhash64("text"))
     lines = _lines(base, min_chars)
-    gone = lines.join(_repeated(lines, min_docs), ["h1", "h2"]).filter("id <> first")
+    # the repeated keys are cut off as a table: then a key of very many lines is one that the join may split, or a small table that it broadcasts
+    gone = lines.join(cut(_repeated(lines, min_docs), "line-keys"), ["h1", "h2"]).filter("id <> first")
     # by document and text: rows that repeat both share one list
     gone = gone.groupBy("id", "version").agg(F.collect_set("pos").alias("gone"))
     out = base.join(gone, ["id", "version"], "left")
