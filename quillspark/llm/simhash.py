@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -116,8 +116,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         large = cut(large.filter("a <> b").distinct(), "star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = cut(small.filter("a <> b").distinct(), "star")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        seen = Observation()
+        small = small.filter("a <> b").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+        edges = cut(small, "star")
+        state = seen.get["n"], seen.get["sum"]
         if state == before:
             break
         before = state
