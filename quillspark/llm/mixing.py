@@ -5,6 +5,9 @@ what is left of the target, the documents whose hash lies below a threshold. The
 sizes are summed by source and the first 12 bits of the hash; the bucket where the running sum crosses the budget is
 cut by the next 12 bits, and that bucket once more. Each level reads only documents of boundary buckets.
 
+Thresholds are nested: what the first leaves of the budget, less than the document at the boundary, is filled up from
+the documents beyond it that are no larger than that rest, by a second threshold, and so on ROUNDS times.
+
 Defined cases: null text has size 0; a null source is a source of its own and comes last; rows with the same id are
 taken together; a source of size 0 has target 0 and its documents are taken once if the source is empty of words; an
 empty table gives an empty result. Other columns are not read.
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LEVELS, BITS = 3, 12
+ROUNDS = 4
 MOST = 3
+_ALL = 1 << 60
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -62,33 +67,42 @@ def _bucket(level: int) -> F.Column:
     return F.shiftright(F.col("h"), 60 - BITS * (level + 1)).bitwiseAND((1 << BITS) - 1).cast("int")
 
 
-def thresholds(sizes: DataFrame, goal: DataFrame) -> DataFrame:
-    """goal with passes (whole passes over a source) and edge: documents with (h >> 24) < edge are taken once more.
+def _crossing(sizes: DataFrame, state: DataFrame) -> DataFrame:
+    """source, edge, left: the first 36-bit hash value at which the running size of a source's candidates exceeds left, and what is left before it.
 
-    Words below the edge come as near to the rest of the target as a cut between 36-bit hash values can.
+    state: source, left, lowest (of the hash values that are candidates), largest (size). Sources whose candidates all fit have no row.
     """
-    per = goal.select("*", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(1).cast("long").alias("passes"))
-    per = per.withColumn("budget", F.when(F.col("source_size") > 0, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0))
-    edge = per.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("prefix"))
+    edge = state.select(F.col("source").alias("s"), "left", "lowest", "largest", F.lit(0).cast("long").alias("prefix"))
     for level in range(LEVELS):
-        inside = sizes.join(edge.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        inside = sizes.join(edge, F.col("source").eqNullSafe(F.col("s"))).filter((F.shiftright("h", 60 - LEVELS * BITS) >= F.col("lowest")) & (F.col("size") <= F.col("largest")))
         if level:
-            inside = inside.filter(F.shiftright(F.col("h"), 60 - BITS * level) == F.col("prefix"))
-        cells = inside.groupBy("source", "left", "prefix", _bucket(level).alias("b")).agg(F.sum("size").alias("n"))
-        running = Window.partitionBy("source").orderBy("b")
-        cells = cells.withColumn("before", F.sum("n").over(running) - F.col("n"))
-        if level < LEVELS - 1:
-            # the first bucket whose end reaches beyond what is left; none: all of it fits
-            edge = cells.filter(F.col("before") + F.col("n") > F.col("left")).groupBy("source").agg(F.min(F.struct("b", "before", "left", "prefix")).alias("x"))
-            edge = edge.select("source", (F.col("x.left") - F.col("x.before")).alias("left"), (F.shiftleft(F.col("x.prefix"), BITS) + F.col("x.b")).alias("prefix"))
-        else:
-            over = F.col("before") + F.col("n") - F.col("left")
-            edge = cells.filter(over > 0).groupBy("source").agg(F.min(F.struct("b", "before", "n", "left", "prefix")).alias("x"))
-            nearer = (F.col("x.before") + F.col("x.n") - F.col("x.left") < F.col("x.left") - F.col("x.before")).cast("long")
-            edge = edge.select("source", (F.shiftleft(F.col("x.prefix"), BITS) + F.col("x.b") + nearer).alias("edge"))
-        edge = cut(edge, "mix-edge")
-    edge = edge.withColumnRenamed("source", "s")
-    return per.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "passes", "edge", "budget")
+            inside = inside.filter(F.shiftright("h", 60 - BITS * level) == F.col("prefix"))
+        cells = inside.groupBy("source", "left", "lowest", "largest", "prefix", _bucket(level).alias("b")).agg(F.sum("size").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("source").orderBy("b")) - F.col("n")
+        over = cells.withColumn("before", before).filter(F.col("before") + F.col("n") > F.col("left"))
+        found = over.groupBy("source").agg(F.min(F.struct("b", "before", "left", "lowest", "largest", "prefix")).alias("x"))
+        edge = cut(found.select(F.col("source").alias("s"), (F.col("x.left") - F.col("x.before")).alias("left"), "x.lowest", "x.largest", (F.shiftleft("x.prefix", BITS) + F.col("x.b")).alias("prefix")), "mix-edge")
+    return edge.select(F.col("s").alias("source"), F.col("prefix").alias("edge"), "left")
+
+
+def thresholds(sizes: DataFrame, goal: DataFrame) -> DataFrame:
+    """goal with passes (whole passes over a source) and cuts: array of (lowest, edge, largest) by round.
+
+    A document is taken once more if a round has lowest <= (h >> 24) < edge and its size is at most largest.
+    """
+    some = F.col("source_size") > 0
+    per = goal.withColumn("passes", F.when(some, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST))).otherwise(1).cast("long"))
+    # sources without words take part in no round; neither do those at their limit
+    open_ = some & (F.col("passes") < MOST)
+    state = per.filter(open_).select("source", (F.col("target") - F.col("passes") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("lowest"), F.lit(_ALL).alias("largest"))
+    state, done = cut(state, "mix-state"), None
+    for _ in range(ROUNDS):
+        edge = _crossing(sizes, state).select(F.col("source").alias("s"), "edge", F.col("left").alias("rest"))
+        got = cut(state.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "lowest", F.coalesce("edge", F.lit(_ALL)).alias("edge"), "largest", "rest"), "mix-round")
+        done = got if done is None else done.union(got)
+        state = got.filter("rest >= 1").select("source", F.col("rest").alias("left"), F.col("edge").alias("lowest"), F.floor("rest").alias("largest"))
+    cuts = done.groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("lowest", "edge", "largest")).alias("cuts"))
+    return per.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "passes", "cuts")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -96,8 +110,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), id_col: str = "do
     sizes = cut(sized(docs, id_col, text_col, source_col), "mix-sizes")
     per = cut(thresholds(sizes, cut(targets(sizes, weights), "mix-goal")), "mix-per").withColumnRenamed("source", "s")
     out = sizes.join(per, F.col("source").eqNullSafe(F.col("s")))
-    # no edge: nothing is left of the budget, or (rounding) all of it fits
-    more = F.when(F.col("edge").isNotNull(), F.shiftright(F.col("h"), 60 - LEVELS * BITS) < F.col("edge")).otherwise(F.col("budget") >= F.greatest(F.col("source_size"), F.lit(1)))
+    at = F.shiftright("h", 60 - LEVELS * BITS)
+    more = F.coalesce(F.exists("cuts", lambda c: (at >= c["lowest"]) & (at < c["edge"]) & (F.col("size") <= c["largest"])), F.lit(False))
     out = out.withColumn("copies", F.col("passes") + more.cast("long"))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -109,6 +123,17 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> Da
     return out.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
 
 
+_ROUND = """
+c{k} AS (
+  SELECT s.source, h, sum(size) AS n, any_value("left") AS "left" FROM sized s JOIN st{k} p ON s.source IS NOT DISTINCT FROM p.source
+  WHERE h >= lowest AND size <= largest GROUP BY s.source, h),
+u{k} AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM c{k}),
+e{k} AS (SELECT source, min(h) FILTER (WHERE upto > "left") AS edge, min(upto - n) FILTER (WHERE upto > "left") AS before FROM u{k} GROUP BY source),
+r{k} AS (
+  SELECT p.source, lowest, coalesce(edge, 1::BIGINT << 60) AS edge, largest, "left" - before AS rest
+  FROM st{k} p LEFT JOIN e{k} e ON e.source IS NOT DISTINCT FROM p.source),
+st{n} AS (SELECT source, rest AS "left", edge AS lowest, floor(rest)::BIGINT AS largest FROM r{k} WHERE rest >= 1),"""
+
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -126,14 +151,14 @@ goal AS (
   SELECT source, source_size, least(3 * source_size, w * max(level) FILTER (WHERE level * w <= 3 * source_size) OVER ()) AS target FROM lvl),
 per AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 1 END AS passes FROM goal),
-cells AS (
-  SELECT s.source, h, sum(size) AS n, any_value(target - passes * source_size) AS budget
-  FROM sized s JOIN per p ON s.source IS NOT DISTINCT FROM p.source GROUP BY s.source, h),
-cum AS (
-  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM cells),
-more AS (
-  SELECT source, h, upto <= budget OR (upto - n <= budget AND upto - budget < budget - (upto - n)) AS again FROM cum)
-SELECT doc_id, size, p.source_size::BIGINT AS source_size, target, (size * (passes + again::INT))::BIGINT AS taken
+st0 AS (
+  SELECT source, target - passes * source_size AS "left", 0::BIGINT AS lowest, 1::BIGINT << 60 AS largest FROM per WHERE source_size > 0 AND passes < 3),""" + "".join(
+    _ROUND.format(k=k, n=k + 1) for k in range(ROUNDS)
+) + f"""
+cuts AS ({" UNION ALL ".join(f"SELECT source, lowest, edge, largest FROM r{k}" for k in range(ROUNDS))}),
+again AS (
+  SELECT DISTINCT s.source, s.h, s.size FROM sized s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source AND s.h >= c.lowest AND s.h < c.edge AND s.size <= c.largest)
+SELECT doc_id, s.size, p.source_size::BIGINT AS source_size, target, (s.size * (passes + CASE WHEN a.h IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
 FROM sized s JOIN per p ON s.source IS NOT DISTINCT FROM p.source
-JOIN more m ON m.source IS NOT DISTINCT FROM s.source AND m.h = s.h
+LEFT JOIN again a ON a.source IS NOT DISTINCT FROM s.source AND a.h = s.h AND a.size = s.size
 """

@@ -101,14 +101,20 @@ def _mix(docs, source):
     for s in names:
         own = sorted((int(hashlib.md5(str(k).encode()).hexdigest()[:9], 16), k) for k in docs if source[k] == s)
         passes = min(int(goal[s] // total[s]), 3) if total[s] else 1
-        rest, done, more = goal[s] - passes * total[s], 0, total[s] > 0
-        for _, k in own:
-            if more and done + size[k] > rest + 1e-9:
-                more, again = False, done + size[k] - rest < rest - done
-            else:
-                again = more
-            done += size[k]
-            copies[k] = passes + again
+        copies |= dict.fromkeys((k for _, k in own), passes)
+        rest, largest, at = (goal[s] - passes * total[s], float("inf"), 0) if total[s] and passes < 3 else (0, 0, len(own))
+        for _ in range(4):  # each round goes on from where the one before stopped, with documents that the rest has room for
+            while at < len(own):
+                k = own[at][1]
+                if size[k] <= largest:
+                    if size[k] > rest:
+                        break
+                    copies[k] += 1
+                    rest -= size[k]
+                at += 1
+            largest = int(rest)
+            if rest < 1:
+                break
     return copies
 
 
