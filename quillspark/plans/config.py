@@ -7,6 +7,8 @@ import re
 import tomllib
 from dataclasses import dataclass, field, fields
 
+from ..functions.words import SPLIT_CHARS
+
 CHECKERS = {"hunspell": "hunspell", "zet": "zspell", "zspell": "zspell", "spellbook": "spellbook", "book": "spellbook", "nlprules": "nlprules", "reflow": "reflow"}
 LANGUAGE = re.compile(r"[a-z]{2}_[A-Z]{2}")
 
@@ -27,7 +29,7 @@ class Spelling:
     skip_os_lookups: bool = False
     use_builtin: bool = True
     extra_dictionaries: list[str] = field(default_factory=list)
-    tokenization_splitchars: str = '",;:.!?#(){}[]|/_-‒\'`&@§¶…'
+    tokenization_splitchars: str = SPLIT_CHARS
     quirks: Quirks = field(default_factory=Quirks)
 
 

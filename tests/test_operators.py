@@ -23,7 +23,7 @@ def span(l0, c0, l1, c1):
     return positions.span(*map(F.lit, (l0, c0, l1, c1)))
 
 
-DELIMITERS = [("a\nb\nc", "\n"), ("a\r\nb\r\n", "\r\n"), ("a\rb\rc", "\r"), ("a\n\rb\n\r", "\n\r"), ("plain", None), ("", None), ("a\r\nb\nc\n", "\n"), ("a\rb\nc", "\r"), ("a\nb\rc", "\n")]
+DELIMITERS = [("a\nb\nc", "\n"), ("a\rb\rc", "\r"), ("a\r\nb\r\n", "\r\n"), ("a\n\rb\n\r", "\n\r"), ("plain", None), ("", None), ("a\r\nb\nc\n", "\n"), ("a\rb\nc", "\r"), ("a\nb\rc", "\n")]
 
 
 @pytest.mark.parametrize(("text", "want"), DELIMITERS)
@@ -253,7 +253,7 @@ def test_settings(tmp_path):
 @pytest.fixture
 def tree(tmp_path):
     files = {
-        "Cargo.toml": '[package]\nname = "t"\nreadme = "README.md"\ndescription = "What it\'s for"\n[workspace]\nmembers = ["parts/*"]\n[[bin]]\nname = "b"\npath = "src/main.rs"\n', "README.md": "# Read\n", "src/main.rs": "mod one;\nmod gone;\nfn main() {}\n", "src/lib.rs": "mod two { mod three; }\n//! lib\n",
+        "Cargo.toml": '[package]\nname = "t"\nreadme = "README.md"\ndescription = "What it\'s for"\n[workspace]\nmembers = ["parts/*"]\n[[bin]]\nname = "b"\npath = "src/main.rs"\n', "src/main.rs": "mod one;\nmod gone;\nfn main() {}\n", "README.md": "# Read\n", "src/lib.rs": "mod two { mod three; }\n//! lib\n",
         "src/one.rs": "mod deep;\n", "src/one/deep.rs": "", "src/two.rs": "", "src/three.rs": "", "src/loose.rs": "", "parts/p/Cargo.toml": '[package]\nname = "p"\n', "parts/p/src/lib.rs": "", "parts/p/README.md": "",
         "plain/x.rs": "", "plain/y.md": "", "plain/z.txt": "", "plain/sub/w.rs": "", "plain/ignored.rs": "", "plain/.gitignore": "ignored.rs\n",
     }
@@ -266,7 +266,7 @@ def tree(tmp_path):
 def test_projects(spark, tree):
     names = lambda xs: sorted(str(x).removeprefix(f"{tree}/") for x in xs)
     found = project.extract([str(tree)], descriptions=True)
-    assert names(found.rust) == ["parts/p/src/lib.rs", "src/lib.rs", "src/main.rs", "src/one.rs", "src/one/deep.rs", "src/three.rs"]
+    assert names(found.rust) == sorted(f"{n}.rs" for n in ("parts/p/src/lib", "src/three", "src/main", "src/one/deep", "src/lib", "src/one"))
     assert names(found.markdown) == ["README.md"] and found.descriptions[0][1] == "What it's for"
     assert project.extract([str(tree)], skip_readme=True).markdown == []
     flat, deep = project.extract([f"{tree}/plain"]), project.extract([f"{tree}/plain"], recurse=True)
