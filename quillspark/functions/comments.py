@@ -32,6 +32,14 @@ def suffix(tag: Column, hashes: Column) -> Column:
     return F.when(tag == "MacroDocEqStr", raw).when(tag.isin(*_CLOSED), "*/").otherwise("")
 
 
+def marks(tag: str, doc_prefix: str | None, hashes: int) -> tuple[str, str]:
+    """prefix and suffix of one literal, as plain text."""
+    if tag == "MacroDocEqStr":
+        raw = "#" * max(hashes - 1, 0)
+        return f'{doc_prefix or ""}{"r" if hashes else ""}{raw}"', f'"{raw}]'
+    return _PREFIX.get(tag, ""), "*/" if tag in _CLOSED else ""
+
+
 def prefix_len(tag: Column, doc_prefix: Column, hashes: Column) -> Column:
     """Bytes before the text."""
     return F.when(tag == "MacroDocEqStr", F.octet_length(doc_prefix) + hashes + 1).otherwise(F.octet_length(prefix(tag, doc_prefix, hashes))).cast("int")

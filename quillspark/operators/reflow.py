@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import comments
 from . import cmark
 
 WIDTH = 80
@@ -63,23 +64,33 @@ def fill(words: list[str], width: int, indents: list[int] | None = None) -> list
     return [*lines, line] if line else lines
 
 
-def reflow_text(text: str, width: int, prefix: str = "", suffix: str = "", indents: list[int] | None = None, delimiter: str = "\n") -> list[tuple[int, int, str]]:
-    """(start, end, new text) of each paragraph that changes; lines after the first carry indentation, prefix and suffix."""
+def reflow_text(text: str, width: int, prefix: str = "", suffix: str = "", indents: list[int] | None = None, delimiter: str = "\n", offsets=None) -> list[tuple[int, int, str]]:
+    """(start, end, new text) of each paragraph that changes; lines after the first carry indentation, prefix and suffix.
+
+    indents: blanks before the prefix, line by line, the last one for all that follow. offsets(start, end), if given,
+    tells for a paragraph the columns at which its lines' text begins, from which both follow.
+    """
+    gap = " " if prefix and prefix[-1] in "/!" else ""
     out = []
     for s, e, unbreakable in cmark.paragraphs(text):
         words = pieces(text[s:e], [(a - s, b - s) for a, b in unbreakable])
-        offsets = [n + len(prefix) + (1 if prefix else 0) for n in indents or [0]]
-        lines = fill(words, width - len(suffix), offsets)
-        gap = " " * (indents or [0])[-1] + prefix + (" " if prefix and prefix[-1] in "/!" else "")
-        new = (suffix + delimiter + gap).join(lines)
-        old = text[s:e]
-        if new != (suffix + delimiter + gap).join(x.strip() if k else x for k, x in enumerate(old.split("\n"))) and new != old:
+        if offsets:
+            columns = offsets(s, e)
+            blanks = [max(0, n - len(prefix) - len(gap)) for n in columns]
+        else:
+            blanks = indents or [0]
+            columns = [n + len(prefix) + (1 if prefix else 0) for n in blanks]
+        lines = fill(words, width, columns)
+        new = lines[0] if lines else ""
+        for k, line in enumerate(lines[1:]):
+            new += suffix + delimiter + " " * blanks[min(k, len(blanks) - 1)] + prefix + gap + line
+        if lines != [x.strip() if k else x.rstrip() for k, x in enumerate(text[s:e].split("\n"))]:
             out.append((s, e, new))
     return out
 
 
 def reflow(chunks: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ("origin_id", "chunk_idx"), text_col: str = "text") -> DataFrame:
-    """keys, start, end, replacement for each paragraph that wrapping changes."""
+    """keys, start, end, replacement for each paragraph of plain Markdown that wrapping changes."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.select(*keys).schema.fields) + ", start int, end int, replacement string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,3 +105,53 @@ def reflow(chunks: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ("orig
             yield pa.RecordBatch.from_arrays(columns, names=[*keys, "start", "end", "replacement"])
 
     return chunks.select(*keys, text_col).mapInArrow(run, schema)
+
+
+class Placed:
+    """A chunk's text with the fragments that map it to its origin."""
+
+    def __init__(self, text: str, mapping: list[dict]):
+        self.text, self.fragments = text, [(m["range"]["start"], m["range"]["end"], m["span"]["start"]["line"], m["span"]["start"]["col"]) for m in mapping]
+
+    def place(self, at: int) -> tuple[int, int]:
+        """Line and column of a place in the text."""
+        start, _, line, col = next((f for f in self.fragments if f[0] <= at < f[1]), self.fragments[-1])
+        inside = self.text[start:at]
+        return (line + inside.count("\n"), len(inside) - inside.rfind("\n") - 1) if "\n" in inside else (line, col + len(inside))
+
+    def columns(self, start: int, end: int, blank: int) -> list[int]:
+        """For each line of a range, the column at which its fragment's text begins; blank: columns that Markdown takes off all but the first."""
+        out: list[int] = []
+        for a, b, _, col in self.fragments:
+            s, e = max(a, start), min(b, end)
+            if s < e:
+                own = col + s - a if "\n" not in self.text[a:s] else s - self.text.rfind("\n", a, s) - 1
+                out += [max(own, blank) if not out else own + blank] * (self.text.count("\n", s, e) + 1)
+        return out or [0]
+
+
+def reflow_chunks(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Paragraphs of chunks (schema.CHUNKS and delimiter) that wrapping changes, as they stand in their origin.
+
+    origin_id, chunk_idx, start, end (in the chunk's text), start_line, start_col, end_line, end_col, replacement: lines
+    of a comment after its first carry their indentation and the comment's marks.
+    """
+    schema = "origin_id string, chunk_idx int, start int, end int, start_line int, start_col int, end_line int, end_col int, replacement string"
+    kinds = [pa.int32()] * 6 + [pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, at = [], []
+            for k, (text, v, mapping, delimiter) in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)):
+                placed = Placed(text, mapping)
+                blank = 1 if v["tag"] in ("TripleSlash", "DoubleSlashEM") else 0
+                prefix, suffix = comments.marks(v["tag"], v["doc_prefix"], v["hashes"])
+                for s, e, new in reflow_text(text, width, prefix, suffix, delimiter=delimiter or "\n", offsets=lambda s, e: placed.columns(s, e, blank)):  # noqa: B023
+                    rows.append((s, e, *placed.place(s), *placed.place(e - 1), new))
+                    at.append(k)
+            columns = [b.column(k).take(pa.array(at, pa.int64())) for k in range(2)]
+            columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    rows = chunks.filter(~F.col("variant.tag").isin(*SKIPPED) & (F.size("source_mapping") > 0))
+    return rows.select("origin_id", F.col("chunk_idx").cast("int"), "text", "variant", "source_mapping", "delimiter").mapInArrow(run, schema)

@@ -23,7 +23,7 @@ def lex(src: str) -> Iterator[tuple[str, int, int]]:
         c = src[k]
         if src.startswith("//", k):
             e = src.find("\n", k)
-            e = n if e < 0 else e
+            e = n if e < 0 else e - 1 if src[e - 1] == "\r" else e
             yield "line", k, e
         elif src.startswith("/*", k):
             depth, e = 1, k + 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import positions
 from ..functions import words as W
 from ..operators import chunks as C
-from ..operators import cmark, findings, grammar, patch, reflow, rustlex, spell, tokens
+from ..operators import cmark, findings, grammar, patch, reflow, report, rustlex, spell, tokens
 from .config import Config
 
 
@@ -22,6 +23,8 @@ class Context:
     pairs: DataFrame | None = None
     rules: DataFrame | None = None
     config: Config = field(default_factory=Config)
+    #: More checkers by detector's name: (chunks, context) -> KEYS, start, end, word, replacements, detector, description.
+    more: dict[str, Callable[[DataFrame, Context], DataFrame]] = field(default_factory=dict)
 
 
 KEYS = ("origin_id", "chunk_idx")
@@ -84,10 +87,20 @@ def grammar_findings(chunk_rows: DataFrame, ctx: Context) -> DataFrame:
     return hits.select(*KEYS, F.col("r.start").alias("start"), F.col("r.end").alias("end"), "word", F.array().cast("array<string>").alias("replacements"), F.lit("nlprules").alias("detector"), F.col("message").alias("description"))
 
 
+def dummy(chunk_rows: DataFrame, ctx: Context) -> DataFrame:
+    """A checker that finds fault with every token, to try out what comes after checkers."""
+    plain = cmark.plain_chunks(chunk_rows, KEYS)
+    toks = tokens.tokenize_chunks(plain, KEYS, "plain").join(plain.select(*KEYS, "plain_map"), list(KEYS))
+    rows = toks.withColumn("r", cmark.to_source(F.col("plain_map"), F.col("start"), F.col("end"))).filter("r is not null")
+    made = F.array(F.concat(F.lit("replacement_"), F.col("tok_idx").cast("string")))
+    return rows.select(*KEYS, F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("token").alias("word"), made.alias("replacements"), F.lit("dummy").alias("detector"), F.lit(None).cast("string").alias("description"))
+
+
 def check(origins: DataFrame, ctx: Context) -> DataFrame:
     """Findings of all enabled checkers with their places, in order and without overlaps."""
     chunk_rows = chunks(origins, ctx.config.dev_comments)
     found = [grammar_findings(chunk_rows, ctx) if n == "nlprules" else spelling(chunk_rows, ctx, n) for n in ctx.config.enabled() if n != "reflow"]
+    found += [checker(chunk_rows, ctx) for checker in ctx.more.values()]
     if not found:
         raise ValueError("no checker is enabled")
     rows = findings.without_overlaps(placed(findings.union(*found), chunk_rows))
@@ -95,23 +108,45 @@ def check(origins: DataFrame, ctx: Context) -> DataFrame:
 
 
 def reflowed(origins: DataFrame, config: Config | None = None) -> DataFrame:
-    """KEYS, start, end, replacement: the paragraphs that wrapping to the width changes. Block comments are left alone."""
+    """KEYS, start, end, start_line, start_col, end_line, end_col, replacement: the paragraphs that wrapping to the width changes. Block comments are left alone."""
     config = config or Config()
     width = config.reflow.max_line_length if config.reflow else reflow.WIDTH
-    rows = chunks(origins, config.dev_comments).filter(~F.col("variant.tag").isin(*reflow.SKIPPED))
-    return reflow.reflow(rows, width)
+    endings = origins.select("origin_id", positions.dominant_delimiter(F.col("content")).alias("delimiter")).dropDuplicates(["origin_id"])
+    return reflow.reflow_chunks(chunks(origins, config.dev_comments).join(endings, "origin_id", "left"), width)
 
 
-def fix(origins: DataFrame, found: DataFrame, decisions: DataFrame) -> DataFrame:
-    """origin_id, content: texts with what the decisions ask for. found: check() with a finding_id."""
-    order = ["origin_id", *findings.PLACE, "finding_id"]
-    decided = patch.decide(found, decisions, order, "origin_id")
+def patched(origins: DataFrame, found: DataFrame) -> DataFrame:
+    """origin_id, content: texts with the places of found (PLACE, content) replaced."""
     lines = positions.line_table(origins, "origin_id", "content").select("origin_id", F.col("line_no").alias("start_line"), "start_off")
-    at = decided.join(lines, ["origin_id", "start_line"]).withColumn("s", F.col("start_off") + F.col("start_col")).drop("start_off")
+    at = found.join(lines, ["origin_id", "start_line"]).withColumn("s", F.col("start_off") + F.col("start_col")).drop("start_off")
     ends = lines.withColumnRenamed("start_line", "end_line")
     at = at.join(ends, ["origin_id", "end_line"]).withColumn("e", F.col("start_off") + F.col("end_col") + 1)
-    patches = at.select("origin_id", F.col("s").alias("start"), F.col("e").alias("end"), "content")
-    return patch.apply(origins, patches, "origin_id", "content")
+    return patch.apply(origins, at.select("origin_id", F.col("s").alias("start"), F.col("e").alias("end"), "content"), "origin_id", "content")
+
+
+def fix(origins: DataFrame, found: DataFrame, decisions: DataFrame) -> DataFrame:
+    """origin_id, content: texts with what the decisions ask for. found: check() with a finding_id."""
+    return patched(origins, patch.decide(found, decisions, ["origin_id", *findings.PLACE, "finding_id"], "origin_id"))
+
+
+def rewrapped(origins: DataFrame, config: Config | None = None) -> DataFrame:
+    """origin_id, content: texts with all their paragraphs wrapped."""
+    return patched(origins, reflowed(origins, config).withColumnRenamed("replacement", "content"))
+
+
+def identified(found: DataFrame) -> DataFrame:
+    """found with finding_id: origin, place and detector, the same on each run."""
+    return found.withColumn("finding_id", F.concat_ws(":", "origin_id", *findings.PLACE, "detector"))
+
+
+def blocks(origins: DataFrame, found: DataFrame, width: int = 80) -> DataFrame:
+    """origin_id, the place and block (the text that shows it) of each finding; of one over several lines, its first is shown."""
+    lines = positions.line_table(origins, "origin_id", "content").select("origin_id", F.col("line_no").alias("start_line"), "line")
+    names = origins.select("origin_id", F.coalesce("path", "origin_id").alias("path")).dropDuplicates(["origin_id"])
+    rows = found.join(lines, ["origin_id", "start_line"]).join(names, "origin_id")
+    end = F.when(F.col("end_line") == F.col("start_line"), F.col("end_col") + 1).otherwise(F.char_length("line"))
+    block = report.render(F.col("detector"), F.col("path"), F.col("start_line"), F.col("line"), F.col("start_col"), end, F.col("replacements"), F.col("description"), width)
+    return rows.select("origin_id", *findings.PLACE, "detector", "replacements", block.alias("block"))
 
 
 def list_origins(origins: DataFrame) -> DataFrame:

@@ -140,6 +140,15 @@ def write(config: Config, path: str) -> None:
         f.write(to_toml(config))
 
 
+def full() -> Config:
+    """Every section with its defaults."""
+    return Config(hunspell=Spelling(), zspell=Spelling(), spellbook=Spelling(), nlprules=Grammar(), reflow=Reflow())
+
+
+def user_path(home: str | None = None) -> str:
+    return os.path.join(home or os.path.expanduser("~"), ".config", "quillspark", "config.toml")
+
+
 def find(explicit: str | None = None, target: str | None = None, cwd: str = ".", home: str | None = None) -> Config:
     """The first settings there are: named file, metadata of the target's and the working folder's manifest, .config of the working folder, of the user; else defaults."""
     if explicit:
@@ -153,7 +162,7 @@ def find(explicit: str | None = None, target: str | None = None, cwd: str = ".",
             meta = (told.get("package") or told.get("workspace") or {}).get("metadata", {}).get("spellcheck", {})
             if "config" in meta:
                 return find(os.path.join(folder, meta["config"]))
-    for path in (os.path.join(cwd, ".config", "spellcheck.toml"), os.path.join(home or os.path.expanduser("~"), ".config", "quillspark", "config.toml")):
+    for path in (os.path.join(cwd, ".config", "spellcheck.toml"), user_path(home)):
         if os.path.isfile(path):
             return find(path)
     return Config()
