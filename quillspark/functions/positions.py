@@ -12,6 +12,31 @@ def sub_chars(text: Column, start: Column, end: Column) -> Column:
     return F.when(inside, F.substring(text, start + 1, end - start)).otherwise("")
 
 
+def _code_points(text: Column, n_bytes: Column) -> Column:
+    """How many code points begin in the first n_bytes of a text: bytes that are no continuation of one."""
+    firsts = F.regexp_replace(F.hex(F.substring(text.cast("binary"), F.lit(1), n_bytes)), "(.).", "$1")
+    return F.char_length(F.translate(firsts, "89AB", ""))
+
+
+def byte_range_to_chars(text: Column, start: Column, end: Column) -> Column:
+    """A range of bytes as one of code points: those it cuts are inside; null where it begins outside, an end beyond is the text's."""
+    n = F.octet_length(text)
+    return F.when((start >= 0) & (start < n), F.struct((_code_points(text, start + 1) - 1).alias("start"), _code_points(text, F.least(end, n)).alias("end")))
+
+
+def shifted(r: Column, n: Column) -> Column:
+    """A range n code points on; it does not go below 0."""
+    move = lambda x: F.greatest(x + n, F.lit(0)).cast("int")
+    return F.struct(move(r["start"]).alias("start"), move(r["end"]).alias("end"))
+
+
+def place_of(text: Column, offset: Column) -> Column:
+    """Line and column of an offset in a text; null outside."""
+    before = F.substring(text, F.lit(1), offset)
+    line = F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+    return F.when((offset >= 0) & (offset < F.char_length(text)), pos(line, F.char_length(F.substring_index(before, "\n", -1))))
+
+
 def pos(line: Column, col: Column) -> Column:
     return F.struct(line.cast("int").alias("line"), col.cast("int").alias("col"))
 
@@ -93,6 +118,11 @@ def find_spans(fragments: DataFrame, start: Column, end: Column) -> DataFrame:
     return clipped.withColumn("c0", c0).withColumn("c1", F.col("c0") + F.col("e") - F.col("s") - 1)
 
 
+def find_covered_spans(fragments: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The fragments (f_start, f_end) that a range touches, whole; one that begins where the range ends counts, an empty one does not."""
+    return fragments.filter((F.col("f_end") > start) & (F.col("f_start") <= end) & (F.col("f_start") < F.col("f_end")))
+
+
 def to_content_range(fragments: DataFrame, line: Column, c0: Column, c1: Column) -> DataFrame:
     """The range of a span on one line through the fragment that covers the line: s, e; without one, no row."""
     inside = fragments.filter((F.col("line") == line) & (c0 >= F.col("col")) & (c1 < F.col("col") + F.col("f_end") - F.col("f_start")))

@@ -232,3 +232,18 @@ def events_by_window(spark, sf_dir):
     from ..streaming import incremental
 
     return incremental.counts_by_window(spark.read.parquet(f"{sf_dir}/events.parquet")).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query()
+def reflow_applied(spark, sf_dir):
+    """Comments of sources made of the documents, wrapped in place."""
+    return api.rewrapped(_sources(spark, sf_dir)).select("origin_id", F.md5("content").alias("content_md5"))
+
+
+@query()
+def dummy_checker(spark, sf_dir):
+    from ..sources import readers
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    ctx = api.Context(forms(spark, sf_dir), config=api.Config(hunspell=None), more={"dummy": api.dummy})
+    return api.check(readers.from_rows(rows, "id", "text"), ctx).groupBy("origin_id").agg(F.count("*").alias("n_findings"))

@@ -102,6 +102,46 @@ def range_to_span(spark, sf_dir):
     return rows.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("s", "e", "line", "c0", "c1")])
 
 
+@query(f"""WITH {T} SELECT doc_id, line_no, start_off AS f_start, (start_off + length(line))::INT AS f_end
+FROM t JOIN r USING (doc_id) WHERE start_off + length(line) > s AND start_off <= e AND length(line) > 0""")
+def covered_spans(spark, sf_dir):
+    rows = positions.find_covered_spans(_fragments(_lines_with_ranges(spark, sf_dir)), F.col("s0"), F.col("e0"))
+    return rows.select("doc_id", "line_no", F.col("f_start").cast("int").alias("f_start"), F.col("f_end").cast("int").alias("f_end"))
+
+
+@query(f"""WITH {D}, b AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n, (doc_id * 7919 % (strlen(text) + 5))::BIGINT AS s FROM d),
+e AS (SELECT *, least(s + 1 + doc_id % 90, n) AS e FROM b)
+SELECT doc_id, CASE WHEN s < n THEN length(regexp_replace(regexp_replace(substr(h, 1, 2 * (s + 1)), '(.).', '\\1', 'g'), '[89AB]', '', 'g')) - 1 END::INT AS c_start,
+       CASE WHEN s < n THEN length(regexp_replace(regexp_replace(substr(h, 1, 2 * e), '(.).', '\\1', 'g'), '[89AB]', '', 'g')) END::INT AS c_end FROM e""")
+def byte_ranges(spark, sf_dir):
+    rows = docs(spark, sf_dir).withColumn("s", (F.col("doc_id") * 7919 % (F.octet_length("text") + 5)).cast("int"))
+    r = positions.byte_range_to_chars(F.col("text"), F.col("s"), (F.col("s") + 1 + F.col("doc_id") % 90).cast("int"))
+    return rows.select("doc_id", r["start"].alias("c_start"), r["end"].alias("c_end"))
+
+
+@query(f"""WITH {D}, o AS (SELECT doc_id, text, (doc_id * 7919 % (length(text) + 3))::INT AS k FROM d), p AS (SELECT *, substring(text, 1, k) AS b FROM o)
+SELECT doc_id, CASE WHEN k < length(text) THEN length(b) - length(replace(b, chr(10), '')) + 1 END::INT AS line, CASE WHEN k < length(text) THEN length(string_split(b, chr(10))[-1]) END::INT AS col FROM p""")
+def char_places(spark, sf_dir):
+    at = (F.col("doc_id") * 7919 % (F.char_length("text") + 3)).cast("int")
+    return docs(spark, sf_dir).select("doc_id", positions.place_of(F.col("text"), at).alias("p")).select("doc_id", "p.line", "p.col")
+
+
+@query("""WITH s AS (SELECT doc_id, (1 + doc_id % 4)::INT AS l0, (doc_id % 9)::INT AS c0, (1 + doc_id % 4 + doc_id % 3 // 2)::INT AS l1, (doc_id % 9 + doc_id % 13)::INT AS c1 FROM documents)
+SELECT doc_id, CASE WHEN l0 = l1 THEN c1 + 1 - c0 END::INT AS n, l0 <= 3 AND 3 <= l1 AS covers, CASE WHEN l0 = l1 AND l0 = 2 AND c0 >= 3 AND c1 <= 12 THEN c0 - 3 END::INT AS inner_start,
+       CASE WHEN l0 = l1 AND l0 = 2 AND c0 >= 3 AND c1 <= 12 THEN c1 - 2 END::INT AS inner_end, greatest(c0 - 4, 0)::INT AS shifted, CASE WHEN c1 >= 2 THEN l1 ELSE l1 - 1 END::INT AS trimmed_line, CASE WHEN c1 >= 2 THEN c1 - 2 ELSE 0 END::INT AS trimmed_col FROM s""")
+def span_arithmetic(spark, sf_dir):
+    k = F.col("doc_id")
+    l0, c0 = (k % 4 + 1).cast("int"), (k % 9).cast("int")
+    s = positions.span(l0, c0, l0 + F.floor(k % 3 / 2).cast("int"), c0 + (k % 13).cast("int"))
+    inner = positions.relative_to(s, positions.span(*map(F.lit, (2, 3, 2, 12))))
+    trimmed = comments.trim_span(s, F.lit(3), F.lit(2))["end"]
+    moved = positions.shifted(F.struct(s["start"]["col"].alias("start"), s["end"]["col"].alias("end")), F.lit(-4))
+    return docs(spark, sf_dir).select(
+        "doc_id", positions.one_line_len(s).cast("int").alias("n"), positions.covers_line(s, F.lit(3)).alias("covers"), inner["start"].cast("int").alias("inner_start"), inner["end"].cast("int").alias("inner_end"),
+        moved["start"].alias("shifted"), trimmed["line"].cast("int").alias("trimmed_line"), trimmed["col"].cast("int").alias("trimmed_col"),
+    )
+
+
 @query(f"""WITH {T} SELECT doc_id, (start_off + 2)::INT AS s, (start_off + 7)::INT AS e FROM t WHERE line_no = 1 + doc_id % 3 AND length(line) > 6""")
 def span_to_range(spark, sf_dir):
     frags = _fragments(positions.text_lines(docs(spark, sf_dir)))
@@ -190,3 +230,34 @@ def dedupe_origins(spark, sf_dir):
 
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").withColumn("id", F.md5("text"))
     return readers.from_rows(d, "id", "text").select(F.col("origin_id").alias("origin"), "content")
+
+
+_MODULES = """f AS (SELECT DISTINCT doc_id AS id FROM documents),
+m AS (SELECT id AS parent, unnest([2 * id + 1, 2 * id + 2, -1]) AS child FROM f),
+g AS (SELECT parent, child FROM m JOIN f ON f.id = m.child)"""
+
+
+def _module_files(spark, sf_dir):
+    """A source for each document, which declares those of twice its number."""
+    k = F.col("doc_id")
+    name = lambda x: F.concat(F.lit("mod d"), x.cast("string"), F.lit(";"))
+    content = F.concat_ws("\n", F.lit("//! mod d0;"), name(2 * k + 1), F.concat(F.lit("mod inner { pub "), name(2 * k + 2), F.lit(" }")), F.lit("mod gone;"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
+    return rows.select(F.concat(F.lit("src/d"), k.cast("string"), F.lit(".rs")).alias("path"), content.alias("content"))
+
+
+@query(f"WITH {_MODULES} SELECT 'src/d' || parent || '.rs' AS parent, 'src/d' || child || '.rs' AS child FROM g")
+def module_files(spark, sf_dir):
+    from ..sources import modules
+
+    files = _module_files(spark, sf_dir)
+    return modules.resolved(modules.declared(files), files).select("parent", "child")
+
+
+@query(f"""WITH RECURSIVE {_MODULES}, c(id, depth) AS (SELECT id, 0 FROM f WHERE id IN (1, 2) UNION ALL SELECT child, depth + 1 FROM c JOIN g ON g.parent = c.id WHERE depth < 4)
+SELECT 'src/d' || id || '.rs' AS path, min(depth)::INT AS depth FROM c GROUP BY ALL""")
+def module_closure(spark, sf_dir):
+    from ..sources import modules
+
+    files = _module_files(spark, sf_dir)
+    return modules.closure(files.filter("path in ('src/d1.rs', 'src/d2.rs')"), modules.resolved(modules.declared(files), files), 4)

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark import __main__ as shell
-from quillspark.functions import comments
+from quillspark.functions import comments, positions
 from quillspark.operators import reflow
 from quillspark.plans import api, config, dictionaries
-from quillspark.sources import sinks
+from quillspark.sources import modules, sinks
 
 AFF = "SET ISO8859-1\nPFX A Y 1\nPFX A 0 re .\nSFX S Y 1\nSFX S 0 s .\nREP 1\nREP ie ei\n"
 ORIGIN = "origin_id string, kind string, path string, content string"
@@ -155,3 +155,27 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/texts").count() == 1
     with pytest.raises(OSError):
         sinks.replace_file(f"{tmp_path}/gone/x", "text")
+
+
+def test_byte_ranges(spark):
+    text = "aé🌡b"  # bytes: 1, 2, 4, 1
+    for s in range(10):
+        for e in range(s, 10):
+            got = spark.range(1).select(positions.byte_range_to_chars(F.lit(text), F.lit(s), F.lit(e)).alias("r")).first().r
+            cut = [k for k, (a, b) in enumerate([(0, 1), (1, 3), (3, 7), (7, 8)]) if a < e and b > s]
+            if s >= 8:
+                assert got is None
+            elif e > s:
+                assert tuple(got) == (cut[0], cut[-1] + 1)
+
+
+def test_modules_of_many_files(spark):
+    files = {"a/lib.rs": "mod x; mod y; mod z;", "a/x.rs": "mod deep;", "a/x/deep.rs": "mod deep;", "a/y.rs": "", "a/y/mod.rs": "", "b/main.rs": "mod main;", "bad.rs": "mod lib; /*", "lib.rs": "mod a;", "a/mod.rs": "mod lib;"}
+    df = spark.createDataFrame(list(files.items()), "path string, content string")
+    d = modules.declared(df)
+    edges = modules.resolved(d, df)
+    assert {(r.parent, r.child) for r in edges.collect()} == {("a/lib.rs", "a/x.rs"), ("a/x.rs", "a/x/deep.rs"), ("a/x/deep.rs", "a/x/deep.rs"), ("b/main.rs", "b/main.rs"), ("lib.rs", "a/mod.rs"), ("a/mod.rs", "a/lib.rs")}
+    assert [(r.parent, r.name, r.n) for r in modules.ambiguous(d, df).collect()] == [("a/lib.rs", "y", 2)]
+    got = {r.path: r.depth for r in modules.closure(df.filter("path in ('lib.rs', 'b/main.rs')"), edges).collect()}
+    assert got == {"lib.rs": 0, "b/main.rs": 0, "a/mod.rs": 1, "a/lib.rs": 2, "a/x.rs": 3, "a/x/deep.rs": 4}
+    assert modules.closure(df.filter("path = 'lib.rs'"), edges, 1).count() == 2
