@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -28,14 +28,17 @@ MOST = 3
 _ALL = 1 << 60
 
 
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def _hash(doc_id: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size in words and a 60-bit hash of the id; the only pass over texts."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long").alias("h"),
-    )
+    """doc_id, source, size in words and a 60-bit hash of the id."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _size(F.col(text_col)).alias("size"), _hash(F.col(id_col)).alias("h"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = MOST) -> DataFrame:
@@ -62,7 +65,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int =
     return w.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def _bucket(level: int) -> F.Column:
+def _bucket(level: int) -> Column:
     """The bits of the hash that level adds."""
     return F.shiftright(F.col("h"), 60 - BITS * (level + 1)).bitwiseAND((1 << BITS) - 1).cast("int")
 
@@ -105,22 +108,35 @@ def thresholds(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     return per.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "passes", "cuts")
 
 
+def _plan(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """A row for each source, as a table: thresholds() of its target."""
+    return cut(thresholds(sizes, cut(targets(sizes, weights), "mix-goal")), "mix-per")
+
+
+def _copies(passes: Column, cuts: Column, size: Column, h: Column) -> Column:
+    at = F.shiftright(h, 60 - LEVELS * BITS)
+    more = F.exists(cuts, lambda c: (at >= c["lowest"]) & (at < c["edge"]) & (size <= c["largest"]))
+    return passes + F.coalesce(more, F.lit(False)).cast("long")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, copies, taken (copies x size) for each row of docs; the same on each run."""
     sizes = cut(sized(docs, id_col, text_col, source_col), "mix-sizes")
-    per = cut(thresholds(sizes, cut(targets(sizes, weights), "mix-goal")), "mix-per").withColumnRenamed("source", "s")
-    out = sizes.join(per, F.col("source").eqNullSafe(F.col("s")))
-    at = F.shiftright("h", 60 - LEVELS * BITS)
-    more = F.coalesce(F.exists("cuts", lambda c: (at >= c["lowest"]) & (at < c["edge"]) & (F.col("size") <= c["largest"])), F.lit(False))
-    out = out.withColumn("copies", F.col("passes") + more.cast("long"))
+    out = sizes.join(_plan(sizes, weights).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    out = out.withColumn("copies", _copies(F.col("passes"), F.col("cuts"), F.col("size"), F.col("h")))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3)) -> DataFrame:
-    """docs with each row as often as the mix takes it; the columns of docs."""
-    plan = mix(docs, weights).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).dropDuplicates(["__id"])
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).filter("__copies > 0")
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    """docs with each row as often as the mix takes it; the columns of docs.
+
+    Texts are not shuffled: rows meet the plan of their source, a row for each source, and are measured again, which
+    costs less than to move them to what was measured before.
+    """
+    plan = _plan(cut(sized(docs), "mix-sizes"), weights).select(F.col("source").alias("__s"), F.col("passes").alias("__passes"), F.col("cuts").alias("__cuts"))
+    out = docs.join(plan, docs["source"].cast("string").eqNullSafe(F.col("__s")))
+    out = out.withColumn("__n", _copies(F.col("__passes"), F.col("__cuts"), _size(docs["text"]), _hash(docs["doc_id"]))).filter("__n > 0")
+    return out.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[docs[c] for c in docs.columns])
 
 
 _ROUND = """
