@@ -8,9 +8,11 @@ Surrogates: a key and the entity's type seed a Feistel permutation of the entity
 digits, hex digits hex digits, letters letters of their script and case, and marks stay where they are. A permutation
 gives different surrogates to different originals of one format, everywhere, without a table: coreference and
 distinctness hold across the corpus. Permutations whose result would be the original or would not be valid (an address
-part over 255, a card number without its check digit) are walked on until they are. Names are drawn from lists by
-script and gender, which are finite: within a document collisions are looked for, and the next name of the list is
-taken until the surrogate is neither another's nor an original of that document.
+part over 255, a card number without its check digit) are walked on until they are. Family names are permuted with
+vowels for vowels and consonants for consonants, so they are one-to-one as well, and a person named in full and by
+family name alone stays one person. Known given names go to the next one in a keyed order of the names of their script
+and gender; others are permuted but for their last letter. Within a document collisions are looked for: a surrogate that
+is another's or an original of that document is drawn anew.
 
 Defined cases: null text stays null and has no entity; empty text likewise empty; the same entity has the same
 surrogate in all rows; overlapping finds go to the one that starts first, then to the longer. Other columns are not
@@ -35,10 +37,6 @@ NAMES = {
     ("cyrillic", "m"): "Иван Пётр Алексей Николай Сергей Андрей Павел Юрий Олег Борис".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Вера Софья Дарья".split(),
 }
-SURNAMES = {
-    "latin": "Smith Miller Walker Turner Baker Cooper Fisher Hunter Mason Parker Weber Keller Vogel Lang Moreau Garnier Lambert Ortega Molina Serrano".split(),
-    "cyrillic": "Иванов Петров Сидоров Орлов Волков Соколов Лебедев Козлов Новиков Морозов".split(),
-}
 _GENDER = {n: g for (_, g), names in NAMES.items() for n in names}
 _WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 _PATTERNS = (
@@ -57,6 +55,9 @@ _NAME = re.compile(rf"\b({'|'.join(TITLES)})(\.?[ ])({_WORD})(?:( )({_WORD}))?")
 _GIVEN = re.compile(rf"\b({'|'.join(sorted(_GENDER))}) ({_WORD})\b")
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ")
 _OF = {c: a for a in _ALPHABETS for c in a}
+#: Letters that stand for each other in names, by script, case and sound.
+_SOUNDS = ("aeiou", "bcdfghjklmnprstvwz", "àáâãäåèéêëìíîïòóôõöøùúûü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")
+_SOUND_OF = {c: a for low in _SOUNDS for a in (low, low.replace("ß", "").upper()) for c in a}
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -148,18 +149,29 @@ def surrogate(key: bytes, kind: str, value: str) -> str:
     return value[:n] + _walk(key, kind, value[n:], _OF, value[:n])
 
 
+def _spoken(key: bytes, kind: str, word: str) -> str:
+    """A word with its sounds permuted; one that maps to itself is permuted by another key."""
+    out = permute(key, kind, word, _SOUND_OF)
+    return permute(key, f"{kind}+", word, _SOUND_OF) if out == word else out
+
+
+def _given(key: bytes, gender: str, word: str, turn: int) -> str:
+    names = NAMES["cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "latin", gender]
+    order = sorted(names, key=lambda n: _number(key, "given", gender, n))
+    if word in order:
+        return order[(order.index(word) + 1 + turn) % len(order)]
+    return _spoken(key, f"given{turn or ''}", word[:-1]) + word[-1]
+
+
 def _name(key: bytes, gender: str, value: str, used: set[str]) -> str:
-    script = "cyrillic" if "Ѐ" <= value[0] <= "ӿ" else "latin"
-    words = value.split(" ")
-    first, last = NAMES[script, gender], SURNAMES[script]
-    n = _number(key, "name", gender, value)
-    for k in range(len(first) * len(last)):
-        x = n + k
-        given, family = first[x % len(first)], last[x // len(first) % len(last)]
-        out = f"{given} {family}" if len(words) > 1 else family
+    """A surrogate for a family name, or for a given and a family name, of which the given one yields to collisions."""
+    first, _, last = value.rpartition(" ")
+    family = _spoken(key, "family", last)
+    for turn in range(20):
+        out = f"{_given(key, gender, first, turn)} {family}" if first else _spoken(key, f"family{turn}", last) if turn else family
         if out not in used:
-            return out
-    return permute(key, "name", value)
+            break
+    return out
 
 
 def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:

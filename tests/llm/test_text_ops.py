@@ -205,11 +205,30 @@ def test_clean_texts_are_left_alone():
         assert pii.replace(t, b"k") == (t, [])
 
 
+FAMILIES = "Smith Miller Walker Turner Baker Cooper Fisher Hunter Mason Parker Weber Keller Vogel Lang Moreau Garnier Lambert Ortega Molina Serrano".split()
+
+
 def test_distinct_names_stay_distinct():
-    text = " ".join(f"Mr. {a} {b} came." for a in pii.NAMES["latin", "m"] for b in pii.SURNAMES["latin"])
-    out, spans = pii.replace(text, b"k")
+    people = [f"{a} {b}" for a in pii.NAMES["latin", "m"] for b in FAMILIES]
+    out, spans = pii.replace(" ".join(f"Mr. {p} came." for p in people), b"k")
     names = re.findall(r"Mr\. (\w+ \w+) came", out)
     assert len(set(names)) == len(spans) == 400
+    apart = [pii.replace(f"Mr. {p} came.", b"k")[0] for p in people]
+    assert len(set(apart)) == 400 and [f"Mr. {n} came." for n in names] == apart
+    assert all(a.split()[0] in pii.NAMES["latin", "m"] for a in names)
+
+
+def test_a_person_stays_one_person():
+    out, spans = pii.replace("Mrs. Clara Jones-Smith met Mr. Bo Weber. Mrs. Jones-Smith left; Mr. Weber stayed. Ms. Xenia Li", b"k")
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+-\w+) met Mr\. (\w+) (\w+)\. Mrs\. (\S+) left; Mr\. (\w+) stayed\. Ms\. (\w+) (\w+)", out)
+    assert m and m[2] == m[5] and m[4] == m[6] and len(spans) == 5
+    assert m[1] in pii.NAMES["latin", "f"] and m[7][-1] == "a" and len(m[8]) == 2
+    assert not {m[k] for k in range(1, 9)} & {"Clara", "Jones-Smith", "Bo", "Weber", "Xenia", "Li"}
+
+
+def test_family_names_have_one_surrogate_each():
+    words = {"".join(a + b + c) for a in "BCD" for b in "aeiou" for c in "bcdfghklmn"}
+    assert len({pii.permute(b"k", "family", w, pii._SOUND_OF) for w in words}) == len(words)
 
 
 def test_pii_of_odd_documents(odd, empty):
