@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,4 +61,28 @@ def fragments(chunk_rows: DataFrame) -> DataFrame:
     return rows.select("origin_id", "chunk_idx", F.col("m.range.start").alias("f_start"), F.col("m.range.end").alias("f_end"), F.col("m.span.start.line").alias("line"), F.col("m.span.start.col").alias("col"))
 
 
-__all__ = ["islands", "render", "chunks", "markdown_chunks", "fragments", "schema"]
+class Placed:
+    """A chunk's text with the fragments that map it to its origin."""
+
+    def __init__(self, text: str, mapping: list[dict]):
+        self.text, self.fragments = text, sorted((m["range"]["start"], m["range"]["end"], m["span"]["start"]["line"], m["span"]["start"]["col"]) for m in mapping)
+        self.starts, self.newlines = [f[0] for f in self.fragments], [m.start() for m in re.finditer("\n", text)]
+
+    def place(self, at: int) -> tuple[int, int]:
+        """Line and column of a place in the text."""
+        start, _, line, col = self.fragments[max(0, bisect_right(self.starts, at) - 1)]
+        n, first = bisect_left(self.newlines, at), bisect_left(self.newlines, start)
+        return (line + n - first, at - self.newlines[n - 1] - 1) if n > first else (line, col + at - start)
+
+    def columns(self, start: int, end: int, blank: int) -> list[int]:
+        """For each line of a range, the column at which its fragment's text begins; blank: columns that Markdown takes off all but the first."""
+        out: list[int] = []
+        for a, b, _, _ in self.fragments[max(0, bisect_right(self.starts, start) - 1) : bisect_left(self.starts, end)]:
+            s, e = max(a, start), min(b, end)
+            if s < e:
+                own = self.place(s)[1]
+                out += [max(own, blank) if not out else own + blank] * (self.text.count("\n", s, e) + 1)
+        return out or [0]
+
+
+__all__ = ["islands", "render", "chunks", "markdown_chunks", "fragments", "Placed", "schema"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import comments
 from . import cmark
+from .chunks import Placed
 
 WIDTH = 80
 SKIPPED = ("SlashAsterisk", "SlashAsteriskEM", "SlashAsteriskAsterisk", "SlashStar")
@@ -107,29 +108,6 @@ def reflow(chunks: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ("orig
     return chunks.select(*keys, text_col).mapInArrow(run, schema)
 
 
-class Placed:
-    """A chunk's text with the fragments that map it to its origin."""
-
-    def __init__(self, text: str, mapping: list[dict]):
-        self.text, self.fragments = text, [(m["range"]["start"], m["range"]["end"], m["span"]["start"]["line"], m["span"]["start"]["col"]) for m in mapping]
-
-    def place(self, at: int) -> tuple[int, int]:
-        """Line and column of a place in the text."""
-        start, _, line, col = next((f for f in self.fragments if f[0] <= at < f[1]), self.fragments[-1])
-        inside = self.text[start:at]
-        return (line + inside.count("\n"), len(inside) - inside.rfind("\n") - 1) if "\n" in inside else (line, col + len(inside))
-
-    def columns(self, start: int, end: int, blank: int) -> list[int]:
-        """For each line of a range, the column at which its fragment's text begins; blank: columns that Markdown takes off all but the first."""
-        out: list[int] = []
-        for a, b, _, col in self.fragments:
-            s, e = max(a, start), min(b, end)
-            if s < e:
-                own = col + s - a if "\n" not in self.text[a:s] else s - self.text.rfind("\n", a, s) - 1
-                out += [max(own, blank) if not out else own + blank] * (self.text.count("\n", s, e) + 1)
-        return out or [0]
-
-
 def reflow_chunks(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     """Paragraphs of chunks (schema.CHUNKS and delimiter) that wrapping changes, as they stand in their origin.
 

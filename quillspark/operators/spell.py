@@ -23,11 +23,15 @@ def lookup_keys(word: Column) -> Column:
 
 
 def unknown(words: DataFrame, forms: DataFrame, word: str = "word") -> DataFrame:
-    """The distinct words of which no spelling is a form; ordinals are known."""
+    """The distinct words of which no spelling is a form; ordinals are known.
+
+    Words are read once: their spellings meet the forms in one left join, and are taken together again by word, which
+    they are still partitioned by where the forms are broadcast.
+    """
     distinct = words.select(word).distinct().filter(~W.is_ordinal(F.col(word)))
     keys = distinct.select(word, F.explode(lookup_keys(F.col(word))).alias("form"))
-    known = keys.join(forms.select("form").distinct(), "form", "left_semi").select(word).distinct()
-    return distinct.join(known, word, "left_anti")
+    met = keys.join(forms.select("form").distinct().withColumn("__known", F.lit(1)), "form", "left")
+    return met.groupBy(word).agg(F.max("__known").alias("__known")).filter("__known is null").select(word)
 
 
 def misspelled(tokens: DataFrame, forms: DataFrame, word: str = "word", split_chars: str = W.SPLIT_CHARS) -> DataFrame:

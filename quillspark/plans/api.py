@@ -12,6 +12,7 @@ from ..functions import positions
 from ..functions import words as W
 from ..operators import chunks as C
 from ..operators import cmark, findings, grammar, patch, reflow, report, rustlex, spell, tokens
+from ..tables import settled
 from .config import Config
 
 
@@ -23,11 +24,13 @@ class Context:
     pairs: DataFrame | None = None
     rules: DataFrame | None = None
     config: Config = field(default_factory=Config)
-    #: More checkers by detector's name: (chunks, context) -> KEYS, start, end, word, replacements, detector, description.
+    #: More checkers by detector's name: (chunks, context) -> FOUND, or FOUND without PLACE.
     more: dict[str, Callable[[DataFrame, Context], DataFrame]] = field(default_factory=dict)
 
 
 KEYS = ("origin_id", "chunk_idx")
+#: The columns of findings: keys, the range in the chunk's text, the place in the origin, and what is said of it.
+FOUND = (*KEYS, "start", "end", *findings.PLACE, "word", "replacements", "detector", "description")
 
 
 def chunks(origins: DataFrame, dev_comments: bool = False) -> DataFrame:
@@ -55,28 +58,28 @@ def placed(found: DataFrame, chunk_rows: DataFrame) -> DataFrame:
 
 
 def spelling(chunk_rows: DataFrame, ctx: Context, detector: str = "hunspell") -> DataFrame:
-    """Unknown words of chunks with replacements (only hunspell has them): KEYS, start, end, word, replacements, detector, description."""
+    """Unknown words of chunks with their places and replacements (only hunspell has them).
+
+    Chunks are parsed twice, once for the distinct words and once for their places, rather than keep a row for each
+    token of the corpus; the unknown words themselves, of which replacements are sought, are kept as a table.
+    """
     section = getattr(ctx.config, detector) or ctx.config.hunspell
     quirks = section.quirks
-    plain = cmark.plain_chunks(chunk_rows, KEYS, ignore_footnotes=not quirks.check_footnote_references)
-    toks = tokens.tokenize_chunks(plain, KEYS, "plain").withColumnRenamed("token", "word")
+    toks = tokens.placed_words(chunk_rows, quirks.transform_regex, not quirks.check_footnote_references)
     toks = toks.filter(~W.is_split_char(F.col("word"), section.tokenization_splitchars) & F.col("word").rlike(r"[\p{L}\p{N}]"))
-    if quirks.transform_regex:
-        toks = toks.withColumn("t", W.transform_words(quirks.transform_regex)("word")).withColumn("x", F.explode("t.fragments"))
-        toks = toks.select(*KEYS, "tok_idx", (F.col("start") + F.col("x.start")).alias("start"), (F.col("start") + F.col("x.end")).alias("end"), F.col("x.text").alias("word"))
     bad = spell.unknown(toks, ctx.forms)
+    none = F.array().cast("array<string>")
     if detector == "hunspell":
+        bad = settled(bad)
         near = spell.candidates(bad, ctx.forms).select("word", F.lit(1).alias("by"), "rank", "form")
         if ctx.pairs is not None:
             near = near.union(spell.replaced(bad, ctx.pairs, ctx.forms).select("word", F.lit(0), F.lit(0), "form"))
         near = near.filter(F.octet_length("form") > 1).groupBy("word").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("by", "rank", "form"))), lambda x: x["form"])).alias("replacements"))
-        bad = bad.join(near, "word", "left").withColumn("replacements", F.coalesce("replacements", F.array().cast("array<string>")))
+        bad = bad.join(near, "word", "left").withColumn("replacements", F.coalesce("replacements", none))
     else:
-        bad = bad.withColumn("replacements", F.array().cast("array<string>"))
+        bad = bad.withColumn("replacements", none)
     bad = spell.quirks(bad, quirks.allow_emojis, quirks.allow_concatenation, quirks.allow_dashes)
-    rows = toks.join(bad, "word").join(plain.select(*KEYS, "plain_map"), list(KEYS))
-    rows = rows.withColumn("r", cmark.to_source(F.col("plain_map"), F.col("start"), F.col("end"))).filter("r is not null")
-    return rows.select(*KEYS, F.col("r.start").alias("start"), F.col("r.end").alias("end"), "word", "replacements", F.lit(detector).alias("detector"), F.lit(None).cast("string").alias("description"))
+    return toks.join(bad, "word").select(*FOUND[:-2], F.lit(detector).alias("detector"), F.lit(None).cast("string").alias("description"))
 
 
 def grammar_findings(chunk_rows: DataFrame, ctx: Context) -> DataFrame:
@@ -84,27 +87,27 @@ def grammar_findings(chunk_rows: DataFrame, ctx: Context) -> DataFrame:
     rules = ctx.rules if ctx.rules is not None else grammar.rule_table(chunk_rows.sparkSession)
     hits = grammar.matches(plain, grammar.active(rules), "key", "plain").join(plain.select("key", *KEYS, "plain", "plain_map"), "key")
     hits = hits.withColumn("word", positions.sub_chars(F.col("plain"), F.col("start"), F.col("end"))).withColumn("r", cmark.to_source(F.col("plain_map"), F.col("start"), F.col("end"))).filter("r is not null")
-    return hits.select(*KEYS, F.col("r.start").alias("start"), F.col("r.end").alias("end"), "word", F.array().cast("array<string>").alias("replacements"), F.lit("nlprules").alias("detector"), F.col("message").alias("description"))
+    hits = hits.select(*KEYS, F.col("r.start").alias("start"), F.col("r.end").alias("end"), "word", F.array().cast("array<string>").alias("replacements"), F.lit("nlprules").alias("detector"), F.col("message").alias("description"))
+    return placed(hits, chunk_rows).select(*FOUND)
 
 
 def dummy(chunk_rows: DataFrame, ctx: Context) -> DataFrame:
     """A checker that finds fault with every token, to try out what comes after checkers."""
-    plain = cmark.plain_chunks(chunk_rows, KEYS)
-    toks = tokens.tokenize_chunks(plain, KEYS, "plain").join(plain.select(*KEYS, "plain_map"), list(KEYS))
-    rows = toks.withColumn("r", cmark.to_source(F.col("plain_map"), F.col("start"), F.col("end"))).filter("r is not null")
     made = F.array(F.concat(F.lit("replacement_"), F.col("tok_idx").cast("string")))
-    return rows.select(*KEYS, F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.col("token").alias("word"), made.alias("replacements"), F.lit("dummy").alias("detector"), F.lit(None).cast("string").alias("description"))
+    rows = tokens.placed_words(chunk_rows).withColumn("replacements", made)
+    return rows.select(*FOUND[:-2], F.lit("dummy").alias("detector"), F.lit(None).cast("string").alias("description"))
 
 
 def check(origins: DataFrame, ctx: Context) -> DataFrame:
     """Findings of all enabled checkers with their places, in order and without overlaps."""
     chunk_rows = chunks(origins, ctx.config.dev_comments)
     found = [grammar_findings(chunk_rows, ctx) if n == "nlprules" else spelling(chunk_rows, ctx, n) for n in ctx.config.enabled() if n != "reflow"]
-    found += [checker(chunk_rows, ctx) for checker in ctx.more.values()]
+    for checker in ctx.more.values():
+        own = checker(chunk_rows, ctx)
+        found.append((own if set(findings.PLACE) <= set(own.columns) else placed(own, chunk_rows)).select(*FOUND))
     if not found:
         raise ValueError("no checker is enabled")
-    rows = findings.without_overlaps(placed(findings.union(*found), chunk_rows))
-    return rows.orderBy(*findings.in_order())
+    return findings.without_overlaps(findings.union(*found)).orderBy(*findings.in_order())
 
 
 def reflowed(origins: DataFrame, config: Config | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,14 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rustlex
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session names; one is set only where there is none (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint()
+from ..tables import settled
 
 
 def declared(files: DataFrame) -> DataFrame:
