@@ -29,7 +29,7 @@ SMALL, LARGE = (3, 3), (4, 3)
 #: Digests of both versions together for each segment, try by try.
 ROOM = (10, 5, 3)
 #: Rows of a bucket of neighbouring ids, and the most buckets there may be.
-BUCKET_ROWS, MOST_BUCKETS = 4000, 1 << 16
+BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
 
 RUN = r"\S+(?:[^\S\n]+\S+){0,%d}" % (WORDS - 1)
 
