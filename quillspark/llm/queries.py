@@ -41,6 +41,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
         warc.page_number(F.col("response.refers_to")).alias("refers_to"),
+        (F.lit(1) + F.col("request").isNotNull().cast("int") + F.col("metadata").isNotNull().cast("int")).alias("n_records"),
+        F.regexp_extract(F.col("metadata.fields").cast("string"), "payloadSha1Hex: ([0-9a-f]+)", 1).alias("metadata_digest"),
     )
 
 
@@ -75,7 +77,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
 m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS top FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN top <> page_id THEN top END AS refers_to
+       CASE WHEN top <> page_id THEN top END AS refers_to, 3::INT AS n_records, payload_digest AS metadata_digest
 FROM m
 """
 

@@ -3,8 +3,9 @@
 Writing: each page is a capture of three records, gzip members of their own in .warc.gz files: the request, the response
 (or a revisit) and metadata. Request and metadata name the response in WARC-Concurrent-To. Of pages with equal payloads
 of at least LEAST bytes, that of the largest id is the response; the others are revisits, which refer to it and keep
-only the HTTP head. Which page that is comes from a maximum by payload digest; pages learn it by a join on digest and a
-salt, so that a payload of many pages is spread over SALTS tasks.
+only the HTTP head. Which page that is comes from a maximum by payload digest, with partial aggregation; the digests of
+several pages are kept as a table, and pages learn from it in a join that Spark broadcasts by the table's size or else
+splits where a payload has very many pages. Pages with payloads of their own have a key of their own there.
 
 Reading: each file is a partition of a Spark data source that streams records in Arrow batches of bounded size and
 checks every digest; files are of bounded size. Assembly joins each response or revisit with the request and the
@@ -34,10 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
 from .archive import Range, Shards, Written, commit, listing, open_folder
-from .common import shared_path
+from .common import cut, shared_path
 
 LEAST = 1000
-SALTS = 16
 SHARD_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 KINDS = {"request": 1, "response": 2, "revisit": 2, "metadata": 3}
@@ -205,9 +205,8 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= LEAST, F.sha1(F.col("html").cast("binary"))))
     groups = rows.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("response_id")).filter("n > 1")
-    groups = groups.select("digest", "response_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    out = rows.withColumn("salt", salt).join(groups, ["digest", "salt"], "left")
+    groups = cut(groups.select(F.col("digest").alias("key"), "response_id"), "warc-repeated")
+    out = rows.withColumn("key", F.coalesce("digest", F.concat_ws(":", F.lit("small"), "page_id", F.xxhash64("url").cast("string")))).join(groups, "key", "left")
     again = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return out.select("page_id", "url", "html", "response_id", again.alias("is_revisit"))
 
@@ -225,10 +224,10 @@ def read_warc(spark: SparkSession, path: str, **options: str) -> DataFrame:
 def transactions(records_df: DataFrame) -> DataFrame:
     """One row for each capture: record_id, response, request and metadata (structs; null where there is none).
 
-    Requests and metadata that name the same response twice (repeated pages) count once.
+    Requests and metadata that name the same response twice (repeated pages) count once, the smallest of them.
     """
     main = records_df.filter("type in ('response', 'revisit')").select("record_id", F.struct("type", "uri", "refers_to", "payload_bytes", "payload_digest", "payload").alias("response"))
-    side = lambda kind, *fields: records_df.filter(F.col("type") == kind).dropDuplicates(["concurrent_to"]).select(F.col("concurrent_to").alias("record_id"), F.struct("uri", *fields).alias(kind))
+    side = lambda kind, *fields: records_df.filter(F.col("type") == kind).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct("uri", *fields)).alias(kind))
     return main.join(side("request", "http"), "record_id", "left").join(side("metadata", F.col("payload").alias("fields")), "record_id", "left")
 
 

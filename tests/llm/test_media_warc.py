@@ -176,3 +176,16 @@ def test_a_cut_archive_is_an_error():
     assert len(list(warc.records(io.BytesIO(raw * 3)))) == 3
     with pytest.raises(OSError):
         list(warc.records(io.BytesIO(raw * 2 + raw[:20])))
+
+
+def test_the_query_puts_transactions_together(spark):
+    df = Q.op4_warc(spark, "/root/testdata/sf0.001")
+    assert all(r.n_records == 3 and r.metadata_digest == r.payload_digest for r in df.collect())
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 2
+
+
+def test_transactions_of_incomplete_records(spark):
+    schema = "record_id string, type string, uri string, concurrent_to string, refers_to string, payload_bytes long, payload_digest string, http binary, payload binary"
+    rows = [("a", "response", "u", None, None, 1, "d", None, b"x"), ("r", "request", "u", "a", None, None, None, b"GET 2", None), ("s", "request", "u", "a", None, None, None, b"GET 1", None), ("b", "revisit", "u", None, "a", 1, "d", None, None), ("m", "metadata", "u", "gone", None, None, None, None, b"f")]
+    got = {r.record_id: r for r in warc.transactions(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == {"a", "b"} and got["a"].request.http == b"GET 1" and got["a"].metadata is None and got["b"].request is None and got["b"].response.refers_to == "a"
