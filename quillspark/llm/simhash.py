@@ -4,7 +4,9 @@ A fingerprint has 64 bits, 8 bytes. Two that differ in at most 4 bits differ in
 positional bytes are shared: the guaranteed minimum of matches. Every set of 4 positions contains one of 20 sets of 3
 (TRIPLES, the smallest such family), so the index lists each distinct fingerprint under 20 keys of three positional
 bytes, and any pair to be found meets under a key. For a pair that meets, shared bytes are tallied; pairs with 4 or
-more are kept and verified bit by bit.
+more are kept and verified bit by bit. Unrelated fingerprints meet as well, in lists that are as long as there are
+fingerprints for each of the 2^24 values of three bytes: beyond some 10^9 of them, index_bytes=4 lists them under all 70
+sets of four bytes, in 256 times as many lists, with the same result.
 
 Lists may be long where many near copies meet, and all their pairs must not be made. Three steps keep them linear:
 equal fingerprints are one node; each node is first compared with the smallest node of each of its lists, and the links
@@ -21,6 +23,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,6 @@ _GROUPS = ((0, 1, 2), (3, 4, 5), (6, 7))
 
 def _triples() -> list[tuple[int, int, int]]:
     """All sets of 3 within a group, and of two from one group with one from the next."""
-    from itertools import combinations
-
     out = [g for g in _GROUPS if len(g) == 3]
     for i, g in enumerate(_GROUPS):
         out += [tuple(sorted((*two, x))) for two in combinations(g, 2) for x in _GROUPS[(i + 1) % 3]]
@@ -49,6 +51,11 @@ def _triples() -> list[tuple[int, int, int]]:
 TRIPLES = _triples()
 
 
+def families(index_bytes: int) -> list[tuple[int, ...]]:
+    """Sets of so many positions of which any 4 positions contain one."""
+    return TRIPLES if index_bytes == 3 else list(combinations(range(8), 4))
+
+
 def _hashes(text: str | None) -> list[int]:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower() and .split() know ASCII alone
     if not words:
@@ -90,10 +97,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_batches, "id long, fp long")
 
 
-def _keys(fp: Column) -> Column:
-    """One number for each of the 20 lists that a fingerprint is in."""
-    byte = lambda p: F.shiftrightunsigned(fp, 8 * p).bitwiseAND(0xFF)
-    return F.array(*[F.shiftleft(byte(a), 16).bitwiseOR(F.shiftleft(byte(b), 8)).bitwiseOR(byte(c)) + (k << 24) for k, (a, b, c) in enumerate(TRIPLES)])
+def _keys(fp: Column, index_bytes: int) -> Column:
+    """One number for each of the lists that a fingerprint is in."""
+    byte = lambda p, at: F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(0xFF), 8 * at)
+    return F.array(*[reduce(Column.bitwiseOR, (byte(p, i) for i, p in enumerate(positions)), F.lit(k << 8 * index_bytes).cast("long")) for k, positions in enumerate(families(index_bytes))])
 
 
 def _linked(a: Column, b: Column) -> Column:
@@ -128,9 +135,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, index_bytes: int = 3) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp), enough of them for the components of all."""
-    index = cut(nodes.select("fp", F.explode(_keys(F.col("fp"))).alias("key")), "simhash-index")
+    index = cut(nodes.select("fp", F.explode(_keys(F.col("fp"), index_bytes)).alias("key")), "simhash-index")
     lists = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1").drop("n")
     index = cut(index.join(lists, "key"), "simhash-lists")  # lists of one fingerprint have no pairs
     stars = cut(index.filter("fp <> pivot").filter(_linked(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "simhash-stars")
@@ -146,11 +153,11 @@ def links(nodes: DataFrame) -> DataFrame:
     return stars.union(pairs.select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links lead to) for each row of docs."""
     fps = cut(fingerprints(docs, id_col, text_col), "simhash-fps")
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
-    comp = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    comp = components(links(nodes.select("fp"), index_bytes)).withColumnRenamed("node", "fp")
     labelled = nodes.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     first = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
     of = cut(labelled.join(first, "comp").select("fp", "component_id"), "simhash-of")
