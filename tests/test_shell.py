@@ -10,6 +10,7 @@ from quillspark.functions import comments, positions
 from quillspark.operators import reflow
 from quillspark.plans import api, config, dictionaries
 from quillspark.sources import modules, sinks
+from quillspark.streaming import incremental
 
 AFF = "SET ISO8859-1\nPFX A Y 1\nPFX A 0 re .\nSFX S Y 1\nSFX S 0 s .\nREP 1\nREP ie ei\n"
 ORIGIN = "origin_id string, kind string, path string, content string"
@@ -179,3 +180,21 @@ def test_modules_of_many_files(spark):
     got = {r.path: r.depth for r in modules.closure(df.filter("path in ('lib.rs', 'b/main.rs')"), edges).collect()}
     assert got == {"lib.rs": 0, "b/main.rs": 0, "a/mod.rs": 1, "a/lib.rs": 2, "a/x.rs": 3, "a/x/deep.rs": 4}
     assert modules.closure(df.filter("path = 'lib.rs'"), edges, 1).count() == 2
+
+
+def test_origins_are_checked_as_they_arrive(spark, tmp_path):
+    forms = spark.createDataFrame([("one",), ("two",)], "form string")
+    ctx = api.Context(forms)
+    first = spark.createDataFrame([("a", "cmark", None, "one wrod\n"), ("b", "rust", None, "/// twi two\n")], ORIGIN)
+    first.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(ORIGIN).parquet(f"{tmp_path}/in")
+
+    def run():
+        q = incremental.check_batches(stream, ctx, f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    spark.createDataFrame([("c", "cmark", None, "two\nthere\n")], ORIGIN).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    got = sorted((r.batch, r.origin_id, r.word, r.start_line, r.start_col) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(0, "a", "wrod", 1, 4), (0, "b", "twi", 1, 4), (1, "c", "there", 2, 0)]
