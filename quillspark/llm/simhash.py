@@ -111,23 +111,25 @@ def _linked(a: Column, b: Column) -> Column:
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, comp (its component's smallest node) for each node of edges (a, b), by alternating large and small stars."""
+    """node, comp (its component's smallest node) for each node of edges (a, b), by alternating large and small stars.
+
+    Each round is one table: its two stars are short enough to be one plan, in which Spark shuffles the large star once
+    for both of its uses. Nodes that are the smallest of their component have no row.
+    """
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "star")
     before = None
     for _ in range(rounds):
         # large star: each neighbour above u goes to u's smallest neighbour; small star: those below, and u itself
-        e = both(edges)
-        low = e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = e.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = cut(large.filter("a <> b").distinct(), "star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = both(edges).groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = edges.join(low, edges["b"] == low["u"]).select("a", F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         seen = Observation()
         small = small.filter("a <> b").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
         edges = cut(small, "star")
         state = seen.get["n"], seen.get["sum"]
-        if state == before:
+        if not state[0] or state == before:
             break
         before = state
     else:
@@ -135,12 +137,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def links(nodes: DataFrame, index_bytes: int = 3) -> DataFrame:
-    """a, b: links between distinct fingerprints (column fp), enough of them for the components of all."""
+def groups(nodes: DataFrame, index_bytes: int = 3) -> DataFrame:
+    """The rows of nodes (distinct fingerprints, column fp) with comp, the smallest fingerprint that links lead to."""
     index = cut(nodes.select("fp", F.explode(_keys(F.col("fp"), index_bytes)).alias("key")), "simhash-index")
     lists = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1").drop("n")
     index = cut(index.join(lists, "key"), "simhash-lists")  # lists of one fingerprint have no pairs
-    stars = cut(index.filter("fp <> pivot").filter(_linked(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), "simhash-stars")
+    stars = index.filter("fp <> pivot").filter(_linked(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     comp = components(stars).withColumnRenamed("node", "fp")
     index = index.drop("pivot").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     # the main component of each list; lists of one component have no open pairs
@@ -149,16 +151,18 @@ def links(nodes: DataFrame, index_bytes: int = 3) -> DataFrame:
     index = cut(index.join(main, "key"), "simhash-open")
     rest = index.filter("comp <> main").select("key", F.col("fp").alias("a"), F.col("comp").alias("a_comp"))
     pairs = rest.join(index.select("key", F.col("fp").alias("b"), F.col("comp").alias("b_comp")), "key")
-    pairs = pairs.filter((F.col("a_comp") != F.col("b_comp")) & _linked(F.col("a"), F.col("b")))
-    return stars.union(pairs.select("a", "b").distinct())
+    # what links components of the first round is a graph of its own, with a node for each of them
+    pairs = pairs.filter((F.col("a_comp") != F.col("b_comp")) & _linked(F.col("a"), F.col("b"))).select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    upper = components(pairs).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    out = nodes.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    return out.join(upper, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links lead to) for each row of docs."""
     fps = cut(fingerprints(docs, id_col, text_col), "simhash-fps")
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
-    comp = components(links(nodes.select("fp"), index_bytes)).withColumnRenamed("node", "fp")
-    labelled = nodes.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    labelled = groups(nodes, index_bytes)
     first = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
     of = cut(labelled.join(first, "comp").select("fp", "component_id"), "simhash-of")
     return fps.join(of, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")

@@ -146,7 +146,7 @@ def test_links_join_what_all_pairs_would(spark, index_bytes):
     fps = sorted(fps)
     signed = [x - (x >> 63 << 64) for x in fps]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
-    comp = {c.node: c.comp for c in simhash.components(simhash.links(nodes, index_bytes)).collect()}
+    comp = {c.fp: c.comp for c in simhash.groups(nodes, index_bytes).collect()}
     out = {}
     for x in signed:
         out.setdefault(comp.get(x, x), set()).add(x & (1 << 64) - 1)
