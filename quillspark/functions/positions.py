@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,19 +88,59 @@ def dominant_delimiter(text: Column) -> Column:
     return best["d"]
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(xs: Column, block: int = 64) -> Column:
+    """For each element of an array of numbers, the sum of those before it, within the row: no window, so no shuffle.
+
+    Appending to an array copies it, so sums run within blocks, and over the sums of blocks.
+    """
+    nothing = F.array().cast("array<int>")
+
+    def run(ys: Column, start: Column) -> Column:
+        grown = F.aggregate(ys, F.array_append(nothing, start.cast("int")), lambda a, y: F.array_append(a, (F.element_at(a, -1) + y).cast("int")))
+        return F.slice(grown, F.lit(1), F.size(ys))
+
+    total = lambda ys: F.aggregate(ys, F.lit(0), lambda a, y: (a + y).cast("int"))
+    blocks = lambda ys: F.transform(F.sequence(F.lit(0), F.floor((F.size(ys) - 1) / block).cast("int")), lambda k: F.slice(ys, k * block + 1, F.lit(block)))
+    starts = lambda bs: let(F.transform(bs, total), lambda ts: run(ts, F.lit(0)))
+    sums = lambda bs: F.flatten(F.zip_with(bs, starts(bs), run))
+    return let(xs, lambda ys: F.when(F.size(ys) == 0, nothing).otherwise(let(blocks(ys), sums)))
+
+
+def explode_rows(df: DataFrame, keep: list[str], array: Column, at: str) -> DataFrame:
+    """keep, at (the position) and x for each element of array.
+
+    An outer explode whose empty rows go afterwards: for an inner one Spark would first filter by the size of the array,
+    and compute it once more for that.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(at, "x")).filter(F.col(at).isNotNull())
+
+
+def _lines(text: Column, ends_empty: bool) -> Column:
+    """line and start_off of each line of a text as array<struct>; ends_empty: with the empty line after a last newline."""
+    split = F.split(text, "\n")
+    if not ends_empty:
+        split = let(split, lambda ls: F.when(F.element_at(ls, -1) == "", F.slice(ls, F.lit(1), F.size(ls) - 1)).otherwise(ls))
+    return let(split, lambda ls: F.zip_with(ls, running_sums(F.transform(ls, lambda x: F.char_length(x) + 1)), lambda x, at: F.struct(x.alias("line"), at.alias("start_off"))))
+
+
+def _line_rows(df: DataFrame, id_col: str, text_col: str, ends_empty: bool) -> DataFrame:
+    rows = explode_rows(df, [id_col], _lines(F.col(text_col), ends_empty), "ln")
+    return rows.select(id_col, (F.col("ln") + 1).alias("line_no"), F.col("x.start_off").alias("start_off"), F.col("x.line").alias("line"))
+
+
 def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, line_no, start_off, line: a row for each line, with the offset at which it starts."""
-    rows = df.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("ln", "line"))
-    before = Window.partitionBy(id_col).orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.char_length("line") + 1).over(before), F.lit(0)).cast("int")
-    return rows.select(id_col, (F.col("ln") + 1).alias("line_no"), start.alias("start_off"), "line")
+    return _line_rows(df, id_col, text_col, True)
 
 
 def text_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """line_table without the empty line that a newline at the end would leave."""
-    rows = line_table(df, id_col, text_col)
-    last = Window.partitionBy(id_col)
-    return rows.withColumn("__last", F.max("line_no").over(last)).filter((F.col("line") != "") | (F.col("line_no") < F.col("__last"))).drop("__last")
+    return _line_rows(df, id_col, text_col, False)
 
 
 def covered_lines(lines: DataFrame, start: Column, end: Column) -> DataFrame:

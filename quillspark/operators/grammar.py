@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.positions import explode_rows, let, running_sums
+from .tokens import words
+
 SKIPPED = ("misspelling", "typographical")
 RULES = "rule_id string, category string, pattern string, message string"
 #: Patterns over a whole text; each match is a finding.
@@ -40,26 +43,27 @@ def matches(texts: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col
     if not found:
         return texts.select(id_col, F.lit("").alias("rule_id"), F.lit("").alias("message"), F.lit(0).alias("start"), F.lit(0).alias("end")).filter("false")
     rows = texts.select(id_col, F.explode(F.array(*found)).alias("r")).filter("size(r.hits) > 0")
-    rows = rows.select(id_col, "r.rule_id", "r.message", F.posexplode(F.arrays_zip("r.hits", "r.gaps")).alias("k", "x"))
-    hits = rows.select(id_col, "rule_id", "message", "k", F.char_length("x.hits").alias("n"), F.char_length("x.gaps").alias("gap"))
-    w = Window.partitionBy(id_col, "rule_id").orderBy("k")
-    end = F.sum(F.col("gap") + F.col("n")).over(w)
-    return hits.withColumn("end", end.cast("int")).select(id_col, "rule_id", "message", (F.col("end") - F.col("n")).cast("int").alias("start"), "end")
+    sizes = F.zip_with(F.col("r.hits"), F.col("r.gaps"), lambda h, g: F.struct(F.char_length(h).alias("n"), F.char_length(g).alias("gap")))
+    placed = let(sizes, lambda xs: F.zip_with(xs, running_sums(F.transform(xs, lambda x: x["n"] + x["gap"])), lambda x, at: F.struct((at + x["gap"]).alias("start"), x["n"].alias("n"))))
+    rows = explode_rows(rows.select(id_col, "r.rule_id", "r.message", placed.alias("p")), [id_col, "rule_id", "message"], F.col("p"), "k")
+    return rows.select(id_col, "rule_id", "message", F.col("x.start").cast("int").alias("start"), (F.col("x.start") + F.col("x.n")).cast("int").alias("end"))
+
+
+def _with_next(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id_col, tok_idx, word, next_word (null for the last): neighbours within the row."""
+    pairs = let(words(F.col(text_col)), lambda w: F.arrays_zip(w.alias("w"), F.slice(w, F.lit(2), F.size(w)).alias("n")))
+    rows = explode_rows(texts, [id_col], pairs, "tok_idx")
+    return rows.select(id_col, "tok_idx", F.col("x.w").alias("word"), F.col("x.n").alias("next_word"))
 
 
-def doubled_words(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def doubled_words(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words that stand twice in a row, whatever their case: id_col, tok_idx of the second, word."""
-    w = Window.partitionBy(id_col).orderBy("tok_idx")
-    rows = tokens.withColumn("__before", F.lag("word").over(w))
-    return rows.filter(F.lower("word") == F.lower("__before")).select(id_col, "tok_idx", "word")
+    rows = _with_next(texts, id_col, text_col).filter(F.lower("word") == F.lower("next_word"))
+    return rows.select(id_col, (F.col("tok_idx") + 1).alias("tok_idx"), F.col("next_word").alias("word"))
 
 
-def a_or_an(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def a_or_an(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a before a vowel letter, an before another: id_col, tok_idx, word, next_word, replacement."""
-    w = Window.partitionBy(id_col).orderBy("tok_idx")
-    rows = tokens.withColumn("next_word", F.lead("word").over(w))
     vowel = F.lower("next_word").rlike("^[aeiou]")
     wrong = ((F.lower("word") == "a") & vowel) | ((F.lower("word") == "an") & ~vowel)
-    return rows.filter(wrong).select(id_col, "tok_idx", "word", "next_word", F.when(vowel, "an").otherwise("a").alias("replacement"))
-
-
+    return _with_next(texts, id_col, text_col).filter(wrong).select(id_col, "tok_idx", "word", "next_word", F.when(vowel, "an").otherwise("a").alias("replacement"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,12 +20,11 @@ def apply(texts: DataFrame, patches: DataFrame, id_col: str = "doc_id", text_col
     Pieces between patches come from the end of the patch before; texts without patches stay as they are. Patches of a
     text must not overlap; insertions at one place keep the order of their content.
     """
-    w = Window.partitionBy(id_col).orderBy("start", "end", "content")
-    rows = patches.withColumn("from", F.coalesce(F.lag("end").over(w), F.lit(0)))
-    own = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end", "content", "from"))).alias("ps"))
+    own = patches.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("start", "end", "content"))).alias("ps"))
     joined = texts.select(id_col, text_col).join(own, id_col, "left")
     text = F.col(text_col)
-    pieces = F.transform("ps", lambda p: F.concat(F.substring(text, p["from"] + 1, p["start"] - p["from"]), p["content"]))
+    froms = F.concat(F.array(F.lit(0)), F.transform("ps", lambda p: p["end"].cast("int")))
+    pieces = F.zip_with("ps", F.slice(froms, F.lit(1), F.size("ps")), lambda p, at: F.concat(F.substring(text, at + 1, p["start"] - at), p["content"]))
     rest = F.substring(text, F.get("ps", F.size("ps") - 1)["end"] + 1, F.char_length(text))
     return joined.select(id_col, F.when(F.col("ps").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest)).alias(text_col))
 

@@ -8,7 +8,7 @@ from ..functions import positions
 from ..operators import chunks, cmark, findings, patch, reflow, report, rustlex
 from . import api
 from .q_positions import D, L, docs
-from .q_words import TOK, forms, with_offsets, word_rows
+from .q_words import TOK, forms, placed_words, word_rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -33,23 +33,12 @@ f AS (SELECT doc_id, 'hunspell' AS detector, 1 AS rank, line_no AS start_line, c
 
 
 def _found(spark, sf_dir):
-    """The findings, each with its line: offsets meet lines by the line's number, counted in the text before the word."""
-    d = docs(spark, sf_dir)
-    rows = with_offsets(word_rows(spark, sf_dir)).filter(F.char_length("word") >= 9)
-    lines = positions.line_table(d).select("doc_id", "line_no", F.col("start_off").alias("l_off"))
-    # as-of join: words and lines of a document in one order, the last line seen is the word's
-    from pyspark.sql import Window
-
-    both = rows.select("doc_id", F.col("start_off").alias("at"), F.lit(1).alias("kind"), "word", F.lit(None).cast("int").alias("line_no")).unionByName(
-        lines.select("doc_id", F.col("l_off").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("word"), "line_no")
-    )
-    w = Window.partitionBy("doc_id").orderBy("at", "kind")
-    both = both.withColumn("ln", F.last("line_no", ignorenulls=True).over(w)).withColumn("lo", F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(w)).filter("kind = 1")
+    both = placed_words(spark, sf_dir).filter(F.char_length("word") >= 9)
     n = F.char_length("word")
     kinds = F.array(F.struct(F.lit("hunspell").alias("detector"), F.lit(0).alias("shift")), F.when(n == 10, F.struct(F.lit("zspell").alias("detector"), F.lit(0).alias("shift"))), F.when(n >= 11, F.struct(F.lit("nlprules").alias("detector"), F.lit(2).alias("shift"))))
     out = both.withColumn("k", F.explode(F.filter(kinds, lambda x: x.isNotNull())))
-    col = (F.col("at") - F.col("lo") + F.col("k.shift")).cast("int")
-    return out.select("doc_id", F.col("k.detector").alias("detector"), F.col("ln").alias("start_line"), col.alias("start_col"), F.col("ln").alias("end_line"), (col + n - 1).cast("int").alias("end_col"), "word")
+    col = (F.col("col") + F.col("k.shift")).cast("int")
+    return out.select("doc_id", F.col("k.detector").alias("detector"), F.col("line_no").alias("start_line"), col.alias("start_col"), F.col("line_no").alias("end_line"), (col + n - 1).cast("int").alias("end_col"), "word")
 
 
 _COLS = "doc_id, detector, start_line, start_col, end_line, end_col, word"
@@ -99,7 +88,7 @@ def reflow_paragraphs(spark, sf_dir):
 
 @query(f"WITH {D} SELECT doc_id, md5(regexp_replace(text, '([\\p{{L}}\\p{{M}}\\p{{N}}_]{{10,}})', '<\\1>', 'g')) AS text_md5 FROM d")
 def patches_apply(spark, sf_dir):
-    rows = with_offsets(word_rows(spark, sf_dir)).filter(F.char_length("word") >= 10)
+    rows = placed_words(spark, sf_dir).filter(F.char_length("word") >= 10)
     patches = rows.select("doc_id", F.col("start_off").alias("start"), (F.col("start_off") + F.char_length("word")).alias("end"), F.concat(F.lit("<"), "word", F.lit(">")).alias("content"))
     return patch.apply(docs(spark, sf_dir), patches).select("doc_id", F.md5("text").alias("text_md5"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import comments, positions
 from ..operators import chunks
+from ..tables import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -23,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 D = "d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"

@@ -40,12 +40,8 @@ def word_rows(spark, sf_dir):
     return tokens.word_table(docs(spark, sf_dir))
 
 
-def with_offsets(rows):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("tok_idx")
-    end = F.sum(F.col("gap") + F.char_length("word")).over(w)
-    return rows.withColumn("start_off", (end - F.char_length("word")).cast("int"))
+def placed_words(spark, sf_dir):
+    return tokens.word_table(docs(spark, sf_dir), places=True)
 
 
 def forms(spark, sf_dir):
@@ -55,7 +51,7 @@ def forms(spark, sf_dir):
 
 @query(f"WITH {TOK} SELECT doc_id, tok_idx, word, start_off FROM tok")
 def tokens_(spark, sf_dir):
-    return with_offsets(word_rows(spark, sf_dir)).select("doc_id", "tok_idx", "word", "start_off")
+    return placed_words(spark, sf_dir).select("doc_id", "tok_idx", "word", "start_off")
 
 
 QUERIES["tokens"], SQL["tokens"] = QUERIES.pop("tokens_"), SQL.pop("tokens_")
@@ -108,7 +104,7 @@ def lexicon_expand(spark, sf_dir):
 @query(f"""WITH {TOK}, {LEX}, {UNKNOWN}
 SELECT doc_id, word, count(*)::BIGINT AS n, min(start_off)::INT AS first_off FROM tok WHERE word IN (SELECT word FROM unk) GROUP BY ALL""")
 def misspelled(spark, sf_dir):
-    rows = spell.misspelled(with_offsets(word_rows(spark, sf_dir)), forms(spark, sf_dir))
+    rows = spell.misspelled(placed_words(spark, sf_dir), forms(spark, sf_dir))
     return rows.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("start_off").alias("first_off"))
 
 
@@ -222,14 +218,14 @@ def transform_recursive(spark, sf_dir):
 
 @query(f"""WITH {TOK}, l AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS b FROM tok) SELECT doc_id, tok_idx, word FROM l WHERE lower(word) = lower(b)""")
 def grammar_doubled_word(spark, sf_dir):
-    return grammar.doubled_words(word_rows(spark, sf_dir))
+    return grammar.doubled_words(docs(spark, sf_dir))
 
 
 @query(f"""WITH {TOK}, l AS (SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS next_word FROM tok),
 v AS (SELECT *, regexp_matches(lower(next_word), '^[aeiou]') AS vowel FROM l WHERE next_word IS NOT NULL)
 SELECT doc_id, tok_idx, word, next_word, CASE WHEN vowel THEN 'an' ELSE 'a' END AS replacement FROM v WHERE (lower(word) = 'a' AND vowel) OR (lower(word) = 'an' AND NOT vowel)""")
 def grammar_a_an(spark, sf_dir):
-    return grammar.a_or_an(word_rows(spark, sf_dir))
+    return grammar.a_or_an(docs(spark, sf_dir))
 
 
 _MATCH = """SELECT doc_id, '{rule}' AS rule_id, unnest(regexp_extract_all(text, '{p}')) AS hit, unnest(regexp_split_to_array(text, '{p}')[:len(regexp_extract_all(text, '{p}'))]) AS gap,

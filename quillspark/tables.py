@@ -1,4 +1,4 @@
-"""Intermediate tables that outlive lost executors."""
+"""Tables: intermediate ones that outlive lost executors, small ones that come in few files."""
 
 from __future__ import annotations
 
@@ -13,3 +13,12 @@ def settled(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores if its files give fewer, so that a small table in one file is not one task's work.
+
+    Tables that fill the cores stay as they are read: no text is shuffled for this at scale.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
