@@ -240,8 +240,11 @@ def page_number(record: F.Column) -> F.Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Writes pages as archives, reads them back and puts the transactions together, without payloads."""
+    """Writes pages as archives, reads them back and puts the transactions together, without payloads.
+
+    Archives are read and checked once: records without payloads are a table, of which each kind is a part.
+    """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_warc(pages, path)
-    return transactions(read_warc(spark, path, payloads="false"))
+    return transactions(cut(read_warc(spark, path, payloads="false"), "warc-records"))
