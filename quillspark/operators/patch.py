@@ -48,10 +48,11 @@ def decide(found: DataFrame, decisions: DataFrame, order: list[str], origin: str
     """
     d = found.join(decisions, "finding_id", "left").withColumn("choice", F.coalesce("choice", F.lit("skip")))
     at = F.struct(*[F.col(c) for c in order])
-    marks = d.agg(F.min(F.when(F.col("choice") == "quit", at)).alias("quit"), F.max(F.when(F.col("choice") == "abort", 1)).alias("abort"))
+    quit_at = d.agg(F.min(F.when(F.col("choice") == "quit", at))).scalar()
+    aborted = d.agg(F.max(F.when(F.col("choice") == "abort", 1))).scalar()
     skips = d.filter("choice = 'skip_file'").groupBy(F.col(origin).alias("__origin")).agg(F.min(at).alias("skip"))
-    rows = d.join(skips, F.col(origin) == F.col("__origin"), "left").drop("__origin").crossJoin(F.broadcast(marks))  # marks is one row
-    rows = rows.filter(F.col("abort").isNull() & (F.col("quit").isNull() | (at < F.col("quit"))) & (F.col("skip").isNull() | (at < F.col("skip"))))
+    rows = d.join(skips, F.col(origin) == F.col("__origin"), "left").drop("__origin")
+    rows = rows.filter(aborted.isNull() & (quit_at.isNull() | (at < quit_at)) & (F.col("skip").isNull() | (at < F.col("skip"))))
     number = F.col("choice").rlike("^[0-9]+$")
     content = F.when(number, F.get("replacements", F.when(number, F.col("choice")).cast("int") - 1)).when(F.col("choice") == "original", back_ticked(F.col("word"))).when(F.col("choice") == "custom", F.col("custom"))
-    return rows.withColumn("content", content).filter((F.col("content").isNotNull()) & (F.size("replacements") > 0)).drop("quit", "abort", "skip")
+    return rows.withColumn("content", content).filter((F.col("content").isNotNull()) & (F.size("replacements") > 0)).drop("skip")
