@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
+from ..tables import dealt
 
 MOST_REPLACEMENTS = 7
 
@@ -57,7 +58,7 @@ def candidates(unknown_words: DataFrame, forms: DataFrame, distance: int = 2, mo
     offers = offers.select("form", "n", "k", F.explode(F.expr(f"sequence(-{distance}, {distance})")).alias("shift"))
     a, b = f"cast(floor(n * k / {pieces}) as int)", f"cast(floor(n * (k + 1) / {pieces}) as int)"
     offers = offers.filter(f"{a} + shift >= 0").select("form", "n", "k", F.expr(f"substring(form, {a} + shift + 1, {b} - {a})").alias("piece")).distinct()
-    near = u.join(offers, ["n", "k", "piece"]).select("word", "form").distinct()
+    near = dealt(u, "n", "k", "piece").join(offers, ["n", "k", "piece"]).select("word", "form").distinct()
     near = near.withColumn("distance", F.levenshtein("word", "form")).filter(F.col("distance").between(1, distance))
     w = Window.partitionBy("word").orderBy("distance", "form")
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)

@@ -8,13 +8,14 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import dealt
 from .project import Found
 
 
 def from_rows(df: DataFrame, id_col: str, text_col: str, kind: str = "cmark") -> DataFrame:
     """A table's rows as origins; the same id twice is one origin (the one whose text comes first)."""
     rows = df.select(F.col(id_col).cast("string").alias("origin_id"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    return rows.groupBy("origin_id", "kind", "path").agg(F.min("content").alias("content"))
+    return dealt(rows, "origin_id").groupBy("origin_id", "kind", "path").agg(F.min("content").alias("content"))
 
 
 def kind_of_path(path: Column) -> Column:

@@ -22,3 +22,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df shuffled by keys to as many partitions as the session shuffles to. For few bytes that cost much time: by their size alone, adaptive execution would put them into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
