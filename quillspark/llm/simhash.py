@@ -15,8 +15,8 @@ in them only pairs of which one is outside the list's main component. A list of
 No link between different components is lost, so components are those of all links.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ids come after all
-others and a component of null ids alone has id null; rows that repeat an id are the same document. Other columns are
-not read.
+others and a component of null ids alone has id null; rows that repeat an id are grouped each by its own text. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -89,12 +89,13 @@ def fingerprint(text: str | None) -> int:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = [fingerprint(x.as_py()) for x in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["id", "fp", *b.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp for each row of docs."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_batches, "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """id, fp and more for each row of docs."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *more)
+    return rows.mapInArrow(_batches, ", ".join(["id long", "fp long", *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])]))
 
 
 def _keys(fp: Column, index_bytes: int) -> Column:
@@ -160,12 +161,16 @@ def groups(nodes: DataFrame, index_bytes: int = 3) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links lead to) for each row of docs."""
-    fps = cut(fingerprints(docs, id_col, text_col), "simhash-fps")
+    return _grouped(cut(fingerprints(docs, id_col, text_col), "simhash-fps"), index_bytes).select(F.col("id").alias("doc_id"), "fp", "component_id")
+
+
+def _grouped(fps: DataFrame, index_bytes: int = 3, *more: str) -> DataFrame:
+    """fps with component_id and more of what groups() gives."""
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
     labelled = groups(nodes, index_bytes)
     first = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of = cut(labelled.join(first, "comp").select("fp", "component_id"), "simhash-of")
-    return fps.join(of, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    of = cut(labelled.join(first, "comp").select("fp", *more, "component_id"), "simhash-of")
+    return fps.join(of, "fp")
 
 
 def as_hex(fp: Column) -> Column:
@@ -173,9 +178,30 @@ def as_hex(fp: Column) -> Column:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that of the smallest id; the columns of docs. Rows that repeat its id all stay."""
-    gone = near_duplicates(docs).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """docs with one document of each group, that of the smallest id; the columns of docs.
+
+    Each row is judged by the group of its own text, so an id of several texts may stay with some of them. In a group,
+    rows that repeat the id that stays all stay; of a group of null ids alone one row stays.
+    """
+    fps = cut(fingerprints(docs, "doc_id", "text", _text_hash().alias("h")), "simhash-fps")
+    grouped = _grouped(fps, 3, "comp")
+    gone = grouped.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    left = lambda rows, away: rows.join(away, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__h")), "left_anti")
+    if fps.filter("id is null").isEmpty():
+        return left(docs, gone)
+    # without an id, a group's row is chosen by its text, and by all columns among those of the same text
+    alone = grouped.filter("id is null and component_id is null").select("comp", "h").distinct()
+    kept = alone.groupBy("comp").agg(F.min("h").alias("h"))
+    away = alone.join(kept, ["comp", "h"], "left_anti").select(F.lit(None).cast("long").alias("__id"), F.col("h").alias("__h"))
+    null = F.col("doc_id").cast("long").isNull()
+    one = Window.partitionBy("__text").orderBy("__row")
+    rows = left(docs.filter(null), gone.union(away)).withColumn("__text", _text_hash()).withColumn("__row", F.xxhash64(*docs.columns))
+    rows = rows.withColumn("__nth", F.row_number().over(one)).filter("__nth = 1").select(*docs.columns)
+    return left(docs.filter(~null), gone).union(rows)
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def brute_force(rows: list[tuple[int, str]]) -> dict[int, tuple[str, int]]:
