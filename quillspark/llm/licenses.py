@@ -4,11 +4,14 @@ Texts are scanned as words: with A-Z lower-cased, runs of ASCII letters and digi
 ASCII. The automaton holds all phrases, each between spaces, and runs once over the words joined by spaces; a phrase
 counts wherever its words stand one after the other.
 
-Phrases of BASE give the base labels, their places and counts. NOTICES give more labels. After an identifier tag (in
-the raw text, up to the end of its line) and after the words "licensed under", an expression of identifiers, AND, OR,
-WITH and parentheses is read; the parser brings it to postfix order (WITH binds closest, then AND, then OR) and
-evaluates it to the labels it names and to the cost of the cheapest choice: OR takes the lighter side, AND the heavier.
-A tag whose expression does not parse yields the identifiers that can be read, joined as by AND.
+Phrases of BASE give the base labels, their places and counts. NOTICES give more labels. After an identifier tag (up to
+the end of its line, or of the line that closes its parentheses) and after the words "licensed under", an expression of
+identifiers, AND, OR, WITH and parentheses is read in the raw text, from where the words end; the parser brings it to
+postfix order (WITH binds closest, then AND, then OR) and evaluates it to the labels it names and to the cost of the
+cheapest choice: OR takes the lighter side, AND the heavier. A tag whose expression does not parse yields the
+identifiers that can be read, joined as by AND. In prose the longest expression counts, and the identifiers that follow
+in its sentence join it as by AND; line ends and comment marks do not end a sentence, and nor does its length, but a
+full stop, a semicolon, an empty line after an expression, or the next tag or "licensed under" does.
 
 score is 0 without labels; with some, 1 less the burden of what binds the text: 0.9 for permissive licences to 0.1
 for licences that forbid commercial use.
@@ -55,8 +58,16 @@ OTHER = 0.6
 _IDS = (("apache-2", "apache-2"), ("mit", "mit"), ("bsd", "bsd"), ("agpl", "agpl"), ("lgpl", "lgpl"), ("gpl-3", "gpl-3"), ("gpl-2", "gpl-2"), ("mpl-2", "mpl-2"), ("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("cc-by", "cc-by"))
 _DELIMITERS = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _FOLD = bytes.maketrans(_DELIMITERS + bytes(range(65, 91)), b" " * len(_DELIMITERS) + bytes(range(97, 123)))
-_TAG = re.compile(r"spdx-license-identifier\s*:?[ \t]*([^\r\n]*)", re.I)
-_UNDER = re.compile(r"licen[sc]ed[ \t]+under[ \t]+(?:the[ \t]+)?((?:\(|[A-Za-z0-9.+-]+)[^\r\n.;]{0,200})", re.I)
+#: The words of a tag and of UNDER where the automaton has them: between any characters that part words.
+UNDER = ("licensed under", "licenced under")
+_WORD, _GAP = r"[A-Za-z0-9\x80-\U0010FFFF]", r"[^A-Za-z0-9\x80-\U0010FFFF]+"
+_HIT = re.compile(rf"(?<!{_WORD})(?:(?P<tag>{'|'.join(p.replace(' ', _GAP) for p in TAGS)})|{'|'.join(p.replace(' ', _GAP) for p in UNDER)})(?!{_WORD})", re.I | re.A)
+_LINE = re.compile(r"[^\r\n]*(?:\r\n?|\n)?")
+_EMPTY = r"(?:\r\n?|\n)[ \t/*#;%>!-]*(?=[\r\n])"
+#: What prose is made of: identifiers whose dots are inside, parentheses, and what ends a sentence.
+_PIECE = re.compile(rf"(?P<id>[A-Za-z0-9](?:[A-Za-z0-9+:-]|\.(?=[A-Za-z0-9]))*)|(?P<paren>[()])|(?P<empty>{_EMPTY})|(?P<stop>[.;])")
+#: Words around identifiers in prose.
+_AROUND = {"the", "a", "an", "either", "both", "any", "of", "terms", "term", "following", "license", "licence", "licenses", "licences"}
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -122,9 +133,86 @@ def evaluate(expression: str) -> tuple[set[str], float]:
     return stack[0] if stack else (set(), 0.0)
 
 
+def _sentence(text: str, start: int, end: int) -> list[str]:
+    """Identifiers, operators and parentheses of the prose from start to the end of its sentence, without the words around them."""
+    out, depth = [], 0
+    for m in _PIECE.finditer(text, start, end):
+        if m.lastgroup == "stop" or (m.lastgroup == "empty" and out and not depth and out[-1].lower() not in _BINDS):
+            break
+        if m.lastgroup == "paren" or (m.lastgroup == "id" and m[0].lower() not in _AROUND):
+            out.append(m[0])
+            depth = max(depth + {"(": 1, ")": -1}.get(m[0], 0), 0)
+    return out
+
+
+def _named(token: str) -> bool:
+    """Whether a word of prose looks like an identifier: one of the table, or one with a digit or hyphen or in capitals."""
+    return label_of(token) in BURDEN or bool(re.search(r"[0-9-]", token)) or (len(token) > 1 and token.isupper())
+
+
+def _expression(tokens: list[str]) -> int:
+    """The number of tokens in the longest expression they begin with."""
+    depth, operand, longest = 0, True, 0
+    for k, t in enumerate(tokens):
+        if operand:
+            if t == "(":
+                depth += 1
+                continue
+            if t == ")" or t.lower() in _BINDS or not _named(t):
+                break
+            operand = False
+        elif t == ")":
+            if not depth:
+                break
+            depth -= 1
+        elif t.lower() in _BINDS:
+            operand = True
+            continue
+        else:
+            break
+        if not depth:
+            longest = k + 1
+    return longest
+
+
+def evaluate_prose(tokens: list[str]) -> tuple[set[str], float]:
+    """(labels, burden) of a sentence: only identifiers of the table give labels."""
+    try:
+        postfix(tokens)
+        n = len(tokens)
+    except ValueError:
+        n = _expression(tokens)
+    labels, burden = evaluate(" ".join(tokens[:n]))
+    rest = {label_of(t) for t in tokens[n:]} & BURDEN.keys()
+    return (labels & BURDEN.keys()) | rest, max([burden, *(BURDEN[x] for x in rest)])
+
+
+def _tagged(text: str, start: int, end: int) -> str:
+    """The line from start, and the lines after it up to the one that closes its parentheses, if one does before an empty line."""
+    first = at = _LINE.match(text, start, end).end()
+    depth = text.count("(", start, at) - text.count(")", start, at)
+    while depth > 0 and at < end:
+        stop = _LINE.match(text, at, end).end()
+        if not re.search("[A-Za-z0-9()]", text[at:stop]):
+            break
+        depth += text.count("(", at, stop) - text.count(")", at, stop)
+        at = stop
+    return text[start : at if depth <= 0 else first]
+
+
+def expressions(text: str) -> Iterator[tuple[set[str], float]]:
+    """(labels, burden) after each tag and "licensed under"."""
+    hits = list(_HIT.finditer(text))
+    for m, end in zip(hits, [*(h.start() for h in hits[1:]), len(text)], strict=True):
+        if m["tag"]:
+            yield evaluate(_tagged(text, re.compile(r"\s*:?[ \t]*").match(text, m.end(), end).end(), end))
+        else:
+            yield evaluate_prose(_sentence(text, m.end(), end))
+
+
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for phrase, what in [*((p, ("tag", None)) for p in TAGS), *((p, ("notice", label)) for p, label in NOTICES.items()), ("licensed under", ("under", None)), *((p, ("base", label)) for p, label in BASE.items())]:
+    for phrase, what in [*((p, ("tag", None)) for p in TAGS), *((p, ("notice", label)) for p, label in NOTICES.items()), *((p, ("under", None)) for p in UNDER), *((p, ("base", label)) for p, label in BASE.items())]:
         a.add_word(f" {phrase} ", (len(phrase) + 2, *what))
     a.make_automaton()
     return a
@@ -146,15 +234,11 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
             base.add(label)
         elif kind == "notice":
             more.add(label)
-    for kind, pattern in (("tag", _TAG), ("under", _UNDER)):
-        if kind in kinds:
-            for m in pattern.finditer(text):
-                labels, burden = evaluate(m[1])
-                if kind == "under":  # prose: only identifiers of the table count
-                    labels = {x for x in labels if x in BURDEN}
-                if labels:
-                    more |= labels
-                    burdens.append((labels, burden))
+    if kinds & {"tag", "under"}:
+        for labels, burden in expressions(text):
+            if labels:
+                more |= labels
+                burdens.append((labels, burden))
     labels = base | more
     own = [BURDEN.get(x, OTHER) for x in labels if not any(x in of for of, _ in burdens)] + [b for _, b in burdens]
     score = round(1 - max(own), 6) if labels else 0.0

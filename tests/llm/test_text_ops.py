@@ -297,6 +297,26 @@ def test_postfix_refuses_what_is_no_expression():
             licenses.postfix(bad)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("Licensed under MIT OR Apache-2.0 OR MPL-2.0", "apache-2,mit,mpl-2", 0.9),
+        ("Licensed under (Apache-2.0 OR MIT)", "apache-2,mit", 0.9),
+        ("Licensed under LGPL-2.1 OR MPL-2.0 OR BSD-3-Clause.  GPL-3.0 is not meant", "bsd,lgpl,mpl-2", 0.9),
+        ("// Licensed under the\n// BSD-3-Clause License", "bsd", 0.9),
+        ("licensed under " + " OR ".join(f"Some-Long-Identifier-{k}.0" for k in range(20)) + " OR MPL-2.0", "mpl-2", 0.6),
+        ("SPDX License Identifier: GPL-3.0", "gpl-3", 0.3),
+        ("SPDX-License-Identifier: (MIT OR\n  GPL-3.0-only)\nMPL-2.0", "gpl-3,mit", 0.9),
+        ("licensed under MIT OR GPL-3.0 at your choice", "gpl-3,mit", 0.9),
+        ("Licensed under either of\n\n * Apache-2.0 or\n * BSD-2-Clause\n\nGPL-3.0 elsewhere", "apache-2,bsd", 0.9),
+        ("licensed under MIT, Apache-2.0 and GPL-3.0", "apache-2,gpl-3,mit", 0.3),
+        ("licenced under MPL-2.0; GPL-3.0", "mpl-2", 0.6),
+    ],
+)
+def test_expressions_are_read_whole(text, labels, score):
+    assert licenses.scan(text)[5:] == (labels, score)
+
+
 def test_licenses_of_odd_documents(odd, empty):
     got = sorted(((r.doc_id, r.n_words, r.n_base) for r in licenses.scan_documents(odd).collect()), key=str)
     assert got == sorted(((k, *_license(t)[:2]) for k, t in data()), key=str)
