@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import positions
-from ..operators import chunks, cmark, findings, patch, reflow, report, rustlex
+from ..operators import chunks, cmark, findings, patch, reflow, report, rustlex, tokens
 from . import api
 from .q_positions import D, L, docs
 from .q_words import TOK, forms, placed_words, word_rows
@@ -166,6 +169,38 @@ def render_findings(spark, sf_dir):
     return rows.select("doc_id", block.alias("block"))
 
 
+#: Context on either side of a word; an excerpt of 80 is the same whatever a line has beyond that.
+_CONTEXT = 100
+
+
+def _in_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "start_line", "start_col", "word", "before", "after"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    for b in batches:
+        rows = []
+        for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for no, line in enumerate((text or "").split("\n"), 1):
+                for m in tokens._WORD.finditer(line):
+                    if m.end() - m.start() >= 9:
+                        rows.append((k, no, m.start(), m[0], line[max(m.start() - _CONTEXT, 0) : m.start()], line[m.end() : m.end() + _CONTEXT]))
+                        if len(rows) == 20_000:  # a batch of long texts goes on in parts
+                            yield made(rows)
+                            rows = []
+        if rows:
+            yield made(rows)
+
+
+@query()
+def render_every_finding(spark, sf_dir):
+    """All findings of each document, words of any length, each with its own line; render_findings has the first of each document."""
+    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.mapInArrow(_in_context, "doc_id long, start_line int, start_col int, word string, before string, after string")
+    start = F.char_length("before")
+    block = report.render(F.lit("hunspell"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.col("start_line"), F.concat("before", "word", "after"), start, start + F.char_length("word"), F.array(F.concat("word", F.lit("s"))), F.lit(None).cast("string"))
+    return rows.select("doc_id", "start_line", "start_col", block.alias("block"))
+
+
 @query()
 def erase_markup_docs(spark, sf_dir):
     rows = cmark.plain_chunks(docs(spark, sf_dir), ("doc_id",))

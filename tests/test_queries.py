@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives; the others give rows; what stays when optional parts are gone."""
 
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -64,3 +65,18 @@ def test_errors_inside_optional_parts_are_not_swallowed(tmp_path):
     (llm / "queries.py").write_text("import there_is_no_such_module\n")
     got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True, check=False)
     assert got.returncode and "there_is_no_such_module" in got.stderr
+
+
+def test_every_finding_is_rendered_with_its_line(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators import report
+
+    texts = [f"short {'x' * 150} words anotherword\nthe second lïne has {'y' * 25} and wordsenough " + "tail words follow " * 40, "", None, "nothing", "a" * 30]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.start_line, r.start_col): r.block for r in registry.queries()["render_every_finding"](spark, str(tmp_path)).collect()}
+    rows = [(k, no, m.start(), m[0], line) for k, t in enumerate(texts) for no, line in enumerate((t or "").split("\n"), 1) for m in re.finditer(r"\w{9,}", line)]
+    whole = spark.createDataFrame(rows, "doc_id long, no int, col int, word string, line string")
+    block = report.render(F.lit("hunspell"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.col("no"), F.col("line"), F.col("col"), F.col("col") + F.char_length("word"), F.array(F.concat("word", F.lit("s"))), F.lit(None).cast("string"))
+    assert len(rows) == 5 and got == {(r.doc_id, r.no, r.col): r.block for r in whole.select("doc_id", "no", "col", block.alias("block")).collect()}
+    assert "aaaa...aaaa" in got[4, 1, 0] and ".." in got[1 - 1, 2, 20]
