@@ -151,6 +151,14 @@ def suggest_levenshtein(spark, sf_dir):
     return spell.candidates(bad, lex.filter(F.col("form").rlike("^[a-z]+$"))).select("word", "form", F.col("distance").cast("int").alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
+@query()
+def suggest_every_word(spark, sf_dir):
+    """Suggestions for all unknown words from all forms, in code points; suggest_levenshtein has those of a to z alone."""
+    lex = forms(spark, sf_dir)
+    near = spell.candidates(spell.unknown(word_rows(spark, sf_dir).select("word"), lex), lex)
+    return near.select("word", "form", F.col("distance").cast("int").alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
 PAIRS = [("th", "t"), ("t", "th"), ("e", "ee"), ("ee", "e"), ("s", "ss"), ("o", "oo"), ("in", "en"), ("a", "e"), ("ou", "o")]
 _PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
 

@@ -80,3 +80,25 @@ def test_every_finding_is_rendered_with_its_line(spark, tmp_path):
     block = report.render(F.lit("hunspell"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.col("no"), F.col("line"), F.col("col"), F.col("col") + F.char_length("word"), F.array(F.concat("word", F.lit("s"))), F.lit(None).cast("string"))
     assert len(rows) == 5 and got == {(r.doc_id, r.no, r.col): r.block for r in whole.select("doc_id", "no", "col", block.alias("block")).collect()}
     assert "aaaa...aaaa" in got[4, 1, 0] and ".." in got[1 - 1, 2, 20]
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_every_word_gets_suggestions(spark, tmp_path):
+    known = "été naïve größe straße слово word2 item10 naive words a 日本語 résumé"
+    bad = "éte naïv Größee straßen слова wrod2 Item11 Words1 zzzzzzzz 日本誌 resume Été2"
+    spark.createDataFrame([(1, bad)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, known)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.word, r.form, r.distance, r.rank) for r in registry.queries()["suggest_every_word"](spark, str(tmp_path)).collect()}
+    want = set()
+    for w in bad.split():
+        near = sorted((d, f) for f in known.split() if 1 <= (d := _distance(w, f)) <= 2)
+        want |= {(w, f, d, k) for k, (d, f) in enumerate(near[:7], 1)}
+    assert got == want and {w for w, *_ in got} >= {"éte", "слова", "Größee", "wrod2", "日本誌"}
