@@ -1,13 +1,15 @@
 """Archives of members in a folder that all machines reach: a Spark data source to write and to read them.
 
 Writing: each task writes archives of its own under names that no other attempt uses; when all tasks have succeeded, the
-driver renames the files of the attempts that count. Lost and repeated attempts leave nothing among the results.
+driver writes one list of the files of the attempts that count. What no list names is not there for readers, so lost and
+repeated attempts leave nothing among the results. A folder without lists (archives from elsewhere) is read whole.
 
 An archive is a ZIP file of stored members, so its directory has each member's offset, size and CRC-32. Reading: the
-driver lists files and sizes alone and plans byte ranges over them; the task of a range reads the archive's directory,
-takes the members whose offset is in its range, and streams their bytes in Arrow batches of bounded size. A member that
-can't be read or fails its check is read again by its offset, from a file opened anew, with no effect on the others;
-after the last try the read fails, or with onError=report yields the member's name and error with null bytes.
+driver knows files and sizes alone and plans byte ranges over them; small archives share a task, up to a range's bytes.
+The task of a range reads the archive's directory, takes the members whose offset is in its range, and streams their bytes
+in Arrow batches of bounded size. A directory or member that can't be read or fails its check is read again, a member by
+its offset, from a file opened anew, with no effect on the others; after the last try the read fails, or with
+onError=report yields the member's name and error with null bytes.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-PENDING = "_pending"
+#: The name of a list of files that a commit has written; a line has a size and a name.
+LIST = "_files-"
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
@@ -34,25 +37,25 @@ def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list[str]
+    files: list[tuple[str, int]]
 
 
 class Shards:
-    """Files of one task, each closed at about so many bytes; names: those that are done."""
+    """Files of one task, each closed at about so many bytes; files: (name, size) of those that are done."""
 
     def __init__(self, uri: str, suffix: str, most: int):
         self.fs, self.folder = open_folder(uri)
         self.suffix, self.most = suffix, most
-        self.names: list[str] = []
-        self.out = None
-        self.fs.create_dir(f"{self.folder}/{PENDING}", recursive=True)
+        self.files: list[tuple[str, int]] = []
+        self.out = self.name = None
+        self.fs.create_dir(self.folder, recursive=True)
 
     def stream(self):
         """The open file; a new one if the last is full."""
         if self.out is None or self.out.tell() >= self.most:
             self.close()
-            self.names.append(f"{uuid.uuid4().hex}{self.suffix}")
-            self.out = self.opened(self.fs.open_output_stream(f"{self.folder}/{PENDING}/{self.names[-1]}", compression=None))
+            self.name = f"{uuid.uuid4().hex}{self.suffix}"
+            self.out = self.opened(self.fs.open_output_stream(f"{self.folder}/{self.name}", compression=None))
         return self.out
 
     def opened(self, stream):
@@ -61,6 +64,7 @@ class Shards:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
+            self.files.append((self.name, self.fs.get_file_info(f"{self.folder}/{self.name}").size))
         self.out = None
 
 
@@ -83,25 +87,56 @@ class ZipShards(Shards):
 
 
 def commit(uri: str, messages: list[Written | None]) -> None:
+    """One list of all files, whatever their number; it appears whole, under its last name."""
+    files, folder = open_folder(uri)
+    files.create_dir(folder, recursive=True)
+    name = f"{LIST}{uuid.uuid4().hex}"
+    with files.open_output_stream(f"{folder}/.{name}", compression=None) as out:
+        for m in messages:
+            out.write("".join(f"{size} {f}\n" for f, size in (m.files if m else ())).encode())
+    files.move(f"{folder}/.{name}", f"{folder}/{name}")
+
+
+def abort(uri: str, messages: list[Written | None]) -> None:
     files, folder = open_folder(uri)
     for m in messages:
-        for name in m.names if m else ():
-            files.move(f"{folder}/{PENDING}/{name}", f"{folder}/{name}")
-    files.delete_dir(f"{folder}/{PENDING}") if files.get_file_info(f"{folder}/{PENDING}").type == fs.FileType.Directory else None
+        for name, _ in m.files if m else ():
+            files.delete_file(f"{folder}/{name}")
 
 
 def listing(uri: str, suffix: str) -> list[tuple[str, int]]:
     """(path, size) of a folder's archives, by name; a folder that isn't there has none."""
     files, folder = open_folder(uri)
-    found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(suffix))
+    found = [f for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.type == fs.FileType.File]
+    lists = [f.path for f in found if f.base_name.startswith(LIST)]
+    if not lists:
+        return sorted((f.path, f.size) for f in found if f.path.endswith(suffix))
+    out = []
+    for path in lists:
+        with files.open_input_stream(path, compression=None) as told:
+            out += [(f"{folder}/{name}", int(size)) for size, _, name in (line.partition(" ") for line in told.read().decode().splitlines()) if name.endswith(suffix)]
+    return sorted(out)
 
 
 @dataclass
-class Range(InputPartition):
-    path: str
-    start: int
-    end: int
+class Ranges(InputPartition):
+    """(path, start, end) of what one task reads."""
+
+    parts: list[tuple[str, int, int]]
+
+
+def planned(archives: list[tuple[str, int]], most: int, split: bool = True) -> list[Ranges]:
+    """Tasks of about so many bytes: ranges of large archives if they can be split, several small ones together."""
+    out, size = [Ranges([])], 0
+    for path, n in archives:
+        for start in range(0, n, most) if split else (0,):
+            end = min(start + most, n) if split else n
+            if size and size + end - start > most:
+                out.append(Ranges([]))
+                size = 0
+            out[-1].parts.append((path, start, end))
+            size += end - start
+    return out
 
 
 class MemberWriter(DataSourceArrowWriter):
@@ -116,26 +151,23 @@ class MemberWriter(DataSourceArrowWriter):
             for name, data in zip(batch.column(0), batch.column(1), strict=True):
                 shards.stream().zip.writestr(zipfile.ZipInfo(name.as_py()), data.as_py())
         shards.close()
-        return Written(shards.names)
+        return Written(shards.files)
 
     def commit(self, messages: list[Written | None]) -> None:
         commit(self.uri, messages)
 
     def abort(self, messages: list[Written | None]) -> None:
-        files, folder = open_folder(self.uri)
-        for m in messages:
-            for name in m.names if m else ():
-                files.delete_file(f"{folder}/{PENDING}/{name}")
+        abort(self.uri, messages)
 
 
 class MemberReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.uri = options["path"]
-        self.range, self.batch = int(options.get("rangebytes", 32 << 20)), int(options.get("batchbytes", 4 << 20))
+        self.range, self.batch = int(options.get("rangebytes", 16 << 20)), int(options.get("batchbytes", 4 << 20))
         self.tries, self.report = int(options.get("tries", 3)), options.get("onerror", "fail") == "report"
 
-    def partitions(self) -> list[Range]:
-        return [Range(path, s, min(s + self.range, size)) for path, size in listing(self.uri, ".zip") for s in range(0, size, self.range)] or [Range("", 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        return planned(listing(self.uri, ".zip"), self.range)
 
     def open(self, path: str):
         return open_folder(self.uri)[0].open_input_file(path)
@@ -162,22 +194,29 @@ class MemberReader(DataSourceReader):
             raise OSError(f"{info.filename} in {path}, at {info.header_offset}: {error}")
         return None, None, str(error)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
-        file = self.open(partition.path)
-        with zipfile.ZipFile(file) as z:
-            members = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
-        file, rows, size = None, [], 0
-        for info in sorted(members, key=lambda i: i.header_offset):
-            file, data, error = self.member(partition.path, file, info)
-            rows.append((info.filename, info.header_offset, data, error))
-            size += len(data or b"")
-            if size >= self.batch:
-                yield self.arrow(partition.path, rows)
-                rows, size = [], 0
-        if rows:
-            yield self.arrow(partition.path, rows)
+    def directory(self, path: str) -> list[zipfile.ZipInfo]:
+        for k in range(self.tries):
+            try:
+                with self.open(path) as file, zipfile.ZipFile(file) as z:
+                    return z.infolist()
+            except (OSError, zipfile.BadZipFile) as e:
+                error = e
+                time.sleep(0.05 * 2**k)
+        raise OSError(f"directory of {path}: {error}")
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for path, start, end in partition.parts:
+            members = [i for i in self.directory(path) if start <= i.header_offset < end]
+            file, rows, size = None, [], 0
+            for info in sorted(members, key=lambda i: i.header_offset):
+                file, data, error = self.member(path, file, info)
+                rows.append((info.filename, info.header_offset, data, error))
+                size += len(data or b"")
+                if size >= self.batch:
+                    yield self.arrow(path, rows)
+                    rows, size = [], 0
+            if rows:
+                yield self.arrow(path, rows)
 
     @staticmethod
     def arrow(path: str, rows: list[tuple]) -> pa.RecordBatch:

@@ -7,16 +7,18 @@ only the HTTP head. Which page that is comes from a maximum by payload digest, w
 several pages are kept as a table, and pages learn from it in a join that Spark broadcasts by the table's size or else
 splits where a payload has very many pages. Pages with payloads of their own have a key of their own there.
 
-Reading: each file is a partition of a Spark data source that streams records in Arrow batches of bounded size and
-checks every digest; files are of bounded size. Assembly joins each response or revisit with the request and the
-metadata that name it, and emits one nested row for each capture.
+Reading: files of bounded size are partitions of a Spark data source that streams records in Arrow batches of bounded
+size and checks every digest. Assembly joins each response or revisit with the request and the metadata that name it, and
+emits one nested row for each capture.
 
-Record ids are urn:uuid: with the record's kind in the upper half and the page's id in the lower, so a revisit's
-response can be told without another join.
+Record ids are urn:uuid: with the record's kind and bits of a hash of url and payload in the upper half and the page's id
+in the lower: pages that repeat an id with another url or payload are told apart, and a revisit's response can be told
+without another join.
 
 Defined cases: null html is an empty payload; a null url has no WARC-Target-URI; null ids come first (a page with an id
 is the response before them); rows that repeat id and payload are captures of their own, and if theirs is the largest id
-each is a response; an empty table gives no file and no row. Other columns are not read.
+each is a response (revisits refer to the one of the largest url); rows that repeat the url as well have the same record
+ids; an empty table gives no file and no row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,59 +36,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
-from .archive import Range, Shards, Written, commit, listing, open_folder
+from .archive import Ranges, Shards, Written, abort, commit, listing, open_folder
+from .archive import planned as tasks
 from .common import cut, shared_path
 
 LEAST = 1000
 SHARD_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 KINDS = {"request": 1, "response": 2, "revisit": 2, "metadata": 3}
-_NULL = 1 << 15
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(kind: str, page_id: int | None) -> str:
-    high, low = KINDS[kind], page_id
-    if page_id is None:
-        high, low = high | _NULL, 0
-    x = f"{high:016x}{low & (1 << 64) - 1:016x}"
+def record_id(kind: str, page_id: int | None, url: str | None, payload: bytes) -> str:
+    """In hex: the kind, 8 for pages without an id, two zeros, 12 digits of a hash of url and payload, the page's id in 16."""
+    own = hashlib.sha1(b"-" if url is None else b"+" + url.encode("utf-8", "replace") + b"\0")
+    own.update(payload)
+    x = f"{KINDS[kind]:x}{8 if page_id is None else 0}00{own.hexdigest()[:12]}{(page_id or 0) & (1 << 64) - 1:016x}"
     return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:]}>"
 
 
-def page_of(record: str) -> int | None:
-    x = int(record.removeprefix("<urn:uuid:").rstrip(">").replace("-", ""), 16)
-    low = x & (1 << 64) - 1
-    return None if x >> 64 & _NULL else low - (low >> 63 << 64)
-
-
 def _sha1(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
-def record(kind: str, page_id: int | None, headers: list[tuple[str, str]], block: bytes) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, page_id)), ("WARC-Date", "2020-01-01T00:00:00Z"), *headers, ("WARC-Block-Digest", _sha1(hashlib.sha1(block).digest())), ("Content-Length", str(len(block)))]
+def record(kind: str, own_id: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
+    head = [("WARC-Type", kind), ("WARC-Record-ID", own_id), ("WARC-Date", "2020-01-01T00:00:00Z"), *headers, ("WARC-Block-Digest", _sha1(hashlib.sha1(block).digest())), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def capture(page_id: int | None, url: str | None, payload: bytes, response_id: int | None, is_revisit: bool) -> list[bytes]:
+def capture(page_id: int | None, url: str | None, payload: bytes, response_id: int | None, response_url: str | None, is_revisit: bool) -> list[bytes]:
     """The three records of a page."""
     target = [] if url is None else [("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%~"))]
+    name = lambda kind: record_id(kind, page_id, url, payload)
     digest = hashlib.sha1(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     own = [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", _sha1(digest.digest()))]
     if is_revisit:
-        main = record("revisit", page_id, [*target, *own, ("WARC-Profile", _REVISIT), ("WARC-Refers-To", record_id("response", response_id))], http)
+        main = record("revisit", name("revisit"), [*target, *own, ("WARC-Profile", _REVISIT), ("WARC-Refers-To", record_id("response", response_id, response_url, payload))], http)
     else:
-        main = record("response", page_id, [*target, *own], http + payload)
-    with_it = ("WARC-Concurrent-To", record_id("response", page_id))
+        main = record("response", name("response"), [*target, *own], http + payload)
+    with_it = ("WARC-Concurrent-To", name("response"))
     path = re.sub(r"^[a-z]+://[^/]*", "", target[0][1]) if target else ""
-    request = record("request", page_id, [*target, with_it, ("Content-Type", "application/http;msgtype=request")], f"GET /{path.removeprefix('/')} HTTP/1.1\r\n\r\n".encode())
-    metadata = record("metadata", page_id, [*target, with_it, ("Content-Type", "application/warc-fields")], f"payloadSha1Hex: {digest.hexdigest()}\r\n".encode())
+    request = record("request", name("request"), [*target, with_it, ("Content-Type", "application/http;msgtype=request")], f"GET /{path.removeprefix('/')} HTTP/1.1\r\n\r\n".encode())
+    metadata = record("metadata", name("metadata"), [*target, with_it, ("Content-Type", "application/warc-fields")], f"payloadSha1Hex: {digest.hexdigest()}\r\n".encode())
     return [request, main, metadata]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Rows (page_id, url, html, response_id, is_revisit) become captures."""
+    """Rows (page_id, url, html, response_id, response_url, is_revisit) become captures."""
 
     def __init__(self, options: dict[str, str]):
         self.uri, self.most = options["path"], int(options.get("shardbytes", SHARD_BYTES))
@@ -94,22 +91,19 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         shards = Shards(self.uri, ".warc.gz", self.most)
         for b in iterator:
-            for k, url, html, response, again in zip(*(b.column(i) for i in range(5)), strict=True):
+            for k, url, html, *response in zip(*(b.column(i) for i in range(6)), strict=True):
                 payload = (html.as_py() or "").encode("utf-8", "replace")
                 out = shards.stream()
-                for r in capture(k.as_py(), url.as_py(), payload, response.as_py(), again.as_py()):
+                for r in capture(k.as_py(), url.as_py(), payload, *(x.as_py() for x in response)):
                     out.write(gzip.compress(r, 1, mtime=0))
         shards.close()
-        return Written(shards.names)
+        return Written(shards.files)
 
     def commit(self, messages) -> None:
         commit(self.uri, messages)
 
     def abort(self, messages) -> None:
-        files, folder = open_folder(self.uri)
-        for m in messages:
-            for name in m.names if m else ():
-                files.delete_file(f"{folder}/_pending/{name}")
+        abort(self.uri, messages)
 
 
 def records(stream) -> Iterator[bytes]:
@@ -159,25 +153,24 @@ _SCHEMA = pa.schema([(n, pa.string()) for n in ("record_id", "type", "uri", "con
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.uri, self.payloads, self.tries = options["path"], options.get("payloads", "true") == "true", int(options.get("tries", 3))
+        self.uri, self.payloads, self.most = options["path"], options.get("payloads", "true") == "true", int(options.get("rangebytes", 16 << 20))
 
     def partitions(self) -> list[InputPartition]:
-        return [Range(path, 0, size) for path, size in listing(self.uri, ".warc.gz")] or [Range("", 0, 0)]
+        return tasks(listing(self.uri, ".warc.gz"), self.most, split=False)
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        with open_folder(self.uri)[0].open_input_stream(partition.path, compression=None) as stream:
-            for raw in records(stream):
-                row = parse(raw)
-                if not self.payloads and row["type"] == "response":
-                    row["payload"] = None
-                rows.append(row)
-                size += len(raw)
-                if size >= BATCH_BYTES or len(rows) >= 5000:
-                    yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-                    rows, size = [], 0
+        for path, _, _ in partition.parts:
+            with open_folder(self.uri)[0].open_input_stream(path, compression=None) as stream:
+                for raw in records(stream):
+                    row = parse(raw)
+                    if not self.payloads and row["type"] == "response":
+                        row["payload"] = None
+                    rows.append(row)
+                    size += len(raw)
+                    if size >= BATCH_BYTES or len(rows) >= 5000:
+                        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
+                        rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
@@ -200,15 +193,15 @@ class Warc(DataSource):
 
 
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html, response_id, is_revisit: which page each repeats."""
+    """page_id, url, html, response_id, response_url, is_revisit: which page each repeats."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.when(F.octet_length("html") >= LEAST, F.sha1(F.col("html").cast("binary"))))
-    groups = rows.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("response_id")).filter("n > 1")
-    groups = cut(groups.select(F.col("digest").alias("key"), "response_id"), "warc-repeated")
+    groups = rows.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("response")).filter("n > 1")
+    groups = cut(groups.select(F.col("digest").alias("key"), F.lit(True).alias("repeated"), "response"), "warc-repeated")
     out = rows.withColumn("key", F.coalesce("digest", F.concat_ws(":", F.lit("small"), "page_id", F.xxhash64("url").cast("string")))).join(groups, "key", "left")
-    again = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
-    return out.select("page_id", "url", "html", "response_id", again.alias("is_revisit"))
+    again = F.col("repeated").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response.page_id"))
+    return out.select("page_id", "url", "html", F.col("response.page_id").alias("response_id"), F.col("response.url").alias("response_url"), again.alias("is_revisit"))
 
 
 def write_warc(pages: DataFrame, path: str, **options: str) -> None:
@@ -235,16 +228,15 @@ def page_number(record: F.Column) -> F.Column:
     """The page's id that a record id carries."""
     x = F.regexp_replace(record, "urn:uuid:|[^0-9a-f]", "")
     high, low = F.conv(F.substring(x, -16, 8), 16, 10).cast("long"), F.conv(F.substring(x, -8, 8), 16, 10).cast("long")
-    null = F.substring(x, 13, 1).isin(*"89abcdef")
-    return F.when(~null, F.shiftleft(high, 32).bitwiseOR(low))
+    return F.when(F.substring(x, 2, 1) == "0", F.shiftleft(high, 32).bitwiseOR(low))
 
 
-def captures(pages: DataFrame) -> DataFrame:
-    """Writes pages as archives, reads them back and puts the transactions together, without payloads.
+def captures(pages: DataFrame, payloads: bool = True) -> DataFrame:
+    """Writes pages as archives, reads them back and puts the transactions together; payloads=False leaves payloads out once they have been checked.
 
-    Archives are read and checked once: records without payloads are a table, of which each kind is a part.
+    Archives are read and checked once: the records are a table, of which each kind is a part.
     """
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     write_warc(pages, path)
-    return transactions(cut(read_warc(spark, path, payloads="false"), "warc-records"))
+    return transactions(cut(read_warc(spark, path, payloads=str(payloads).lower()), "warc-records"))

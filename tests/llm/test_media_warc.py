@@ -6,6 +6,7 @@ import zlib
 from urllib.parse import urlparse
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import archive, media, warc
 from quillspark.llm import queries as Q
@@ -69,8 +70,14 @@ def _reader(tmp_path, fails):
             f = super().open(path)
             if len(opened) - 2 in fails:  # the first opening reads the directory
                 class Broken:
+                    closed = False
+                    __enter__ = lambda self: self
+                    __exit__ = lambda self, *_: None
+
                     def seek(self, *_):
                         raise OSError("gone")
+
+                    seekable = tell = read = seek
                 return Broken()
             return f
 
@@ -163,16 +170,58 @@ def test_transactions_are_nested(spark):
         assert r.response.type == "revisit" or hashlib.sha1(r.response.payload).hexdigest() == r.response.payload_digest
 
 
-def test_ids_are_in_record_ids():
-    for k in (0, 5, -1, -(1 << 63), (1 << 63) - 1, None):
-        assert warc.page_of(warc.record_id("response", k)) == k
+def test_ids_are_in_record_ids(spark):
+    ids = [0, 5, -1, -(1 << 63), (1 << 63) - 1, None]
+    rows = [(warc.record_id("response", k, "u", b"p"),) for k in ids]
+    assert [r[0] for r in spark.createDataFrame(rows, "r string").select(warc.page_number(F.col("r"))).collect()] == ids
+    assert len({warc.record_id("response", 1, u, p) for u in (None, "", "-", "u") for p in (b"", b"p")}) == 8
+
+
+def test_pages_of_one_id_keep_their_own_records(spark, tmp_path):
+    rows = [(1, "u", "a" * 2000), (1, "u", "b" * 2000), (1, "w", "b" * 2000), (1, None, ""), (0, "x", "b" * 2000), (None, "n", "c"), (None, "n", "d")]
+    pages = _pages(spark, rows)
+    assert _rows(_query(spark, tmp_path, pages)) == _expected(rows)
+    got = warc.captures(pages).collect()
+    assert len({r.record_id for r in got}) == len(rows)
+    for r in got:
+        assert f"payloadSha1Hex: {r.response.payload_digest}".encode() in r.metadata.fields and r.request.uri == r.metadata.uri == r.response.uri
+        assert r.response.type == "revisit" or hashlib.sha1(r.response.payload).hexdigest() == r.response.payload_digest
+    refers = {r.response.refers_to for r in got if r.response.type == "revisit"}
+    assert refers == {warc.record_id("response", 1, "w", b"b" * 2000)} <= {r.record_id for r in got}
+
+
+def test_only_files_of_a_list_are_read(spark, tmp_path):
+    uri = f"file://{tmp_path}/m"
+    parts = [archive.ZipShards(uri, ".zip", 100) for _ in range(3)]
+    for k, p in enumerate(parts):
+        for j in range(3):
+            p.stream().zip.writestr(zipfile.ZipInfo(f"{k}-{j}"), b"x" * 90)
+        p.close()
+    archive.commit(uri, [archive.Written(parts[0].files), None, archive.Written(parts[1].files)])  # the third attempt was lost
+    names = lambda: {r.name for r in media.read_media(spark, uri).collect()}
+    assert names() == {f"{k}-{j}" for k in range(2) for j in range(3)}
+    archive.commit(uri, [archive.Written(parts[2].files)])
+    assert len(names()) == 9 and len(archive.listing(uri, ".zip")) == sum(len(p.files) for p in parts)
+
+
+def test_tasks_have_ranges_of_large_archives_and_several_small_ones():
+    got = archive.planned([("a", 10), ("b", 25), ("c", 3), ("d", 3)], 10)
+    assert [p.parts for p in got] == [[("a", 0, 10)], [("b", 0, 10)], [("b", 10, 20)], [("b", 20, 25), ("c", 0, 3)], [("d", 0, 3)]]
+    assert [p.parts for p in archive.planned([("a", 25), ("b", 3)], 10, split=False)] == [[("a", 0, 25)], [("b", 0, 3)]]
+    assert [p.parts for p in archive.planned([], 10)] == [[]]
+
+
+def test_a_directory_is_read_again(tmp_path):
+    flaky, opened = _reader(tmp_path, {-1})
+    r = flaky({"path": str(tmp_path)})
+    assert len([x for p in r.partitions() for b in r.read(p) for x in b.to_pylist()]) == 3 and len(opened) == 3
 
 
 def test_a_cut_archive_is_an_error():
     import gzip
     import io
 
-    raw = gzip.compress(warc.record("metadata", 1, [], b"x" * 1000))
+    raw = gzip.compress(warc.record("metadata", "<urn:uuid:1>", [], b"x" * 1000))
     assert len(list(warc.records(io.BytesIO(raw * 3)))) == 3
     with pytest.raises(OSError):
         list(warc.records(io.BytesIO(raw * 2 + raw[:20])))
