@@ -4,8 +4,8 @@ A paragraph is a line, or each run of up to WORDS words of a longer one; its dig
 check of those. A cell of a sketch is the XOR of the digests that fall on it; each digest falls on one cell in each of
 several parts. XOR is its own inverse: subtracting another version's sketch cell by cell leaves the paragraphs in which
 the versions differ. Peeling takes the cells whose check holds, which have a single digest, removes those digests from
-their other cells, and goes on until all cells are empty. How many of the recovered digests are of either side follows
-from the sizes of both sets. If cells remain, both versions are sketched again, larger: digests are dealt into segments
+their other cells, and goes on until all cells are empty. What is recovered are the digests that only one version has; of
+which, membership in the set at hand tells. If cells remain, both versions are sketched again, larger: digests are dealt into segments
 by hash, each with a sketch of its own; segments that still fail are dealt anew by other hashes with more room. Should
 the largest sketch fail, which is a matter of hash collisions, the digests themselves are compared.
 
@@ -74,18 +74,20 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peel(cells: Column, shape: tuple[int, int], shift: int = 0, rounds: int = 10) -> Column:
-    """struct(n, done): how many digests were recovered, and whether none is left."""
+    """struct(found, done): the digests that were recovered, and whether none is left."""
     holds = lambda c: (c != 0) & (_check(F.shiftrightunsigned(c, 16)) == c.bitwiseAND(0xFFFF))
-    pure = lambda cs: F.transform(F.array_distinct(F.filter(cs, holds)), lambda k: F.struct(k.alias("k"), _places(k, shape, shift).alias("m")))
-    state = lambda cs, n, stop: F.struct(cs.alias("cells"), n.alias("n"), stop.alias("stop"))
+    state = lambda cs, found, stop: F.struct(cs.alias("cells"), found.alias("found"), stop.alias("stop"))
+    entries = lambda ks: F.transform(ks, lambda k: F.struct(k.alias("k"), _places(k, shape, shift).alias("m")))
 
     def step(s, _):
-        more = let(pure(s["cells"]), lambda ps: F.when(F.size(ps) == 0, state(s["cells"], s["n"], F.lit(True))).otherwise(state(_toggle(s["cells"], ps), s["n"] + F.size(ps), F.lit(False))))
+        more = let(
+            F.array_distinct(F.filter(s["cells"], holds)),
+            lambda ks: F.when(F.size(ks) == 0, state(s["cells"], s["found"], F.lit(True))).otherwise(state(let(entries(ks), lambda es: _toggle(s["cells"], es)), F.concat(s["found"], ks), F.lit(False))),
+        )
         return F.when(s["stop"], s).otherwise(more)
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)), state(cells, F.lit(0), F.lit(False)), step, lambda s: F.struct(s["n"].alias("n"), (~F.exists(s["cells"], lambda c: c != 0)).alias("done"))
-    )
+    start = state(cells, F.array().cast("array<bigint>"), F.lit(False))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.struct(s["found"].alias("found"), (~F.exists(s["cells"], lambda c: c != 0)).alias("done")))
 
 
 def _segments(pair: Column, room: int, salt: int) -> Column:
@@ -101,26 +103,26 @@ def _segments(pair: Column, room: int, salt: int) -> Column:
 
 
 def with_differences(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """rows with out: the number of digests that only one of the columns a and b has.
+    """rows with out: the digests that only one of the columns a and b has.
 
     Peels the difference of the columns a_cells and b_cells first; what fails is sketched anew in segments, try by try,
     each try in a column of its own, and what fails then is compared digest by digest.
     """
     name = lambda k: f"__{out}_{k}"
     pair = F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    nothing = F.array().cast("array<struct<a:array<bigint>,b:array<bigint>>>")
+    nothing, none = F.array().cast("array<struct<a:array<bigint>,b:array<bigint>>>"), F.array().cast("array<bigint>")
     rows = rows.withColumn(name("first"), peel(subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")), SMALL))
     rows = rows.withColumn(name("open"), F.when(F.col(name("first"))["done"], nothing).otherwise(F.array(pair)))
-    sums = F.when(F.col(name("first"))["done"], F.col(name("first"))["n"]).otherwise(0)
+    found = [F.when(F.col(name("first"))["done"], F.col(name("first"))["found"]).otherwise(none)]
     for k, room in enumerate(ROOM):
         shift = 3 * (k + 1)
         got = lambda p: F.struct(p.alias("p"), peel(sketch(F.concat(p["a"], p["b"]), LARGE, shift), LARGE, shift).alias("got"))  # noqa: B023, E731
         rows = rows.withColumn(name(f"segments{k}"), F.flatten(F.transform(F.col(name("open")), lambda p: _segments(p, room, k))))  # noqa: B023
         rows = rows.withColumn(name(f"tried{k}"), F.transform(F.col(name(f"segments{k}")), got))
         rows = rows.withColumn(name("open"), F.transform(F.filter(F.col(name(f"tried{k}")), lambda x: ~x["got"]["done"]), lambda x: x["p"]))
-        sums += F.aggregate(F.col(name(f"tried{k}")), F.lit(0), lambda n, x: F.when(x["got"]["done"], n + x["got"]["n"]).otherwise(n))
-    rest = F.transform(F.col(name("open")), lambda p: F.size(F.array_except(p["a"], p["b"])) + F.size(F.array_except(p["b"], p["a"])))
-    rows = rows.withColumn(out, sums + F.aggregate(rest, F.lit(0), lambda n, x: n + x))
+        found.append(F.flatten(F.transform(F.filter(F.col(name(f"tried{k}")), lambda x: x["got"]["done"]), lambda x: x["got"]["found"])))
+    found.append(F.flatten(F.transform(F.col(name("open")), lambda p: F.concat(F.array_except(p["a"], p["b"]), F.array_except(p["b"], p["a"])))))
+    rows = rows.withColumn(out, F.concat(*found))
     return rows.drop(*[c for c in rows.columns if c.startswith(f"__{out}_")])
 
 
@@ -166,7 +168,11 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs for each row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_paragraphs for each row.
+
+    Then the digests in which a text differs from its edited text and from the next one: edited_lost and next_lost are
+    those that only the text has, edited_gained and next_gained those that only the other has.
+    """
     rows = with_next(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
@@ -183,7 +189,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("keys_cells")).alias("fingerprint"),
         as_text(F.col("edited_keys_cells")).alias("edited_fingerprint"),
-        likeness(size("keys"), size("edited_keys"), F.col("edited_keys_diff")).alias("near_edited"),
-        likeness(size("keys"), size("next_keys"), F.col("next_keys_diff")).alias("near_next"),
+        likeness(size("keys"), size("edited_keys"), size("edited_keys_diff")).alias("near_edited"),
+        likeness(size("keys"), size("next_keys"), size("next_keys_diff")).alias("near_next"),
         size("keys").cast("long").alias("n_paragraphs"),
+        F.array_intersect("edited_keys_diff", "keys").alias("edited_lost"),
+        F.array_except("edited_keys_diff", "keys").alias("edited_gained"),
+        F.array_intersect("next_keys_diff", "keys").alias("next_lost"),
+        F.array_except("next_keys_diff", "keys").alias("next_gained"),
     )
