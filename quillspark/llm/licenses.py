@@ -213,7 +213,7 @@ def expressions(text: str) -> Iterator[tuple[set[str], float]]:
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for phrase, what in [*((p, ("tag", None)) for p in TAGS), *((p, ("notice", label)) for p, label in NOTICES.items()), *((p, ("under", None)) for p in UNDER), *((p, ("base", label)) for p, label in BASE.items())]:
-        a.add_word(f" {phrase} ", (len(phrase) + 2, *what))
+        a.add_word(f" {phrase} ", (phrase.count(" ") + 1, *what))
     a.make_automaton()
     return a
 
@@ -227,10 +227,12 @@ def scan(text: str | None) -> tuple[int, int, int | None, int | None, str, str,
     words = [w for w in words if w]
     line = f" {b' '.join(words).decode('latin-1')} "
     starts, base, more, burdens, kinds = [], set(), set(), [], set()
-    for end, (size, kind, label) in _AUTOMATON.iter(line):
+    spaces = at = 0  # spaces before at: hits come in the order of their ends
+    for end, (n, kind, label) in _AUTOMATON.iter(line):
         kinds.add(kind)
         if kind == "base":
-            starts.append(line.count(" ", 0, end - size + 1))
+            spaces, at = spaces + line.count(" ", at, end + 1), end + 1
+            starts.append(spaces - n - 1)
             base.add(label)
         elif kind == "notice":
             more.add(label)
