@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,15 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of surrogates: quillspark.pii.key of the session, in hex. Where none is set, one is drawn and set, so that a session's results agree."""
+    told = spark.conf.get("quillspark.pii.key", None)
+    if not told:
+        told = secrets.token_hex(32)
+        spark.conf.set("quillspark.pii.key", told)
+    return bytes.fromhex(told)
+
+
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -30,11 +40,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iblt.fingerprints(documents(spark, sf_dir))
+    out = iblt.fingerprints(documents(spark, sf_dir))
+    return out.select(*out.columns[:8], *[F.size(c).cast("long").alias(f"n_{c}") for c in out.columns[8:]])
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    out = warc.captures(spark.read.parquet(f"{sf_dir}/pages.parquet"), payloads=False)
     return out.select(
         warc.page_number(F.col("record_id")).alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
@@ -56,7 +67,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.redact(documents(spark, sf_dir))
+    return pii.redact(documents(spark, sf_dir), pii_key(spark))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
