@@ -4,14 +4,14 @@ A fingerprint has 64 bits, 8 bytes. Two that differ in at most 4 bits differ in
 positional bytes are shared: the guaranteed minimum of matches. Every set of 4 positions contains one of 20 sets of 3
 (TRIPLES, the smallest such family), so the index lists each distinct fingerprint under 20 keys of three positional
 bytes, and any pair to be found meets under a key. For a pair that meets, shared bytes are tallied; pairs with 4 or
-more are kept and verified bit by bit. Unrelated fingerprints meet as well, in lists that are as long as there are
-fingerprints for each of the 2^24 values of three bytes: beyond some 10^9 of them, index_bytes=4 lists them under all 70
-sets of four bytes, in 256 times as many lists, with the same result.
+more are kept and verified bit by bit.
 
 Lists may be long where many near copies meet, and all their pairs must not be made. Three steps keep them linear:
 equal fingerprints are one node; each node is first compared with the smallest node of each of its lists, and the links
 found join nodes into components; after that, only lists that still hold several components are looked at, and
 in them only pairs of which one is outside the list's main component. A list of one component, however long, is done.
+Where that would still be over MANY pairs (very many small components that share three bytes), the list is dealt into
+lists of four shared bytes, one for each further position, where the pairs sought meet as well, as they share a fourth.
 No link between different components is lost, so components are those of all links.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ids come after all
@@ -49,11 +49,8 @@ def _triples() -> list[tuple[int, int, int]]:
 
 
 TRIPLES = _triples()
-
-
-def families(index_bytes: int) -> list[tuple[int, ...]]:
-    """Sets of so many positions of which any 4 positions contain one."""
-    return TRIPLES if index_bytes == 3 else list(combinations(range(8), 4))
+#: Pairs of one list beyond which it is dealt into lists of four bytes.
+MANY = 1 << 12
 
 
 def _hashes(text: str | None) -> list[int]:
@@ -98,10 +95,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_batches, ", ".join(["id long", "fp long", *(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[2:])]))
 
 
-def _keys(fp: Column, index_bytes: int) -> Column:
-    """One number for each of the lists that a fingerprint is in."""
-    byte = lambda p, at: F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(0xFF), 8 * at)
-    return F.array(*[reduce(Column.bitwiseOR, (byte(p, i) for i, p in enumerate(positions)), F.lit(k << 8 * index_bytes).cast("long")) for k, positions in enumerate(families(index_bytes))])
+def _byte(fp: Column, position: int) -> Column:
+    return F.shiftrightunsigned(fp, 8 * position).bitwiseAND(0xFF)
+
+
+def _keys(fp: Column) -> Column:
+    """One number for each of the lists that a fingerprint is in: the number of the triple, then its three bytes."""
+    return F.array(*[reduce(Column.bitwiseOR, (F.shiftleft(_byte(fp, p), 8 * i) for i, p in enumerate(t)), F.lit(k << 24).cast("long")) for k, t in enumerate(TRIPLES)])
+
+
+def _further(fp: Column, key: Column) -> Column:
+    """The keys of the lists of four bytes that a list is dealt into, one for each position that its triple leaves."""
+    tagged = [F.shiftleft(F.lit(1 << 3 | p).cast("long"), 8).bitwiseOR(_byte(fp, p)) for p in range(8)]
+    left = F.array(*[F.array(*[tagged[p] for p in range(8) if p not in t]) for t in TRIPLES])
+    return F.transform(F.get(left, F.shiftrightunsigned(key, 24).cast("int")), lambda x: F.shiftleft(x, 32).bitwiseOR(key))
 
 
 def _linked(a: Column, b: Column) -> Column:
@@ -111,7 +118,7 @@ def _linked(a: Column, b: Column) -> Column:
     return (shared >= SHARED) & (F.bit_count(x) <= NEAR)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, comp (its component's smallest node) for each node of edges (a, b), by alternating large and small stars.
 
     Each round is one table: its two stars are short enough to be one plan, in which Spark shuffles the large star once
@@ -120,7 +127,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "star")
     before = None
-    for _ in range(rounds):
+    while True:  # rounds grow with the logarithm of the longest chain
         # large star: each neighbour above u goes to u's smallest neighbour; small star: those below, and u itself
         low = both(edges).groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = edges.join(low, edges["b"] == low["u"]).select("a", F.col("m").alias("b")).filter("a <> b").distinct()
@@ -133,23 +140,28 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         if not state[0] or state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def groups(nodes: DataFrame, index_bytes: int = 3) -> DataFrame:
+def _open(index: DataFrame) -> DataFrame:
+    """The rows (key, fp, comp) of lists of several components, with main, the largest of those, and pairs, how many have one outside it."""
+    parts = index.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top")).filter("parts > 1")
+    main = main.select("key", F.col("top.comp").alias("main"), ((F.col("n") - F.col("top.n")) * F.col("n")).alias("pairs"))
+    return cut(index.select("key", "fp", "comp").join(main, "key"), "simhash-open")
+
+
+def groups(nodes: DataFrame) -> DataFrame:
     """The rows of nodes (distinct fingerprints, column fp) with comp, the smallest fingerprint that links lead to."""
-    index = cut(nodes.select("fp", F.explode(_keys(F.col("fp"), index_bytes)).alias("key")), "simhash-index")
+    index = cut(nodes.select("fp", F.explode(_keys(F.col("fp"))).alias("key")), "simhash-index")
     lists = index.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter("n > 1").drop("n")
     index = cut(index.join(lists, "key"), "simhash-lists")  # lists of one fingerprint have no pairs
     stars = index.filter("fp <> pivot").filter(_linked(F.col("fp"), F.col("pivot"))).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
     comp = components(stars).withColumnRenamed("node", "fp")
-    index = index.drop("pivot").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    # the main component of each list; lists of one component have no open pairs
-    parts = index.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "comp"))["comp"].alias("main")).filter("parts > 1").drop("parts")
-    index = cut(index.join(main, "key"), "simhash-open")
+    index = _open(index.drop("pivot").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
+    hot = index.filter(F.col("pairs") > MANY)
+    if not hot.isEmpty():
+        index = index.filter(F.col("pairs") <= MANY).unionByName(_open(hot.select("fp", "comp", F.explode(_further(F.col("fp"), F.col("key"))).alias("key"))))
     rest = index.filter("comp <> main").select("key", F.col("fp").alias("a"), F.col("comp").alias("a_comp"))
     pairs = rest.join(index.select("key", F.col("fp").alias("b"), F.col("comp").alias("b_comp")), "key")
     # what links components of the first round is a graph of its own, with a node for each of them
@@ -159,15 +171,15 @@ def groups(nodes: DataFrame, index_bytes: int = 3) -> DataFrame:
     return out.join(upper, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links lead to) for each row of docs."""
-    return _grouped(cut(fingerprints(docs, id_col, text_col), "simhash-fps"), index_bytes).select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return _grouped(cut(fingerprints(docs, id_col, text_col), "simhash-fps")).select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def _grouped(fps: DataFrame, index_bytes: int = 3, *more: str) -> DataFrame:
+def _grouped(fps: DataFrame, *more: str) -> DataFrame:
     """fps with component_id and more of what groups() gives."""
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-nodes")
-    labelled = groups(nodes, index_bytes)
+    labelled = groups(nodes)
     first = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
     of = cut(labelled.join(first, "comp").select("fp", *more, "component_id"), "simhash-of")
     return fps.join(of, "fp")
@@ -184,7 +196,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     rows that repeat the id that stays all stay; of a group of null ids alone one row stays.
     """
     fps = cut(fingerprints(docs, "doc_id", "text", _text_hash().alias("h")), "simhash-fps")
-    grouped = _grouped(fps, 3, "comp")
+    grouped = _grouped(fps, "comp")
     gone = grouped.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
     left = lambda rows, away: rows.join(away, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__h")), "left_anti")
     if fps.filter("id is null").isEmpty():

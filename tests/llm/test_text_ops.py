@@ -177,9 +177,10 @@ def _components(fps):
     return sorted(map(sorted, out.values()))
 
 
-@pytest.mark.parametrize("index_bytes", [3, 4])
-def test_links_join_what_all_pairs_would(spark, index_bytes):
+@pytest.mark.parametrize("many", [0, 1 << 12])
+def test_links_join_what_all_pairs_would(spark, monkeypatch, many):
     """Chains and balls of fingerprints, where pivots alone do not reach every link."""
+    monkeypatch.setattr(simhash, "MANY", many)
     r = random.Random(11)
     fps = set()
     for _ in range(25):
@@ -191,7 +192,7 @@ def test_links_join_what_all_pairs_would(spark, index_bytes):
     fps = sorted(fps)
     signed = [x - (x >> 63 << 64) for x in fps]
     nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
-    comp = {c.fp: c.comp for c in simhash.groups(nodes, index_bytes).collect()}
+    comp = {c.fp: c.comp for c in simhash.groups(nodes).collect()}
     out = {}
     for x in signed:
         out.setdefault(comp.get(x, x), set()).add(x & (1 << 64) - 1)
@@ -205,7 +206,33 @@ def test_every_close_pair_meets_in_a_list():
         y = x
         for b in r.sample(range(64), 4):
             y ^= 1 << b
-        assert all(any(all((x ^ y) >> 8 * p & 255 == 0 for p in t) for t in simhash.families(n)) for n in (3, 4))
+        assert any(all((x ^ y) >> 8 * p & 255 == 0 for p in t) for t in simhash.TRIPLES)
+
+
+def test_a_list_of_very_many_small_components_is_dealt_out(spark):
+    """40,000 fingerprints of three shared bytes: 8 * 10^8 pairs in one list, some 256 times fewer in lists of four bytes."""
+    r = random.Random(4)
+    fps = {r.getrandbits(40) << 24 | 0xABCDEF for _ in range(40_000)}
+    planted = sorted(fps)[:300]
+    fps |= {x ^ 1 << r.randrange(24, 64) ^ 1 << r.randrange(24, 64) for x in planted}
+    signed = [x - (x >> 63 << 64) for x in fps]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    comp = {c.fp: c.comp for c in simhash.groups(nodes).collect()}
+    # by brute force in blocks: all pairs
+    a = np.array(sorted(signed), dtype=np.int64).view(np.uint64)
+    group = {int(x): int(x) for x in a.view(np.int64)}
+
+    def find(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for k in range(0, len(a), 500):
+        i, j = np.nonzero(np.bitwise_count(a[k : k + 500, None] ^ a[None, :]) <= 4)
+        for x, y in zip(a[i + k].view(np.int64).tolist(), a[j].view(np.int64).tolist(), strict=True):
+            p, q = sorted((find(x), find(y)))
+            group[q] = p
+    assert {x: find(x) for x in group} == {x: comp[x] for x in signed} and len(set(comp.values())) < len(fps) - 250
 
 
 def test_one_of_each_group_stays(odd):
