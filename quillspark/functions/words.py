@@ -52,15 +52,16 @@ def is_language_tag(tag: Column) -> Column:
     return tag.rlike("^[a-z]{2}_[A-Z]{2}$")
 
 
-def transform(word: str, patterns: list[str], depth: int = 16) -> tuple[str, list[tuple[int, int, str]]]:
+def transform(word: str, patterns: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
     """(outcome, fragments) of one word: the first pattern that matches decides, and fragments are taken apart again.
 
     outcome: "whitelisted" (a pattern without groups matched and nothing is left), "atomic" (no pattern matched) or "fragments".
-    A pattern that is no valid expression ends the list for the word. A fragment that is the whole word again is final.
+    A pattern that is no valid expression ends the list for the word. A fragment that is the whole word again is final;
+    any other is shorter, so taking apart ends whatever the patterns are.
     """
-    todo, out, listed = deque([(0, word, 0)]), [], False
+    todo, out, listed = deque([(0, word)]), [], False
     while todo:
-        at, w, level = todo.popleft()
+        at, w = todo.popleft()
         for p in patterns:
             try:
                 m = regex.search(p, w)
@@ -73,10 +74,10 @@ def transform(word: str, patterns: list[str], depth: int = 16) -> tuple[str, lis
             if m.re.groups == 0:
                 listed = True
             for s, e, g in groups:
-                if g == w or level >= depth:
+                if g == w:
                     out.append((at + s, at + e, g))
                 else:
-                    todo.append((at + s, g, level + 1))
+                    todo.append((at + s, g))
             break
         else:
             out.append((at, at + len(w), w))

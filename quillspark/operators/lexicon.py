@@ -40,20 +40,20 @@ def affix_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
 
 def _suffixed(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """rows (stem, flags) joined to the SFX rules of their flags and conditions: form."""
-    hit = rows.join(F.broadcast(rules.filter("kind = 'SFX'")), "flag").filter("stem rlike concat(cond, '$') and endswith(stem, strip)")
+    hit = rows.join(rules.filter("kind = 'SFX'"), "flag").filter("stem rlike concat(cond, '$') and endswith(stem, strip)")
     return hit.withColumn("form", F.expr("concat(substring(stem, 1, length(stem) - length(strip)), add)"))
 
 
 def expand(stems: DataFrame, rules: DataFrame) -> DataFrame:
     """stem, form: each stem, its forms with a suffix, with a prefix, and with both where both rules allow it.
 
-    rules has a row for each affix rule, tens of them, a table of fixed size; stems may be as many as they like.
+    Rules and stems meet by equality of a flag, on either side of a word; Spark broadcasts rules by their size.
     """
     flags = stems.select("stem", F.explode(F.split("flags", "")).alias("flag"), "flags").filter("flag <> ''")
     suffixed = _suffixed(flags, rules)
-    prefix = rules.filter("kind = 'PFX'").select(F.col("flag").alias("p_flag"), F.col("crosses").alias("p_crosses"), F.col("strip").alias("p_strip"), F.col("add").alias("p_add"), F.col("cond").alias("p_cond"))
+    prefix = rules.filter("kind = 'PFX'").select(F.col("flag").alias("flag"), F.col("crosses").alias("p_crosses"), F.col("strip").alias("p_strip"), F.col("add").alias("p_add"), F.col("cond").alias("p_cond"))
     bases = stems.select("stem", F.col("stem").alias("form"), "flags").union(suffixed.filter("crosses").select("stem", "form", "flags"))
-    put = bases.join(F.broadcast(prefix), F.contains(F.col("flags"), F.col("p_flag"))).filter("form rlike concat('^', p_cond) and startswith(form, p_strip) and (form = stem or p_crosses)")
+    put = bases.withColumn("flag", F.explode(F.array_distinct(F.split("flags", "")))).filter("flag <> ''").join(prefix, "flag").filter("form rlike concat('^', p_cond) and startswith(form, p_strip) and (form = stem or p_crosses)")
     put = put.select("stem", F.expr("concat(p_add, substring(form, length(p_strip) + 1))").alias("form"))
     return stems.select("stem", F.col("stem").alias("form")).union(suffixed.select("stem", "form")).union(put).distinct()
 

@@ -20,15 +20,15 @@ def wrapped(text: Column, width: Column | int, indent: Column | int = 0) -> Colu
     """text re-wrapped, in JVM expressions: for texts without markup. A word beyond the width has a line of its own."""
     width, indent = (x if isinstance(x, Column) else F.lit(x) for x in (width, indent))
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
 
     def add(a, w):
         fits = indent + F.char_length(a["line"]) + 1 + F.char_length(w) <= width
-        new = F.struct(F.when(a["done"] == "", a["line"]).otherwise(F.concat(a["done"], F.lit("\n"), a["line"])).alias("done"), w.alias("line"))
         more = F.struct(a["done"].alias("done"), F.concat(a["line"], F.lit(" "), w).alias("line"))
+        new = F.struct(F.array_append(a["done"], a["line"]).alias("done"), w.alias("line"))
         return F.when(a["line"] == "", F.struct(a["done"].alias("done"), w.alias("line"))).when(fits, more).otherwise(new)
 
-    return F.aggregate(words, start, add, lambda a: F.when(a["done"] == "", a["line"]).otherwise(F.concat(a["done"], F.lit("\n"), a["line"])))
+    return F.aggregate(words, start, add, lambda a: F.array_join(F.array_append(a["done"], a["line"]), "\n"))
 
 
 def pieces(text: str, unbreakable: list[tuple[int, int]]) -> list[str]:

@@ -23,14 +23,17 @@ def shorten(word: Column, most: int = 20) -> Column:
     return F.when(F.char_length(word) > most, F.concat(F.left(word, F.lit(4)), F.lit("..."), F.right(word, F.lit(4)))).otherwise(word)
 
 
-def excerpt(line: Column, start: Column, end: Column, width: int = 80) -> tuple[Column, Column, Column]:
-    """(text, offset and length of the marked part) of a line fitted to width: context is cut on both sides, with .. where it is.
+def excerpt(line: Column, start: Column, end: Column, width: int = 80, gutter: Column | None = None) -> tuple[Column, Column, Column]:
+    """(text, offset and length of the marked part) of a line fitted to width, less what the gutter before it takes.
 
-    Room is shared evenly; what one side does not need goes to the other.
+    A line that fits is shown as it is. Of others a long marked part is shortened and context is cut on both sides, with ..
+    where it is; room is shared evenly, and what one side does not need goes to the other.
     """
     n = F.char_length(line)
+    room = F.lit(width) - (F.lit(0) if gutter is None else gutter)
+    fits = n <= room
     mark = shorten(F.substring(line, start + 1, end - start))
-    room = F.greatest(F.lit(width) - F.char_length(mark), F.lit(0))
+    room = F.greatest(room - F.char_length(mark), F.lit(0))
     left, right = start, n - end
     half = F.floor(room / 2).cast("int")
     l_take = F.when(left + right <= room, left).when(left <= half, left).when(right <= half, room - right).otherwise(half)
@@ -40,13 +43,15 @@ def excerpt(line: Column, start: Column, end: Column, width: int = 80) -> tuple[
     r_text = F.substring(line, end + 1, r_take)
     l_text = F.when(l_take < left, F.concat(F.lit(".."), F.substring(l_text, 3, 1 << 20))).otherwise(l_text)
     r_text = F.when(r_take < right, F.concat(F.left(r_text, F.greatest(r_take - 2, F.lit(0))), F.lit(".."))).otherwise(r_text)
-    return F.concat(l_text, mark, r_text), F.char_length(l_text), F.char_length(mark)
+    whole = lambda x, y: F.when(fits, x).otherwise(y)
+    return whole(line, F.concat(l_text, mark, r_text)), whole(start, F.char_length(l_text)), whole(end - start, F.char_length(mark))
 
 
 def render(detector: Column, path: Column, line_no: Column, line: Column, start: Column, end: Column, replacements: Column, description: Column, width: int = 80) -> Column:
     """The block of one finding: header, place, excerpt, marks with replacements, description."""
-    text, at, n = excerpt(line, start, end, width)
-    pad = F.repeat(F.lit(" "), F.char_length(line_no.cast("string")))
+    digits = F.char_length(line_no.cast("string"))
+    text, at, n = excerpt(line, start, end, width, digits + 3)
+    pad = F.repeat(F.lit(" "), digits)
     gutter = F.concat(pad, F.lit(" |"))
     head = F.concat(F.lit("error: "), F.lit("spellcheck("), detector, F.lit(")"))
     place = F.concat(pad, F.lit("--> "), path, F.lit(":"), line_no.cast("string"))

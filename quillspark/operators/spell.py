@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import words as W
 from ..tables import dealt
 
-MOST_REPLACEMENTS = 7
-
 
 def lookup_keys(word: Column) -> Column:
     """The spellings under which a word may be in a lexicon: as it is, in lower case, and with a lower-case tail."""
@@ -41,12 +39,48 @@ def misspelled(tokens: DataFrame, forms: DataFrame, word: str = "word", split_ch
     return tokens.join(unknown(tokens, forms, word), word, "left_semi")
 
 
-def candidates(unknown_words: DataFrame, forms: DataFrame, distance: int = 2, most: int = MOST_REPLACEMENTS) -> DataFrame:
-    """word, form, distance, rank: the nearest forms of each unknown word, by distance, then form.
+def misspelled_in_turn(tokens: DataFrame, forms: DataFrame, word: str = "word", split_chars: str = W.SPLIT_CHARS) -> DataFrame:
+    """As misspelled(), by another plan: distinct words that are no form as they are, then those of which no other spelling is."""
+    tokens = tokens.filter(~W.is_split_char(F.col(word), split_chars))
+    left, known = tokens.select(word).distinct().filter(~W.is_ordinal(F.col(word))), forms.select("form").distinct()
+    for k in range(3):
+        left = left.withColumn("form", F.get(lookup_keys(F.col(word)), F.lit(k))).join(known, "form", "left_anti").select(word)
+    return tokens.join(left, word, "left_semi")
+
 
-    Blocking keeps this from being a cross join: within two edits, words share a length up to two. Cut into three pieces, two edits leave one piece as it is; the join is on
-    that piece, its text, and the candidate's length.
+def candidates(unknown_words: DataFrame, forms: DataFrame, distance: int = 2) -> DataFrame:
+    """word, form, distance, rank: all forms within a distance of each unknown word, ranked by distance, then form.
+
+    Blocking keeps this from being a cross join. Cut into three pieces, a word keeps one of them through two edits, moved
+    by two characters at most: the join is on that piece, its number and the word's length. Words whose pieces would have
+    fewer than two characters would meet a large share of all forms near their length; what two words within two edits
+    have in common there is a rest after taking out two characters of either, and the join is on that rest.
     """
+    short = 2 * (distance + 1)
+    n = F.char_length("word")
+    near = _by_piece(unknown_words.filter(n >= short), forms, distance).union(_by_rest(unknown_words.filter(n < short), forms.filter(F.char_length("form") < short + distance), distance))
+    near = near.distinct().withColumn("distance", F.levenshtein("word", "form")).filter(F.col("distance").between(1, distance))
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("distance", "form")))
+
+
+def _rests(word: Column, distance: int) -> Column:
+    """A word and all that is left of it after taking out up to so many characters."""
+    out = F.array(word)
+    for _ in range(distance):
+        fewer = F.flatten(F.transform(out, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.char_length(w))))))
+        out = F.array_distinct(F.concat(out, fewer))
+    return out
+
+
+def _by_rest(u: DataFrame, forms: DataFrame, distance: int) -> DataFrame:
+    """word, form: pairs that have a rest in common."""
+    a = u.select("word", F.explode(_rests(F.col("word"), distance)).alias("rest"))
+    b = forms.select("form").distinct().select("form", F.explode(_rests(F.col("form"), distance)).alias("rest"))
+    return dealt(a, "rest").join(b, "rest").select("word", "form")
+
+
+def _by_piece(unknown_words: DataFrame, forms: DataFrame, distance: int) -> DataFrame:
+    """word, form: pairs that have a piece in common."""
     u = unknown_words.select("word", F.char_length("word").alias("n"))
     pieces = distance + 1
     own = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"substring(word, cast(floor(n * {k} / {pieces}) as int) + 1, cast(floor(n * {k + 1} / {pieces}) as int) - cast(floor(n * {k} / {pieces}) as int))").alias("piece")) for k in range(pieces)])
@@ -58,20 +92,18 @@ def candidates(unknown_words: DataFrame, forms: DataFrame, distance: int = 2, mo
     offers = offers.select("form", "n", "k", F.explode(F.expr(f"sequence(-{distance}, {distance})")).alias("shift"))
     a, b = f"cast(floor(n * k / {pieces}) as int)", f"cast(floor(n * (k + 1) / {pieces}) as int)"
     offers = offers.filter(f"{a} + shift >= 0").select("form", "n", "k", F.expr(f"substring(form, {a} + shift + 1, {b} - {a})").alias("piece")).distinct()
-    near = dealt(u, "n", "k", "piece").join(offers, ["n", "k", "piece"]).select("word", "form").distinct()
-    near = near.withColumn("distance", F.levenshtein("word", "form")).filter(F.col("distance").between(1, distance))
-    w = Window.partitionBy("word").orderBy("distance", "form")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return dealt(u, "n", "k", "piece").join(offers, ["n", "k", "piece"]).select("word", "form")
 
 
 def replaced(unknown_words: DataFrame, pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """word, form: forms that come from an unknown word by one of the (src, dst) replacements, at any one place.
 
-    pairs is the replacement table of a dictionary, a hundred rows or so.
+    All pieces of a word that are as long as some src meet it by equality.
     """
-    hit = unknown_words.select("word").join(F.broadcast(pairs), F.contains(F.col("word"), F.col("src")))
-    places = F.expr("filter(sequence(1, length(word) - length(src) + 1), i -> substring(word, i, length(src)) = src)")
-    hit = hit.select("word", "src", "dst", F.explode(places).alias("i"))
+    sizes = [r[0] for r in pairs.select(F.char_length("src")).distinct().collect()]  # a few: how long replacements are
+    pieces = F.expr(f"""flatten(transform(array({', '.join(map(str, sorted(sizes))) or 'cast(null as int)'}),
+        n -> transform(filter(sequence(1, greatest(length(word) - n + 1, 1)), i -> i + n - 1 <= length(word)), i -> struct(i, substring(word, i, n) as src))))""")
+    hit = unknown_words.select("word", F.explode(pieces).alias("x")).select("word", "x.i", "x.src").join(pairs, "src")
     made = hit.select("word", F.expr("concat(substring(word, 1, i - 1), dst, substring(word, i + length(src)))").alias("form")).distinct()
     return made.join(forms.select("form").distinct(), "form", "left_semi").select("word", "form")
 

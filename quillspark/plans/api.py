@@ -57,6 +57,16 @@ def placed(found: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     return out.drop("__own", "text", "source_mapping")
 
 
+def flagged(tokens_: DataFrame, forms: DataFrame, detector: str) -> DataFrame:
+    """The tokens (with a column word) that one of the spell checkers flags.
+
+    hunspell meets all spellings of a word at once; zspell and spellbook try one spelling after the other.
+    """
+    if detector == "hunspell":
+        return spell.misspelled(tokens_, forms)
+    return spell.misspelled_in_turn(tokens_, forms)
+
+
 def spelling(chunk_rows: DataFrame, ctx: Context, detector: str = "hunspell") -> DataFrame:
     """Unknown words of chunks with their places and replacements (only hunspell has them).
 

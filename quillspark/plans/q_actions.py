@@ -140,33 +140,27 @@ def render_replacements(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", report.replacements_text(r).alias("shown"))
 
 
-@query(f"""WITH {D}, p AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM d), q AS (SELECT *, (doc_id * 7 % greatest(length(line), 1))::INT AS s FROM p),
-a AS (SELECT *, least(s + 5 + doc_id % 30, length(line))::INT AS e, length(line)::INT AS n FROM q),
-m AS (SELECT *, CASE WHEN e - s > 20 THEN substring(line, s + 1, 4) || '...' || substring(line, e - 3, 4) ELSE substring(line, s + 1, e - s) END AS mark FROM a),
-b AS (SELECT *, greatest(50 - length(mark), 0) AS room, n - e AS rgt FROM m), h AS (SELECT *, room // 2 AS half FROM b),
-t AS (SELECT *, CASE WHEN s + rgt <= room THEN s WHEN s <= half THEN s WHEN rgt <= half THEN room - rgt ELSE half END AS lt FROM h),
-u AS (SELECT *, least(CASE WHEN s + rgt <= room THEN rgt ELSE room - lt END, rgt) AS rt FROM t),
-v AS (SELECT *, CASE WHEN lt < s THEN '..' || substring(substring(line, (s - lt + 1)::INT, lt::INT), 3) ELSE substring(line, (s - lt + 1)::INT, lt::INT) END AS l_text,
-             CASE WHEN rt < rgt THEN left(substring(line, e + 1, rt::INT), greatest(rt - 2, 0)::INT) || '..' ELSE substring(line, e + 1, rt::INT) END AS r_text FROM u)
-SELECT doc_id, l_text || mark || r_text AS shown, length(l_text)::INT AS mark_at, length(mark)::INT AS mark_len FROM v""")
+def _excerpt_sql(width: str) -> str:
+    """Of z (line, s, e): v_ with shown, mark_at, mark_len, in so much room."""
+    return f"""a_ AS (SELECT *, length(line)::INT AS n, ({width})::INT AS width FROM z),
+m_ AS (SELECT *, CASE WHEN e - s > 20 THEN substring(line, s + 1, 4) || '...' || substring(line, e - 3, 4) ELSE substring(line, s + 1, e - s) END AS mark FROM a_),
+b_ AS (SELECT *, greatest(width - length(mark), 0) AS room, n - e AS rgt FROM m_), h_ AS (SELECT *, room // 2 AS half FROM b_),
+t_ AS (SELECT *, CASE WHEN s + rgt <= room THEN s WHEN s <= half THEN s WHEN rgt <= half THEN room - rgt ELSE half END AS lt FROM h_),
+u_ AS (SELECT *, least(CASE WHEN s + rgt <= room THEN rgt ELSE room - lt END, rgt) AS rt FROM t_),
+x_ AS (SELECT *, CASE WHEN lt < s THEN '..' || substring(substring(line, (s - lt + 1)::INT, lt::INT), 3) ELSE substring(line, (s - lt + 1)::INT, lt::INT) END AS l_text,
+             CASE WHEN rt < rgt THEN left(substring(line, e + 1, rt::INT), greatest(rt - 2, 0)::INT) || '..' ELSE substring(line, e + 1, rt::INT) END AS r_text FROM u_),
+v_ AS (SELECT *, CASE WHEN n <= width THEN line ELSE l_text || mark || r_text END AS shown, (CASE WHEN n <= width THEN s ELSE length(l_text) END)::INT AS mark_at, (CASE WHEN n <= width THEN e - s ELSE length(mark) END)::INT AS mark_len FROM x_)"""
+
+
+@query(f"""WITH {L}, q AS (SELECT doc_id, line_no, line, ((doc_id * 7 + line_no * 3) % greatest(length(line), 1))::INT AS s FROM l),
+z AS (SELECT *, least(s + 5 + (doc_id + line_no) % 30, length(line))::INT AS e FROM q), {_excerpt_sql("50")}
+SELECT doc_id, line_no, shown, mark_at, mark_len FROM v_""")
 def render_excerpt(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("line"))
-    rows = rows.withColumn("s", (F.col("doc_id") * 7 % F.greatest(F.char_length("line"), F.lit(1))).cast("int")).withColumn("e", F.least(F.col("s") + 5 + F.col("doc_id") % 30, F.char_length("line")).cast("int"))
+    """An excerpt of every line, around a range made of the document's and the line's number."""
+    rows = positions.line_table(docs(spark, sf_dir), "doc_id", "text").select("doc_id", "line_no", "line")
+    rows = rows.withColumn("s", ((F.col("doc_id") * 7 + F.col("line_no") * 3) % F.greatest(F.char_length("line"), F.lit(1))).cast("int")).withColumn("e", F.least(F.col("s") + 5 + (F.col("doc_id") + F.col("line_no")) % 30, F.char_length("line")).cast("int"))
     text, at, n = report.excerpt(F.col("line"), F.col("s"), F.col("e"), 50)
-    return rows.select("doc_id", text.alias("shown"), at.cast("int").alias("mark_at"), n.cast("int").alias("mark_len"))
-
-
-@query(f"""WITH {_FOUND}, g AS (SELECT doc_id, start_line, start_col, word, row_number() OVER (PARTITION BY doc_id ORDER BY start_line, start_col) AS k FROM f WHERE detector = 'hunspell')
-SELECT doc_id, 'error: spellcheck(hunspell)' || chr(10) || repeat(' ', length(start_line::VARCHAR)) || '--> doc' || doc_id || ':' || start_line || chr(10) || repeat(' ', length(start_line::VARCHAR)) || ' |' || chr(10)
-  || start_line || ' | ' || word || chr(10) || repeat(' ', length(start_line::VARCHAR)) || ' | ' || repeat('^', length(word)::INT) || ' - ' || word || 's' || chr(10) || repeat(' ', length(start_line::VARCHAR)) || ' |' AS block
-FROM g WHERE k = 1 AND length(word) <= 20""")
-def render_findings(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("start_line", "start_col")
-    rows = _found(spark, sf_dir).filter("detector = 'hunspell'").withColumn("k", F.row_number().over(w)).filter("k = 1 and length(word) <= 20")
-    block = report.render(F.col("detector"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.col("start_line"), F.col("word"), F.lit(0), F.char_length("word"), F.array(F.concat("word", F.lit("s"))), F.lit(None).cast("string"))
-    return rows.select("doc_id", block.alias("block"))
+    return rows.select("doc_id", "line_no", text.alias("shown"), at.cast("int").alias("mark_at"), n.cast("int").alias("mark_len"))
 
 
 #: Context on either side of a word; an excerpt of 80 is the same whatever a line has beyond that.
@@ -191,9 +185,12 @@ def _in_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield made(rows)
 
 
-@query()
-def render_every_finding(spark, sf_dir):
-    """All findings of each document, words of any length, each with its own line; render_findings has the first of each document."""
+@query(f"""WITH {_FOUND}, z AS (SELECT f.doc_id, start_line, start_col, word, l.line, start_col AS s, end_col + 1 AS e, repeat(' ', length(start_line::VARCHAR)) AS pad FROM f JOIN l ON l.doc_id = f.doc_id AND l.line_no = start_line WHERE detector = 'hunspell'),
+{_excerpt_sql("80 - length(pad) - 3")}
+SELECT doc_id, start_line, start_col, 'error: spellcheck(hunspell)' || chr(10) || pad || '--> doc' || doc_id || ':' || start_line || chr(10) || pad || ' |' || chr(10)
+  || start_line || ' | ' || shown || chr(10) || pad || ' | ' || repeat(' ', mark_at) || repeat('^', mark_len) || ' - ' || word || 's' || chr(10) || pad || ' |' AS block FROM v_""")
+def render_findings(spark, sf_dir):
+    """All findings of each document, words of any length, each with its own line."""
     rows = docs(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.mapInArrow(_in_context, "doc_id long, start_line int, start_col int, word string, before string, after string")
     start = F.char_length("before")

@@ -135,8 +135,13 @@ def verdict(spark, sf_dir):
 @query(f"""WITH {TOK}, {LEX}, {UNKNOWN}, f AS (SELECT count(*)::BIGINT AS n FROM tok WHERE word IN (SELECT word FROM unk))
 SELECT detector, n AS n_findings, 0::BIGINT AS n_alone FROM f, (VALUES ('hunspell'), ('zspell'), ('spellbook')) v(detector)""")
 def spell_agreement(spark, sf_dir):
-    found = spell.misspelled(word_rows(spark, sf_dir).select("doc_id", "tok_idx", "word"), forms(spark, sf_dir))
-    rows = found.withColumn("detector", F.explode(F.array(F.lit("hunspell"), F.lit("zspell"), F.lit("spellbook"))))
+    """Each detector looks words up by itself; the places that not all three flag are counted as alone."""
+    from . import api
+
+    rows = None
+    for name in ("hunspell", "zspell", "spellbook"):
+        own = api.flagged(word_rows(spark, sf_dir).select("doc_id", "tok_idx", "word"), forms(spark, sf_dir), name).select("doc_id", "tok_idx", F.lit(name).alias("detector"))
+        rows = own if rows is None else rows.union(own)
     agree = rows.groupBy("doc_id", "tok_idx").agg(F.collect_list("detector").alias("ds"))
     return agree.select(F.explode("ds").alias("detector"), (F.size("ds") < 3).cast("long").alias("alone")).groupBy("detector").agg(F.count("*").alias("n_findings"), F.sum("alone").alias("n_alone"))
 
@@ -144,7 +149,7 @@ def spell_agreement(spark, sf_dir):
 @query(f"""WITH {TOK}, {LEX}, {UNKNOWN}, a AS (SELECT word FROM unk WHERE regexp_matches(word, '^[a-z]+$')), b AS (SELECT form FROM lex WHERE regexp_matches(form, '^[a-z]+$')),
 n AS (SELECT word, form, levenshtein(word, form)::INT AS distance FROM a JOIN b ON abs(length(word) - length(form)) <= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, form)::INT AS rank FROM n WHERE distance BETWEEN 1 AND 2)
-SELECT * FROM r WHERE rank <= 7""")
+SELECT * FROM r""")
 def suggest_levenshtein(spark, sf_dir):
     lex = forms(spark, sf_dir)
     bad = spell.unknown(word_rows(spark, sf_dir).select("word"), lex).filter(F.col("word").rlike("^[a-z]+$"))
@@ -207,14 +212,16 @@ def _raw_words(spark, sf_dir):
 
 @query(f"WITH {_RAW} SELECT word FROM w WHERE NOT regexp_matches(word, '^[0-9]+[.,]?$') AND NOT regexp_matches(word, '@')")
 def transform_whitelist(spark, sf_dir):
-    return _raw_words(spark, sf_dir).filter(~F.col("word").rlike("^[0-9]+[.,]?$") & ~F.col("word").rlike("@"))
+    rows = _raw_words(spark, sf_dir).withColumn("t", W.transform_words(["^[0-9]+[.,]?$", "@"])("word"))
+    return rows.filter("t.outcome <> 'whitelisted'").select("word")
 
 
 @query(f"""WITH {_RAW} SELECT word, regexp_extract(word, '^(\\p{{L}}+)[-*&%$#!]+(\\p{{L}}*)', 1) AS first, regexp_extract(word, '^(\\p{{L}}+)[-*&%$#!]+(\\p{{L}}*)', 2) AS second
 FROM w WHERE regexp_matches(word, '^(\\p{{L}}+)[-*&%$#!]+(\\p{{L}}*)')""")
 def transform_fragments(spark, sf_dir):
-    pattern = r"^(\p{L}+)[-*&%$#!]+(\p{L}*)"
-    return _raw_words(spark, sf_dir).filter(F.col("word").rlike(pattern)).select("word", F.regexp_extract("word", pattern, 1).alias("first"), F.regexp_extract("word", pattern, 2).alias("second"))
+    rows = _raw_words(spark, sf_dir).withColumn("t", W.transform_words([r"^(\p{L}+)[-*&%$#!]+(\p{L}*)"])("word")).filter("t.outcome = 'fragments'")
+    piece = lambda k: F.coalesce(F.get("t.fragments", F.lit(k))["text"], F.lit(""))
+    return rows.select("word", piece(0).alias("first"), piece(1).alias("second"))
 
 
 @query()
