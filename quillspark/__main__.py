@@ -97,6 +97,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("quillspark").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
         origins = readers.from_project(spark, found)
+        broken = 0
+        for broken, r in enumerate(api.unreadable(origins).orderBy("origin_id").toLocalIterator(), 1):
+            print(f"error: {r.origin_id}: {r.error}", file=sys.stderr)
+        if broken:
+            return 1
         if args.action == "reflow":
             print(f"{sinks.rewrite(origins, api.rewrapped(origins, told))} files rewritten")
             return 0

@@ -36,8 +36,8 @@ def render(literals: DataFrame, origin: str = "origin_id", order: str = "start_l
 
 
 def chunks(literals: DataFrame) -> DataFrame:
-    """Literals (schema.LITERALS) to chunks (schema.CHUNKS)."""
-    rows = literals.withColumn("start_line", F.col("span.start.line")).withColumn("end_line", F.col("span.end.line"))
+    """Literals (schema.LITERALS) to chunks (schema.CHUNKS); sources that do not lex have none."""
+    rows = literals.filter("category <> 'Error'").withColumn("start_line", F.col("span.start.line")).withColumn("end_line", F.col("span.end.line"))
     rows = rows.withColumn("apart", (F.col("category") == "Dev") & (F.col("rendered").startswith("/*")) & (F.col("lit_idx") >= 0) & F.col("first_of_block"))
     out = render(islands(rows, apart="apart"))
     first = F.get("parts", F.lit(0))

@@ -107,10 +107,12 @@ def literals(src: str, doc: bool = True, dev: bool = False) -> list[dict]:
                     put("Dev", "SlashStar", at, at + len(line), 2 if i == 0 else 0, 2 if i == len(lines) - 1 else 0, first=i == 0)
                     at += len(line) + 1
         elif kind == "punct" and body == "#" and doc and (m := _DOC.match(src, s)):
-            after = next(((a, b, c) for a, b, c in tokens[k + 1 :] if b >= m.end()), None)
-            if after is None:
+            after = k + 1
+            while after < len(tokens) and tokens[after][1] < m.end():
+                after += 1
+            if after == len(tokens):
                 continue
-            what, a, b = after
+            what, a, b = tokens[after]
             if what == "raw":
                 n = len(_RAW.match(src, a)[1])
                 put("Doc", "MacroDocEqStr", a, b, n + 2, n + 1, src[s:a], n + 1)
@@ -134,7 +136,10 @@ _KINDS = {"lit_idx": pa.int32(), "category": pa.string(), "variant": _VARIANT, "
 
 
 def extract(origins: DataFrame, doc: bool = True, dev: bool = False, id_col: str = "origin_id", content_col: str = "content") -> DataFrame:
-    """Literals (schema.LITERALS and first_of_block) of Rust origins; a source that does not lex has none."""
+    """Literals (schema.LITERALS and first_of_block) of Rust origins.
+
+    A source that does not lex has one row instead, of category Error, with what is wrong as its text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,8 +147,8 @@ def extract(origins: DataFrame, doc: bool = True, dev: bool = False, id_col: str
             for k, src in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     found = literals(src or "", doc, dev)
-                except ValueError:
-                    found = []
+                except ValueError as e:
+                    found = [{**dict.fromkeys(_KINDS), "category": "Error", "text": str(e)}]
                 ids += [k] * len(found)
                 rows += [{**x, "lit_idx": i} for i, x in enumerate(found)]
             columns = [pa.array(ids, pa.string())] + [pa.array([r[c] for r in rows], t) for c, t in _KINDS.items()]

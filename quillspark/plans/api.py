@@ -40,6 +40,11 @@ def chunks(origins: DataFrame, dev_comments: bool = False) -> DataFrame:
     return rust.unionByName(text)
 
 
+def unreadable(origins: DataFrame) -> DataFrame:
+    """origin_id, error: the Rust origins that do not lex. They have no chunks; each is an error of its file."""
+    return rustlex.extract(origins.filter("kind = 'rust'")).filter("category = 'Error'").select("origin_id", F.col("text").alias("error"))
+
+
 def placed(found: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     """Findings (KEYS, start, end in the chunk's text) with the lines and columns of their origin.
 

@@ -114,10 +114,11 @@ def _decided(spark, sf_dir, mark, marked):
     return patch.decide(found, decisions, ["doc_id", "tok_idx"]).select("doc_id", "tok_idx", "word", "content")
 
 
-@query(f"""WITH {_decided_sql("quit", "doc_id >= 500 AND tok_idx % 7 = 3")}, s AS (SELECT min((doc_id, tok_idx)) AS stop FROM o WHERE choice = 'quit')
+@query(f"""WITH {_decided_sql("quit", "doc_id >= (SELECT max(doc_id) // 2 FROM documents) AND tok_idx % 7 = 3")}, s AS (SELECT min((doc_id, tok_idx)) AS stop FROM o WHERE choice = 'quit')
 SELECT doc_id, tok_idx, word, content FROM o, s WHERE content IS NOT NULL AND (stop IS NULL OR (doc_id, tok_idx) < stop)""")
 def decisions_quit(spark, sf_dir):
-    return _decided(spark, sf_dir, "quit", (F.col("doc_id") >= 500) & (F.col("tok_idx") % 7 == 3))
+    top = docs(spark, sf_dir).agg(F.max("doc_id")).first()[0] or 0
+    return _decided(spark, sf_dir, "quit", (F.col("doc_id") >= top // 2) & (F.col("tok_idx") % 7 == 3))
 
 
 @query(f"""WITH {_decided_sql("skip_file", "tok_idx % 13 = 12")}, s AS (SELECT doc_id, min(tok_idx) AS stop FROM o WHERE choice = 'skip_file' GROUP BY doc_id)

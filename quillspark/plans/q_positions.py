@@ -225,12 +225,16 @@ def list_origins(spark, sf_dir):
     return rows.withColumn("kind", readers.kind_of_path(F.col("path"))).filter("kind is not null")
 
 
-@query("SELECT md5(text) AS origin, min(text) AS content FROM documents WHERE text IS NOT NULL GROUP BY text")
+@query("""WITH o AS (SELECT CASE WHEN doc_id % 5 = 0 THEN md5(coalesce(text, '')) ELSE (doc_id // 4)::VARCHAR END AS id, coalesce(text, '') AS content FROM documents),
+g AS (SELECT id, count(DISTINCT content) AS n FROM o GROUP BY id)
+SELECT DISTINCT CASE WHEN n > 1 THEN id || '#' || md5(content) ELSE id END AS origin, content FROM o JOIN g USING (id)""")
 def dedupe_origins(spark, sf_dir):
+    """Ids of which some are a text's own and others those of up to four texts, equal or not."""
     from ..sources import readers
 
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").withColumn("id", F.md5("text"))
-    return readers.from_rows(d, "id", "text").select(F.col("origin_id").alias("origin"), "content")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    own = F.when(F.col("doc_id") % 5 == 0, F.md5(F.coalesce("text", F.lit("")))).otherwise(F.floor(F.col("doc_id") / 4).cast("string"))
+    return readers.from_rows(d.withColumn("id", own), "id", "text").select(F.col("origin_id").alias("origin"), "content")
 
 
 _MODULES = """f AS (SELECT DISTINCT doc_id AS id FROM documents),
@@ -255,10 +259,11 @@ def module_files(spark, sf_dir):
     return modules.resolved(modules.declared(files), files).select("parent", "child")
 
 
-@query(f"""WITH RECURSIVE {_MODULES}, c(id, depth) AS (SELECT id, 0 FROM f WHERE id IN (1, 2) UNION ALL SELECT child, depth + 1 FROM c JOIN g ON g.parent = c.id WHERE depth < 4)
+@query(f"""WITH RECURSIVE {_MODULES}, c(id, depth) AS (SELECT id, 0 FROM f WHERE id NOT IN (SELECT child FROM g) UNION ALL SELECT child, depth + 1 FROM c JOIN g ON g.parent = c.id)
 SELECT 'src/d' || id || '.rs' AS path, min(depth)::INT AS depth FROM c GROUP BY ALL""")
 def module_closure(spark, sf_dir):
     from ..sources import modules
 
     files = _module_files(spark, sf_dir)
-    return modules.closure(files.filter("path in ('src/d1.rs', 'src/d2.rs')"), modules.resolved(modules.declared(files), files), 4)
+    edges = modules.resolved(modules.declared(files), files)
+    return modules.closure(files.join(edges.select(F.col("child").alias("path")), "path", "left_anti"), edges)

@@ -12,22 +12,30 @@ from ..operators import rustlex
 from ..tables import settled
 
 
-def declared(files: DataFrame) -> DataFrame:
-    """parent, name: the modules that each file (path, content) declares without a body; a source that does not lex has none."""
+def _declarations(files: DataFrame) -> DataFrame:
+    """parent, name, error: the modules that each file declares without a body, or what is wrong with a source that does not lex."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parents, names = [], []
+            rows = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    own = list(dict.fromkeys(rustlex.modules(content or "")))
-                except ValueError:
-                    own = []
-                parents += [path] * len(own)
-                names += own
-            yield pa.RecordBatch.from_arrays([pa.array(parents, pa.string()), pa.array(names, pa.string())], names=["parent", "name"])
-
-    return files.select("path", "content").mapInArrow(run, "parent string, name string")
+                    rows += [(path, name, None) for name in dict.fromkeys(rustlex.modules(content or ""))]
+                except ValueError as e:
+                    rows.append((path, None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(3)], names=["parent", "name", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "parent string, name string, error string")
+
+
+def declared(files: DataFrame) -> DataFrame:
+    """parent, name: the modules that each file (path, content) declares without a body."""
+    return _declarations(files).filter("error is null").select("parent", "name")
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """path, error: the files that do not lex, which is an error of the project."""
+    return _declarations(files).filter("error is not null").select(F.col("parent").alias("path"), "error")
 
 
 def _places(declarations: DataFrame, files: DataFrame) -> DataFrame:

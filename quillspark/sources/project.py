@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import fnmatch
 import glob
 import os
+import re
 import tomllib
 from dataclasses import dataclass, field
 
@@ -33,22 +33,73 @@ def classify(path: str) -> str | None:
     return "manifest" if name == MANIFEST else "cmark" if name.endswith(".md") else "rust" if name.endswith(".rs") else None
 
 
-def _ignored(folder: str, name: str, patterns: list[str]) -> bool:
-    return any(fnmatch.fnmatch(name, p.strip("/")) or fnmatch.fnmatch(f"{name}/", p) for p in patterns)
-
-
-def ignore_patterns(folder: str) -> list[str]:
-    path = os.path.join(folder, ".gitignore")
-    if not os.path.isfile(path):
-        return []
-    with open(path, encoding="utf-8") as f:
-        return [x for x in map(str.strip, f) if x and x[0] not in "#!"]
+@dataclass
+class Ignored:
+    """The patterns of the ignore files from a project's top (where .git is) down to a folder; the last that fits decides."""
+
+    rules: list[tuple[str, re.Pattern, bool, bool]]
+
+    def __contains__(self, path: str) -> bool:
+        out, is_dir = False, os.path.isdir(path)
+        for base, pattern, folders_only, keep in self.rules:
+            if (is_dir or not folders_only) and pattern.fullmatch(os.path.relpath(path, base).replace(os.sep, "/")):
+                out = not keep
+        return out
+
+
+def _pattern(text: str) -> re.Pattern:
+    """A pattern of an ignore file; one with a slash inside begins at the file's folder, another fits at any depth."""
+    anchored = "/" in text.rstrip("/")
+    body = _expression(text.strip("/"))
+    return re.compile(body if anchored else f"(?:.*/)?{body}")
+
+
+def _expression(text: str) -> str:
+    """As an expression: ** over folders, * and ? within one, [] as they are."""
+    out, k = [], 0
+    while k < len(text):
+        if text.startswith("**/", k):
+            out.append("(?:.*/)?")
+            k += 3
+        elif text.startswith("**", k):
+            out.append(".*")
+            k += 2
+        elif text[k] == "[" and (e := text.find("]", k + 2)) > 0:
+            inner = text[k + 1 : e].replace("\\", "\\\\")
+            out.append(f"[{'^' + inner[1:] if inner[0] == '!' else inner}]")
+            k = e + 1
+        else:
+            out.append("[^/]*" if text[k] == "*" else "[^/]" if text[k] == "?" else re.escape(text[k]))
+            k += 1
+    return "".join(out)
+
+
+def ignored(folder: str) -> Ignored:
+    folders, at = [], os.path.abspath(folder)
+    while True:
+        folders.append(at)
+        up = os.path.dirname(at)
+        if up == at or os.path.exists(os.path.join(at, ".git")):
+            break
+        at = up
+    rules = []
+    for base in reversed(folders):
+        path = os.path.join(base, ".gitignore")
+        if not os.path.isfile(path):
+            continue
+        with open(path, encoding="utf-8", errors="replace") as f:
+            for line in map(str.rstrip, f):
+                keep = line.startswith("!")
+                text = line[1:] if keep else line.removeprefix("\\")
+                if text.strip("/") and not line.startswith("#"):
+                    rules.append((base, _pattern(text), text.endswith("/"), keep))
+    return Ignored(rules)
 
 
 def seed(folder: str) -> list[str]:
-    """The Rust files directly in a folder that its ignore file does not name."""
-    patterns = ignore_patterns(folder)
-    return [os.path.join(folder, n) for n in sorted(os.listdir(folder)) if n.endswith(".rs") and not _ignored(folder, n, patterns)]
+    """The Rust files directly in a folder that ignore files do not name."""
+    patterns = ignored(folder)
+    return [p for p in (os.path.join(folder, n) for n in sorted(os.listdir(folder)) if n.endswith(".rs")) if p not in patterns]
 
 
 def products(manifest: str) -> list[str]:
@@ -145,10 +196,10 @@ def extract(paths: list[str], recurse: bool = False, skip_readme: bool = False,
         if os.path.isfile(own := os.path.join(path, MANIFEST)):
             manifest(own)
             return
-        patterns = ignore_patterns(path)
+        patterns = ignored(path)
         for n in sorted(os.listdir(path)):
             child = os.path.join(path, n)
-            if n.startswith(".") or _ignored(path, n, patterns):
+            if n.startswith(".") or child in patterns:
                 continue
             if os.path.isdir(child):
                 recurse and folder(child)

@@ -8,14 +8,25 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import dealt
+from ..tables import cut
 from .project import Found
 
 
 def from_rows(df: DataFrame, id_col: str, text_col: str, kind: str = "cmark") -> DataFrame:
-    """A table's rows as origins; the same id twice is one origin (the one whose text comes first)."""
-    rows = df.select(F.col(id_col).cast("string").alias("origin_id"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("content"))
-    return dealt(rows, "origin_id").groupBy("origin_id", "kind", "path").agg(F.min("content").alias("content"))
+    """A table's rows as origins, none lost: rows of one id and one text are one origin.
+
+    Where an id has several texts, or is null, the text's digest follows the id after a #, so that each has an id of its
+    own. Which ids are there several times comes from ids and hashes alone; texts are joined to that, usually small, table.
+    """
+    content = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).cast("string").alias("origin_id"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("path"), content.alias("content"))
+    ids = rows.select("origin_id", F.xxhash64("content").alias("h")).groupBy("origin_id").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+    several = (F.col("lo") != F.col("hi")) | F.col("origin_id").isNull()
+    many = cut(ids.filter((F.col("n") > 1) | F.col("origin_id").isNull()).select(F.col("origin_id").alias("__id"), several.alias("__several")), "repeated-ids")
+    rows = rows.join(many, F.col("origin_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    own = F.when(F.col("__several"), F.concat(F.coalesce("origin_id", F.lit("")), F.lit("#"), F.md5("content"))).otherwise(F.col("origin_id"))
+    again = rows.filter("__several is not null").withColumn("origin_id", own).dropDuplicates(["origin_id"])
+    return rows.filter("__several is null").union(again).drop("__several")
 
 
 def kind_of_path(path: Column) -> Column:

@@ -3,15 +3,54 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where none is named, one is set if driver and executors are one process (tests); on a cluster that is an error, as
+    what one machine wrote to a folder of its own the others would not find.
+    """
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quillspark-"))
+        path = sc.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quillspark/{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path for a table of this run."""
+    return f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that this run has in the shared folder; results that are still to be read from them are gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def cut(df: DataFrame, label: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: lineage ends there, and Spark knows its size."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the folder that the session names; one is set only where there is none (tests)."""
+    """df with its lineage cut by a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -1,5 +1,7 @@
 """Positions, words, lexicons, findings, patches, reports, settings, projects, actions and streams."""
 
+import hashlib
+import os
 import random
 
 import pytest
@@ -299,3 +301,81 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.window_start, r.event_type, r.n) for r in spark.table("by_window").collect()) == sorted((r.window_start, r.event_type, r.n) for r in incremental.counts_by_window(events).collect())
+
+
+def test_long_words_are_taken_apart_to_the_end():
+    word = ".".join(f"x{k}" for k in range(40))
+    assert [t for _, _, t in W.transform(word, [r"^(.+?)[.](.+)$"])[1]] == word.split(".")
+
+
+def test_no_row_is_lost_as_an_origin(spark):
+    from quillspark.sources import readers
+
+    rows = [("a", "one"), ("a", "two"), ("a", "two"), ("b", "same"), ("b", "same"), ("c", None), (None, "x"), (None, "y"), (None, "x"), ("d", "two")]
+    got = sorted((r.origin_id, r.content) for r in readers.from_rows(spark.createDataFrame(rows, "id string, text string"), "id", "text").collect())
+    own = lambda k, t: f"{k}#{hashlib.md5(t.encode()).hexdigest()}"
+    assert got == sorted([(own("a", "one"), "one"), (own("a", "two"), "two"), ("b", "same"), ("c", ""), (own("", "x"), "x"), (own("", "y"), "y"), ("d", "two")])
+
+
+def test_sources_that_do_not_lex_are_told(spark):
+    from quillspark.plans import api
+    from quillspark.sources import modules
+
+    rows = [("a.rs", "rust", None, "/// fine\nmod x;"), ("b.rs", "rust", None, "/* open\nmod y;"), ("c.md", "cmark", None, "/* text")]
+    o = spark.createDataFrame(rows, "origin_id string, kind string, path string, content string")
+    assert [tuple(r) for r in api.unreadable(o).collect()] == [("b.rs", "a block comment is not closed")]
+    assert {r.origin_id for r in api.chunks(o, True).collect()} == {"a.rs", "c.md"}
+    files = o.filter("kind = 'rust'").select(F.col("origin_id").alias("path"), "content")
+    assert [tuple(r) for r in modules.declared(files).collect()] == [("a.rs", "x")] and [r.path for r in modules.unreadable(files).collect()] == ["b.rs"]
+
+
+def test_many_doc_attributes_take_linear_time():
+    import time
+
+    def took(n):
+        src = '#[doc = "text"]\n' * n
+        t = time.process_time()
+        assert len(rustlex.literals(src)) == n
+        return time.process_time() - t
+
+    took(500)
+    assert took(16_000) < 12 * max(took(4_000), 0.02)
+
+
+def test_ignore_files_of_parents_and_exceptions(tmp_path):
+    for name in (".git/x", "a.rs", "gen/b.rs", "gen/keep.rs", "src/c_test.rs", "src/deep/d.rs", "src/deep/build/e.rs", "src/only/f.rs", "other/only/g.rs", "x#1.rs"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    (tmp_path / ".gitignore").write_text("# all of these\ngen/*\n!gen/keep.rs\n*_test.rs\nbuild/\n/src/only\n\\#none\n")
+    (tmp_path / "src/deep/.gitignore").write_text("!*.md\n")
+    found = [os.path.relpath(p, tmp_path) for p in project.extract([str(tmp_path)], recurse=True).rust]
+    assert found == ["a.rs", "gen/keep.rs", "other/only/g.rs", "src/deep/d.rs", "x#1.rs"]
+    deep = [os.path.relpath(p, tmp_path) for p in project.extract([str(tmp_path / "src")], recurse=True).rust]
+    assert deep == ["src/deep/d.rs"]
+    assert project.seed(str(tmp_path / "gen")) == [str(tmp_path / "gen/keep.rs")]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from quillspark import tables
+
+    def session(master):
+        own = []
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: own[0] if own else None, setCheckpointDir=own.append))
+
+    for master in ("spark://host:7077", "local-cluster[3,2,1000]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            tables.shared_dir(session(master))
+    assert tables.shared_dir(session("local[4]")).startswith("file://")
+
+
+def test_tables_of_a_run_are_released(spark, monkeypatch):
+    from quillspark import tables
+
+    run = f"{tables.shared_dir(spark)}/quillspark/another-run"
+    monkeypatch.setattr(tables, "_run_dir", lambda _: run)
+    df = tables.cut(spark.range(3), "three")
+    assert df.count() == 3 and os.path.isdir(run.removeprefix("file://"))
+    tables.release(spark)
+    assert not os.path.isdir(run.removeprefix("file://"))
