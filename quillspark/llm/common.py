@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import cut, release, shared_dir, shared_path
+
+__all__ = ["SPACES", "UPPER", "LOWER", "ascii_lower", "cut", "documents", "let", "release", "shared_dir", "shared_path"]
+
 #: ASCII white space, as the operators define it (space and U+0009 to U+000D).
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quillspark/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, other letters as they are; lower() does the same to text of ASCII alone, and faster."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

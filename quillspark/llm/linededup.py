@@ -8,7 +8,9 @@ Two steps of the shuffle carry hashes only: a key's documents are counted by map
 that a third of all documents share costs one row for each map task. Texts move once, to meet the positions that go.
 
 Defined cases: null and empty texts are one empty line; rows that repeat an id are the same document; null ids are
-together one document, after all others; a repeated line inside one document alone stays. Other columns are not read.
+together one document, after all others (the id 2^63-1 stands for it, and is that document where it occurs); a repeated
+line inside one document alone stays; ids that are no numbers are an error, as the least of them is asked for. Other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Statistics of a text (lengths, shares of kinds of characters and words, repetiti
 random cosine features, whose inner products approximate a Gaussian kernel. Ridge regression of the labels on them
 needs only sums of products: each partition of labelled rows adds up its own, and the driver adds FIT_PARTITIONS such
 sums (each a fixed size) and solves. Raw scores of labelled rows that did not take part in that fit are summed by bins;
-pooling adjacent violators over the bins gives a rising step function, which calibrates all scores.
+pooling adjacent violators over the bins gives a function that rises from pool to pool; between two pools scores are
+interpolated, so that close scores keep their order.
 
 Labels come from rows whose crc32(id as text) mod 5 is not 0; remainders 1 to 3 fit, 4 calibrates. At most MOST_LABELS of
 them are used, chosen by a hash of the id: that is the one bound, and it does not touch scoring. Language, source, id

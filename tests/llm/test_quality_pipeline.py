@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -53,6 +54,57 @@ def test_quality_of_odd_tables(spark, odd, empty):
     assert quality.good_documents(odd, none).count() == odd.count()
 
 
+def _plain_statistics(text):
+    """The statistics once more, character by character and word by word."""
+    data = text.encode()
+    if not data:
+        return [0.0] * 25
+    of = lambda f: sum(map(f, data)) / len(data)
+    marks = b".,;:'\"?()-"
+    space, lower, upper, digit = (lambda c: chr(c).isspace() and c < 128, lambda c: 97 <= c <= 122, lambda c: 65 <= c <= 90, lambda c: 48 <= c <= 57)
+    symbol = lambda c: c < 128 and not (lower(c) or upper(c) or digit(c) or space(c) or c == 33 or c in marks)
+    words, lines = text.split(), text.split("\n")
+    n = len(words) or 1
+    sizes = [len(w) for w in words] or [0]
+    mean = sum(sizes) / len(sizes)
+    big = [w for w in words if w.isupper() and len(w) > 1]
+    return [
+        np.log(1 + len(text)), np.log(1 + n), mean, (sum((s - mean) ** 2 for s in sizes) / len(sizes)) ** 0.5, of(symbol), of(lower), of(upper), of(digit), of(space), of(lambda c: c in marks), of(lambda c: c > 127), of(lambda c: c == 33),
+        -sum(data.count(c) / len(data) * np.log2(data.count(c) / len(data)) for c in set(data)), len(set(words)) / n, len(set(words)) / n**0.5, max([words.count(w) for w in set(words)], default=0) / n,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(not (w[-1].isalnum() or w[-1] in ".,;:?'\")") for w in words) / n, len(big) / n, sum(w[0].isupper() for w in words if w not in big) / n,
+        np.log(1 + len(lines)), np.log(1 + len(text) / len(lines)), len(set(lines)) / len(lines), sum(s > 12 for s in sizes) / len(sizes), sum(s < 3 for s in sizes) / len(sizes),
+    ]
+
+
+def test_scores_are_those_of_brute_force(spark, scored):
+    """All labelled rows in one matrix, least squares with a penalty, the isotonic fit by its minimax formula."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    stats = {k: np.array(_plain_statistics(t)) for k, t in texts.items() if len(t) < 20_000}
+    stats |= {k: np.array(quality.statistics(t)) for k, t in texts.items() if k not in stats}
+    told = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.quality is not None and r.doc_id in texts:
+            told[r.doc_id].append(r.quality)
+    fold = lambda k: zlib.crc32(str(k).encode()) % 5
+    fit, rest = [[k for k in sorted(told) if fold(k) in f] for f in ((1, 2, 3), (4,))]
+    x, y = np.array([stats[k] for k in fit]), np.array([np.mean(told[k]) for k in fit])
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    w, b = quality._directions(25)
+    features = lambda ks: np.array([[*(np.cos(np.clip((stats[k] - mean) / np.where(sd > 0, sd, 1), -8, 8) @ w + b) * (2 / 256) ** 0.5), 1] for k in ks])
+    design, penalty = features(fit), (quality.RIDGE * len(fit) / 256) ** 0.5
+    weights = np.linalg.lstsq(np.vstack([design, penalty * np.eye(257)]), np.concatenate([y, np.zeros(257)]), rcond=None)[0]
+    cells = defaultdict(list)
+    for k, raw in zip(rest, features(rest) @ weights, strict=True):
+        cells[min(max(int(np.floor((raw + 0.5) / 2 * 512)), 0), 511)].append(np.mean(told[k]))
+    at = sorted(cells)
+    average = lambda i, j: sum(map(sum, (cells[c] for c in at[i : j + 1]))) / sum(len(cells[c]) for c in at[i : j + 1])
+    level = [max(min(average(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    want = np.clip(np.interp(features(sorted(texts)) @ weights, [(c + 0.5) / 512 * 2 - 0.5 for c in at], level), 0, 1)
+    got = np.array([scored[k].score for k in sorted(texts)])
+    assert np.abs(got - want).max() < 0.02 and np.abs(got - want).mean() < 1e-4
+    assert np.mean([(g >= 0.3) == (v >= 0.3) for g, v in zip(got, want, strict=True)]) > 0.999
+
+
 def test_statistics_are_finite():
     for _, t in data():
         x = quality.statistics(t)
