@@ -98,12 +98,10 @@ def spelling(chunk_rows: DataFrame, ctx: Context, detector: str = "hunspell") ->
 
 
 def grammar_findings(chunk_rows: DataFrame, ctx: Context) -> DataFrame:
-    plain = cmark.plain_chunks(chunk_rows, KEYS).withColumn("key", F.concat_ws("\x1f", *KEYS))
     rules = ctx.rules if ctx.rules is not None else grammar.rule_table(chunk_rows.sparkSession)
-    hits = grammar.matches(plain, grammar.active(rules), "key", "plain").join(plain.select("key", *KEYS, "plain", "plain_map"), "key")
-    hits = hits.withColumn("word", positions.sub_chars(F.col("plain"), F.col("start"), F.col("end"))).withColumn("r", cmark.to_source(F.col("plain_map"), F.col("start"), F.col("end"))).filter("r is not null")
-    hits = hits.select(*KEYS, F.col("r.start").alias("start"), F.col("r.end").alias("end"), "word", F.array().cast("array<string>").alias("replacements"), F.lit("nlprules").alias("detector"), F.col("message").alias("description"))
-    return placed(hits, chunk_rows).select(*FOUND)
+    rows = grammar.placed_matches(chunk_rows, grammar.active(rules))
+    own = F.when(F.col("replacement").isNull(), F.array().cast("array<string>")).otherwise(F.array("replacement"))
+    return rows.withColumn("replacements", own).select(*FOUND[:-2], F.lit("nlprules").alias("detector"), F.col("message").alias("description"))
 
 
 def dummy(chunk_rows: DataFrame, ctx: Context) -> DataFrame:

@@ -92,6 +92,8 @@ def parse(text: str, folder: str = ".") -> Config:
             section = _make(_SECTIONS[name], v, strict=name != "reflow")
             if isinstance(section, Spelling):
                 section.search_dirs = [os.path.normpath(os.path.join(folder, d)) for d in section.search_dirs]
+            if isinstance(section, Grammar) and section.override_rules:
+                section.override_rules = os.path.normpath(os.path.join(folder, section.override_rules))
             setattr(config, "zspell" if name == "zet" else name, section)
         else:
             raise ValueError(f"unknown section {k}")

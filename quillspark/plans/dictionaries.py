@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..operators import lexicon
+from ..operators import grammar, lexicon
 from . import config as C
 from .api import Context
 
@@ -93,7 +93,9 @@ def load(spark: SparkSession, section: C.Spelling, cache: str | None = None) ->
 
 
 def context(spark: SparkSession, config: C.Config, cache: str | None = None, **more) -> Context:
-    """What check() needs for settings; the first enabled spelling section names the dictionaries."""
+    """What check() needs for settings; the first enabled spelling section names the dictionaries, the grammar's section its rules."""
+    if config.nlprules and config.nlprules.override_rules:
+        more.setdefault("rules", grammar.read_rules(spark, config.nlprules.override_rules))
     section = next((s for s in (config.hunspell, config.zspell, config.spellbook) if s), None)
     if section is None:
         return Context(spark.createDataFrame([], "form string"), config=config, **more)

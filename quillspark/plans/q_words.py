@@ -65,11 +65,19 @@ def token_counts(spark, sf_dir):
     return rows.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), chars.alias("n_chars"))
 
 
-@query()
+_GAP = r"\s\v\x{1C}-\x{1F}\x{85}\p{Z}"
+_PICTURES = r"\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F000}-\x{1FAFF}"
+_TOKEN_SQL = rf"[\p{{L}}\p{{M}}\p{{N}}_]+[{_PICTURES}]*|[{_PICTURES}]+|[^{_GAP}]"
+_JOINED_SQL = rf"""[^{_GAP}()"'']+''(?:[\p{{L}}\p{{M}}\p{{N}}_]+[{_PICTURES}]*|[{_PICTURES}]+|[^{_GAP}()"''])|{_TOKEN_SQL}"""
+
+
+@query(rf"""WITH {D}, e AS (SELECT doc_id, regexp_replace(text, '(\p{{L}}{{6,}}) ', '\1''s ', 'g') AS text FROM d), t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_JOINED_SQL}')) AS token FROM e)
+SELECT doc_id, count(*)::BIGINT AS n_tokens, sum((token LIKE '%''s')::BIGINT)::BIGINT AS n_genitives, md5(string_agg(token, chr(10) ORDER BY token COLLATE "C")) AS tokens_md5 FROM t GROUP BY doc_id""")
 def token_stage_merge(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(\p{L}{6,}) ", "$1's "))
     rows = tokens.tokenize_chunks(d, ("doc_id",), "text")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("token").endswith("'s").cast("long")).alias("n_genitives"))
+    own = F.md5(F.array_join(F.sort_array(F.collect_list("token")), "\n"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("token").endswith("'s").cast("long")).alias("n_genitives"), own.alias("tokens_md5"))
 
 
 _SPLIT_SQL = W.SPLIT_CHARS.replace("'", "''")
@@ -224,9 +232,22 @@ def transform_fragments(spark, sf_dir):
     return rows.select("word", piece(0).alias("first"), piece(1).alias("second"))
 
 
-@query()
+_APART = [r"^([^@]+)@([^@]+)$", r"^(.+?)[.](.+)$", "^[0-9]+$", r"^(\p{L}+)[*&%$#!.,]+$"]
+_NTH = " ".join(f"WHEN regexp_matches(part, '{p}') THEN {k}" for k, p in enumerate(_APART))
+_FIRST = " ".join(f"WHEN {k} THEN regexp_extract(part, '{p}', 1)" for k, p in enumerate(_APART) if k != 2)
+_SECOND = " ".join(f"WHEN {k} THEN regexp_extract(part, '{p}', 2)" for k, p in enumerate(_APART[:2]))
+
+
+@query(f"""WITH RECURSIVE {_RAW}, t(word, pos, part, fit) AS (
+  SELECT word, 0, word, CASE {_NTH.replace("part", "word")} END FROM w
+  UNION ALL
+  SELECT word, pos, part, CASE {_NTH} END FROM (
+    SELECT word, pos + CASE WHEN x.second THEN length(CASE fit {_FIRST} END) + 1 ELSE 0 END AS pos, CASE WHEN x.second THEN CASE fit {_SECOND} END ELSE CASE fit {_FIRST} END END AS part
+    FROM t, (VALUES (false), (true)) x(second) WHERE fit IS NOT NULL AND fit <> 2 AND (NOT x.second OR fit < 2)) n),
+g AS (SELECT word, bool_or(coalesce(fit = 2, false)) AS listed, count(*) FILTER (WHERE fit IS NULL) AS n, coalesce(string_agg(part, ' ' ORDER BY pos) FILTER (WHERE fit IS NULL), '') AS fragments FROM t GROUP BY word)
+SELECT word, CASE WHEN NOT listed AND n = 1 AND length(fragments) = length(word) THEN 'atomic' WHEN n > 0 THEN 'fragments' ELSE 'whitelisted' END AS outcome, fragments FROM g""")
 def transform_recursive(spark, sf_dir):
-    patterns = [r"^([^@]+)@([^@]+)$", r"^(.+?)[.](.+)$", "^[0-9]+$", r"^(\p{L}+)[*&%$#!.,]+$"]
+    patterns = _APART
     rows = _raw_words(spark, sf_dir).withColumn("t", W.transform_words(patterns)("word"))
     return rows.select("word", "t.outcome", F.array_join(F.transform("t.fragments", lambda x: x["text"]), " ").alias("fragments"))
 
@@ -252,13 +273,13 @@ _ACTIVE = [(r[0], r[2]) for r in grammar.TEXT_RULES if r[1].lower() not in gramm
 e AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rule_id ORDER BY k) AS stop FROM m)
 SELECT doc_id, rule_id, (stop - length(hit))::INT AS start, stop::INT AS "end" FROM e""")
 def grammar_spacing(spark, sf_dir):
-    rows = grammar.matches(docs(spark, sf_dir), grammar.active(grammar.rule_table(spark)))
+    rows = grammar.matches(docs(spark, sf_dir), grammar.active(grammar.rule_table(spark, grammar.TEXT_RULES)))
     return rows.select("doc_id", "rule_id", "start", "end")
 
 
 @query("SELECT rule_id, category FROM (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}')" for r in grammar.TEXT_RULES) + ") v(rule_id, category) WHERE lower(category) NOT IN ('misspelling', 'typographical')")
 def rule_category_filter(spark, sf_dir):
-    return grammar.active(grammar.rule_table(spark)).select("rule_id", "category")
+    return grammar.active(grammar.rule_table(spark, grammar.TEXT_RULES)).select("rule_id", "category")
 
 
 @query("""WITH f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '12' WHEN 1 THEN 'word' WHEN 2 THEN '3' ELSE '+7' END AS head, CASE WHEN doc_id % 5 = 0 THEN '44' ELSE 'stem/AB' END AS body, CASE doc_id % 3 WHEN 0 THEN 'en_US' WHEN 1 THEN 'en-US' ELSE 'ende' END AS tag FROM documents)

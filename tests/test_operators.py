@@ -227,6 +227,29 @@ def test_check_fix_and_list(spark):
     assert api.reflowed(spark.createDataFrame([("w", "cmark", None, "word " * 40)], o.schema)).count() == 1
 
 
+def test_grammar_goes_through_check_to_fix(spark, tmp_path):
+    from quillspark.plans import dictionaries
+
+    text = "# The title\n\nIt is a apple **and** an pear , the The end.\n\n`a apple` stays,ok\n"
+    src = "/// A owl , he he said.\nstruct X;\n"
+    o = spark.createDataFrame([("m", "cmark", None, text), ("s", "rust", None, src)], "origin_id string, kind string, path string, content string")
+    only = config.masked(config.Config(), "nlprules")
+    ctx = api.Context(spark.createDataFrame([], "form string"), config=only)
+    found = api.identified(api.check(o, ctx)).cache()
+    got = {(r.origin_id, r.start_line, r.start_col, r.word): r.replacements for r in found.collect()}
+    assert got == {
+        ("m", 3, 6, "a"): ["an"], ("m", 3, 22, "an"): ["a"], ("m", 3, 28, "r ,"): ["r,"], ("m", 3, 32, "the The"): ["the"], ("m", 5, 14, "s,o"): ["s, o"],
+        ("s", 1, 4, "A"): ["An"], ("s", 1, 8, "l ,"): ["l,"], ("s", 1, 12, "he he"): ["he"],
+    }
+    decisions = found.select("finding_id", F.lit("1").alias("choice"), F.lit(None).cast("string").alias("custom"))
+    fixed = {r.origin_id: r.content for r in api.fix(o, found, decisions).collect()}
+    assert fixed == {"m": "# The title\n\nIt is an apple **and** a pear, the end.\n\n`a apple` stays, ok\n", "s": "/// An owl, he said.\nstruct X;\n"}
+    (tmp_path / "rules.json").write_text('{"rule_id": "x", "category": "Style", "pattern": "(pear)", "message": "Fruit.", "replacement": "[$1]"}\n{"rule_id": "y", "category": "Typographical", "pattern": "title"}\n{"rule_id": "z"}\n')
+    told = config.parse('[nlprules]\noverride_rules = "rules.json"\n', str(tmp_path))
+    own = api.check(o, dictionaries.context(spark, told))
+    assert [(r.word, r.replacements, r.description) for r in own.collect()] == [("pear", ["[pear]"], "Fruit.")]
+
+
 def test_plain_ranges_go_back(spark):
     c = spark.createDataFrame([("o", 0, "A **bold** `code` word")], "origin_id string, chunk_idx int, text string")
     r = cmark.plain_chunks(c).select("plain", cmark.to_source(F.col("plain_map"), F.lit(2), F.lit(6)).alias("bold"), cmark.to_source(F.col("plain_map"), F.lit(7), F.lit(11)).alias("code")).first()
