@@ -3,7 +3,9 @@
 A document has a 60-bit hash of its id. For each source the mix takes whole passes over all its documents and, for
 what is left of the target, the documents whose hash lies below a threshold. The threshold is found without a sort:
 sizes are summed by source and the first 12 bits of the hash; the bucket where the running sum crosses the budget is
-cut by the next 12 bits, and that bucket once more. Each level reads only documents of boundary buckets.
+cut by the next 12 bits, and that bucket once more. Each level reads only documents of boundary buckets. Running sums go
+over groups of 64 buckets, of which a source has 64 at most, and then within the one group that the budget crosses: no
+task has more rows for a hot source than that.
 
 Thresholds are nested: what the first leaves of the budget, less than the document at the boundary, is filled up from
 the documents beyond it that are no larger than that rest, by a second threshold, and so on ROUNDS times.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-LEVELS, BITS = 3, 12
+LEVELS, BITS, GROUP = 3, 12, 6
 ROUNDS = 4
 MOST = 3
 _ALL = 1 << 60
@@ -81,10 +83,18 @@ def _crossing(sizes: DataFrame, state: DataFrame) -> DataFrame:
         if level:
             inside = inside.filter(F.shiftright("h", 60 - BITS * level) == F.col("prefix"))
         cells = inside.groupBy("source", "left", "lowest", "largest", "prefix", _bucket(level).alias("b")).agg(F.sum("size").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("source").orderBy("b")) - F.col("n")
-        over = cells.withColumn("before", before).filter(F.col("before") + F.col("n") > F.col("left"))
-        found = over.groupBy("source").agg(F.min(F.struct("b", "before", "left", "lowest", "largest", "prefix")).alias("x"))
-        edge = cut(found.select(F.col("source").alias("s"), (F.col("x.left") - F.col("x.before")).alias("left"), "x.lowest", "x.largest", (F.shiftleft("x.prefix", BITS) + F.col("x.b")).alias("prefix")), "mix-edge")
+        groups = cells.groupBy("source", "left", "lowest", "largest", "prefix", F.shiftright("b", GROUP).alias("g")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("b", "n")).alias("cells"))
+        before = F.sum("n").over(Window.partitionBy("source").orderBy("g")) - F.col("n")
+        over = groups.withColumn("before", before).filter(F.col("before") + F.col("n") > F.col("left"))
+        found = over.groupBy("source").agg(F.min(F.struct("g", "before", "left", "lowest", "largest", "prefix", "cells")).alias("x")).select("source", "x.*")
+        # along the cells of that group: the sum before the one that crosses, and its number
+        along = F.aggregate(
+            F.sort_array("cells"),
+            F.struct(F.col("before").alias("sum"), F.lit(-1).alias("b")),
+            lambda a, c: F.when(a["b"] >= 0, a).when(a["sum"] + c["n"] > F.col("left"), F.struct(a["sum"].alias("sum"), c["b"].alias("b"))).otherwise(F.struct((a["sum"] + c["n"]).alias("sum"), F.lit(-1).alias("b"))),
+        )
+        found = found.withColumn("at", along)
+        edge = cut(found.select(F.col("source").alias("s"), (F.col("left") - F.col("at.sum")).alias("left"), "lowest", "largest", (F.shiftleft("prefix", BITS) + F.col("at.b")).alias("prefix")), "mix-edge")
     return edge.select(F.col("s").alias("source"), F.col("prefix").alias("edge"), "left")
 
 
