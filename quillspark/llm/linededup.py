@@ -4,8 +4,9 @@ A line's key is the line with ASCII white space stripped at both ends and A-Z lo
 min_chars code points that is found in at least min_docs documents loses all its lines, except those in the document
 with the smallest id that has it. Keys are compared by two chained 64-bit hashes.
 
-Two steps of the shuffle carry hashes only: a key's documents are counted by map-side partial aggregation, so a line
-that a third of all documents share costs one row for each map task. Texts move once, to meet the positions that go.
+Lines are split, normalised and hashed once; what both next steps need of them, hashes and places, is a table. A key's
+documents are counted by map-side partial aggregation, so a line that a third of all documents share costs one row for
+each map task. Texts move once, to meet the positions that go.
 
 Defined cases: null and empty texts are one empty line; rows that repeat an id are the same document; null ids are
 together one document, after all others (the id 2^63-1 stands for it, and is that document where it occurs); a repeated
@@ -47,7 +48,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("__id"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(carry)]
     ).withColumn("version", F.xxhash64("text"))
-    lines = _lines(base, min_chars)
+    lines = cut(_lines(base, min_chars), "line-hashes")
     # the repeated keys are cut off as a table: then a key of very many lines is one that the join may split, or a small table that it broadcasts
     gone = lines.join(cut(_repeated(lines, min_docs), "line-keys"), ["h1", "h2"]).filter("id <> first")
     # by document and text: rows that repeat both share one list
