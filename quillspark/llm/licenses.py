@@ -17,7 +17,8 @@ score is 0 without labels; with some, 1 less the burden of what binds the text:
 for licences that forbid commercial use.
 
 Defined cases: null and empty texts have no words; the same phrase at several places counts each time; very long texts
-are scanned whole. Other columns are not read.
+are scanned whole. Ids are whole
+numbers; others are an error (a null where ANSI mode is off). Other columns are not read.
 """
 
 from __future__ import annotations

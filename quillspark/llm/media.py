@@ -6,7 +6,8 @@ named by the document's id; archive.py has how these are written, planned by byt
 Features of an image are the mean, deviation and entropy of its samples and a coarse histogram.
 
 Defined cases: null and empty texts have a payload of 64 zero bytes; a null id stays null; rows that repeat an id are
-members of their own; an empty table gives no archive and no row. Other columns are not read. Memory is bounded by an
+members of their own; an empty table gives no archive and no row. Ids are whole
+numbers; others are an error (a null where ANSI mode is off). Other columns are not read. Memory is bounded by an
 Arrow batch and the longest text.
 """
 

@@ -21,7 +21,8 @@ collisions() counts over a whole result which surrogates stand for several origi
 
 Defined cases: null text stays null and has no entity; empty text likewise empty; the same entity has the same
 surrogate in all rows; overlapping finds go to the one that starts first, then to the longer. A letter that has no other of
-its script, case and block stays. Other columns are not read.
+its script, case and block stays. Ids are whole
+numbers; others are an error (a null where ANSI mode is off). Other columns are not read.
 """
 
 from __future__ import annotations

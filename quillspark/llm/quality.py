@@ -13,7 +13,8 @@ and labels are no input of a score.
 
 Defined cases: null text counts as empty; empty texts have statistics of 0 and a score like any other; rows with
 several labels count with their mean, null labels not at all; without labels of both kinds every score is the mean
-label, or 0.5 if there is none. Other columns are not read, except those that a caller keeps.
+label, or 0.5 if there is none. Ids are whole
+numbers; others are an error (a null where ANSI mode is off). Other columns are not read, except those that a caller keeps.
 """
 
 from __future__ import annotations

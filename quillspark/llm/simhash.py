@@ -15,8 +15,8 @@ lists of four shared bytes, one for each further position, where the pairs sough
 No link between different components is lost, so components are those of all links.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; null ids come after all
-others and a component of null ids alone has id null; rows that repeat an id are grouped each by its own text. Other
-columns are not read.
+others and a component of null ids alone has id null; rows that repeat an id are grouped each by its own text. Ids are
+whole numbers; others are an error (a null where ANSI mode is off). Other columns are not read.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ without another join.
 Defined cases: null html is an empty payload; a null url has no WARC-Target-URI; null ids come first (a page with an id
 is the response before them); rows that repeat id and payload are captures of their own, and if theirs is the largest id
 each is a response (revisits refer to the one of the largest url); rows that repeat the url as well have the same record
-ids; an empty table gives no file and no row. Other columns are not read.
+ids; an empty table gives no file and no row. Ids are whole
+numbers; others are an error (a null where ANSI mode is off). Other columns are not read.
 """
 
 from __future__ import annotations

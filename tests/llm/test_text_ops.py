@@ -423,6 +423,60 @@ def test_expressions(expression, labels, burden):
     assert got[0] == labels and got[1] == pytest.approx(burden)
 
 
+#: Identifiers and the label of each, for the brute force below.
+IDENTIFIERS = {"MIT": "mit", "Apache-2.0": "apache-2", "BSD-3-Clause": "bsd", "GPL-3.0-only": "gpl-3", "GPL-2.0+": "gpl-2", "LGPL-2.1": "lgpl", "MPL-2.0": "mpl-2", "CC-BY-NC-4.0": "cc-by-nc", "AGPL-3.0": "agpl", "Zlib": "zlib"}
+_TREES = st.recursive(st.sampled_from(sorted(IDENTIFIERS)), lambda x: st.tuples(st.sampled_from(["OR", "AND", "or", "and"]), x, x) | st.tuples(st.just("WITH"), st.sampled_from(sorted(IDENTIFIERS))), max_leaves=7)
+
+
+def _shown(tree, inside=False):
+    if isinstance(tree, str):
+        return tree
+    text = f"{tree[1]} WITH Some-exception-1.0" if tree[0] == "WITH" else f"{_shown(tree[1], True)} {tree[0]} {_shown(tree[2], True)}"
+    return f"({text})" if inside else text
+
+
+def _worth(tree):
+    """(labels, burden) by recursion over the tree that was written."""
+    if isinstance(tree, str):
+        return {IDENTIFIERS[tree]}, licenses.BURDEN.get(IDENTIFIERS[tree], licenses.OTHER)
+    if tree[0] == "WITH":
+        labels, burden = _worth(tree[1])
+        return labels, 0.8 * burden
+    (a, x), (b, y) = _worth(tree[1]), _worth(tree[2])
+    return a | b, (min if tree[0].lower() == "or" else max)(x, y)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(_TREES, max_size=3), st.lists(st.sampled_from(sorted(licenses.NOTICES)), max_size=3), _PIECES.map(lambda ps: "".join(p for p in ps if "SPDX" not in p and "licensed" not in p)))
+def test_labels_and_score_are_those_of_brute_force(trees, notices, prose):
+    lines = [f"// SPDX-License-Identifier: {_shown(t)}\n" for t in trees]
+    text = "".join(lines) + "\n".join(["", *(f"some {n.upper()}, that is" for n in notices), prose])
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower() if text.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    labels, costs = set(), []
+    for phrase, label in (licenses.BASE | licenses.NOTICES).items():
+        p = phrase.split()
+        if any(words[k : k + len(p)] == p for k in range(len(words))):
+            labels.add(label)
+    told = [_worth(t) for t in trees]
+    costs = [licenses.BURDEN[x] for x in labels if not any(x in of for of, _ in told)] + [b for _, b in told]
+    labels |= {x for of, _ in told for x in of}
+    got = licenses.scan(text)
+    assert got[5] == ",".join(sorted(labels)) and got[6] == (round(1 - max(costs), 6) if labels else 0.0)
+
+
+def test_many_places_take_linear_time():
+    import time
+
+    def took(n):
+        text = "under the MIT license and more words here " * n
+        t = time.process_time()
+        assert licenses.scan(text)[1] == n
+        return time.process_time() - t
+
+    took(1000)
+    assert took(80_000) < 16 * max(took(10_000), 0.01)
+
+
 def test_postfix_refuses_what_is_no_expression():
     for bad in (["MIT", "MIT"], ["(", "MIT"], ["MIT", ")"], ["OR", "MIT"], []):
         with pytest.raises(ValueError):
