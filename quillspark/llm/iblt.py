@@ -13,7 +13,8 @@ Likeness is the Jaccard similarity of the two sets of paragraphs, from the recov
 
 Defined cases: null text is empty; an empty text has no paragraph and two of them are alike (1.0); repeated paragraphs
 count once; the document after the last in descending id is the first; null ids come last; rows of equal id follow
-each other by hash of the text; a table of one row is its own next document. Other columns are not read.
+each other by hash of the text; a table of one row is its own next document. Ids are whole
+numbers; others are an error (a null where ANSI mode is off). Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import let
 
 WORDS = 16
-#: Parts of a sketch and the bits of the digest that choose a cell within one: 3 x 8 for the fingerprint, 4 x 8 for segments.
-SMALL, LARGE = (3, 3), (4, 3)
-#: Digests of both versions together for each segment, try by try.
-ROOM = (10, 5, 3)
+#: Parts of a sketch and the bits of the digest that choose a cell within one: 3 x 8 for the fingerprint.
+SMALL = (3, 3)
+#: Try by try: the shape of a segment's sketch, and the digests of both versions together for each segment.
+TRIES = (((3, 2), 4), ((3, 3), 5), ((4, 3), 3))
 #: Rows of a bucket of neighbouring ids, and the most buckets there may be.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 1 << 16
 
@@ -86,20 +87,36 @@ def peel(cells: Column, shape: tuple[int, int], shift: int = 0, rounds: int = 10
         )
         return F.when(s["stop"], s).otherwise(more)
 
+    # several digests in one cell may pass for one by chance: it is put in, and taken out again later; what was found an even number of times is not there
+    odd = lambda ks: F.filter(F.array_distinct(ks), lambda k: F.size(F.filter(ks, lambda x: x == k)) % 2 == 1)
+    once = lambda ks: F.when(F.size(F.array_distinct(ks)) == F.size(ks), ks).otherwise(odd(ks))
     start = state(cells, F.array().cast("array<bigint>"), F.lit(False))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.struct(s["found"].alias("found"), (~F.exists(s["cells"], lambda c: c != 0)).alias("done")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: F.struct(once(s["found"]).alias("found"), (~F.exists(s["cells"], lambda c: c != 0)).alias("done")))
 
 
 def _segments(pair: Column, room: int, salt: int) -> Column:
-    """Both sides' digests dealt into equal segments by hash, in two levels so that long texts stay linear: array<struct(a, b)>."""
-    total = F.size(pair["a"]) + F.size(pair["b"])
-    inner = F.least(F.lit(16), F.ceil(total / F.lit(room)).cast("int"))
-    inner = F.greatest(inner, F.lit(1))
-    outer = F.greatest(F.ceil(total / (inner * room)).cast("int"), F.lit(1))
-    at = lambda k, n, s: F.pmod(F.xxhash64(k, F.lit(s)), n.cast("long"))
-    side = lambda keys, n, s, i: F.filter(keys, lambda k: at(k, n, s) == i)
-    deal = lambda p, n, s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(side(p["a"], n, s, i).alias("a"), side(p["b"], n, s, i).alias("b")))
-    return F.flatten(F.transform(deal(pair, outer, 2 * salt), lambda p: deal(p, inner, 2 * salt + 1)))
+    """Both sides' digests dealt into equal segments by hash, in levels so that the work a digest stays small in long texts: array<struct(a, b)>."""
+    need = F.ceil((F.size(pair["a"]) + F.size(pair["b"])) / F.lit(room))
+    counts = []
+    for most in (16, 64, 1 << 30):
+        counts.append(F.greatest(F.least(need, F.lit(most)), F.lit(1)).cast("int"))
+        need = F.ceil(need / counts[-1])
+    # where each digest goes is hashed once, and then compared with the number of each segment
+    marked = lambda keys, n, s: F.transform(keys, lambda k: F.struct(k.alias("k"), F.pmod(F.xxhash64(k, F.lit(s)), n.cast("long")).alias("at")))
+    side = lambda es, i: F.transform(F.filter(es, lambda e: e["at"] == i), lambda e: e["k"])
+
+    def deal(p: Column, n: Column, s: int) -> Column:
+        both = F.struct(marked(p["a"], n, s).alias("a"), marked(p["b"], n, s).alias("b"))
+        parts = let(both, lambda m: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(side(m["a"], i).alias("a"), side(m["b"], i).alias("b"))))
+        return F.when(n == 1, F.array(F.struct(p["a"].alias("a"), p["b"].alias("b")))).otherwise(parts)
+
+    def dealt(n: Column) -> Column:
+        out = F.array(pair)
+        for k in range(3):
+            out = F.flatten(F.transform(out, lambda p: deal(p, n[f"n{2 - k}"], 3 * salt + k)))  # noqa: B023
+        return out
+
+    return let(F.struct(*[n.alias(f"n{k}") for k, n in enumerate(counts)]), dealt)
 
 
 def with_differences(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -114,9 +131,9 @@ def with_differences(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
     rows = rows.withColumn(name("first"), peel(subtract(F.col(f"{a}_cells"), F.col(f"{b}_cells")), SMALL))
     rows = rows.withColumn(name("open"), F.when(F.col(name("first"))["done"], nothing).otherwise(F.array(pair)))
     found = [F.when(F.col(name("first"))["done"], F.col(name("first"))["found"]).otherwise(none)]
-    for k, room in enumerate(ROOM):
-        shift = 3 * (k + 1)
-        got = lambda p: F.struct(p.alias("p"), peel(sketch(F.concat(p["a"], p["b"]), LARGE, shift), LARGE, shift).alias("got"))  # noqa: B023, E731
+    for k, (shape, room) in enumerate(TRIES):
+        shift = 9 * (k + 1)
+        got = lambda p: F.struct(p.alias("p"), peel(sketch(F.concat(p["a"], p["b"]), shape, shift), shape, shift).alias("got"))  # noqa: B023, E731
         rows = rows.withColumn(name(f"segments{k}"), F.flatten(F.transform(F.col(name("open")), lambda p: _segments(p, room, k))))  # noqa: B023
         rows = rows.withColumn(name(f"tried{k}"), F.transform(F.col(name(f"segments{k}")), got))
         rows = rows.withColumn(name("open"), F.transform(F.filter(F.col(name(f"tried{k}")), lambda x: ~x["got"]["done"]), lambda x: x["p"]))
@@ -137,7 +154,7 @@ def as_text(cells: Column) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (id, text, keys) with the text and keys of the next row in descending id, after one shuffle of the texts.
+    """Rows (id, text), with keys and keys_cells, and all three of the next row in descending id, after one shuffle of the texts.
 
     Quantiles of the ids cut them into buckets of neighbours. The largest id of each bucket is itself a quantile, so
     its row is known from the id alone and goes to the bucket above as well, where it ends the order.
@@ -162,9 +179,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("__own", own.cast("int")).withColumn("__head", head.cast("int"))
     out = out.withColumn("__at", F.explode(F.when(F.col("__head").isNull(), F.slice(at, 1, 1)).otherwise(at)))
     out = out.select("id", "text", F.col("__at.bucket").alias("bucket"), F.col("__at.copy").alias("copy")).repartition("bucket")
-    out = out.withColumn("keys", digests(F.col("text")))
+    out = out.withColumn("keys", digests(F.col("text"))).withColumn("keys_cells", sketch(F.col("keys"), SMALL))
     w = Window.partitionBy("bucket").orderBy("copy", F.col("id").desc_nulls_last(), F.xxhash64("text"))
-    return out.withColumn("next_text", F.lead("text").over(w)).withColumn("next_keys", F.lead("keys").over(w)).filter("copy = 0")
+    return out.withColumns({f"next_{c}": F.lead(c).over(w) for c in ("text", "keys", "keys_cells")}).filter("copy = 0")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,8 +195,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     rows = rows.withColumn("edited_keys", digests(F.col("edited")))
-    for x in ("keys", "edited_keys", "next_keys"):
-        rows = rows.withColumn(f"{x}_cells", sketch(F.col(x), SMALL))
+    rows = rows.withColumn("edited_keys_cells", sketch(F.col("edited_keys"), SMALL))
     for x in ("edited_keys", "next_keys"):
         rows = with_differences(rows, "keys", x, f"{x}_diff")
     size = lambda x: F.size(F.col(x))

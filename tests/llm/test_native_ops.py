@@ -66,10 +66,12 @@ def test_neighbours_meet_however_buckets_are_cut(spark, monkeypatch, size):
     _compare(_fingerprints(docs), _edited(ordered))
 
 
-def test_the_digests_that_differ_are_recovered_on_their_side(spark):
-    """By brute force over all digests, for pairs with few and with very many differences."""
+@pytest.mark.parametrize("bits", [16, 3])
+def test_the_digests_that_differ_are_recovered_on_their_side(spark, monkeypatch, bits):
+    """By brute force over all digests, for pairs with few and with very many differences; with 3 bits of check, cells of several digests often pass for one."""
+    monkeypatch.setattr(iblt, "_check", lambda x: F.xxhash64(x).bitwiseAND((1 << bits) - 1))
     words = lambda tag, n: "\n".join(f"{tag} paragraph {k}" for k in range(n))
-    texts = [words("a", 30), words("a", 30) + "\nb", words("c", 300), words("c", 299) + "\nd", "", words("e", 2000)]
+    texts = [words("a", 30), words("a", 30) + "\nb", words("c", 300), words("c", 299) + "\nd", "", words("e", 2000), *(words(f"f{k}", k) for k in range(1, 40))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     keys = {r.doc_id: set(r.ks) for r in df.select("doc_id", iblt.digests(F.col("text")).alias("ks")).collect()}
     got = {r.doc_id: r for r in iblt.fingerprints(df).collect()}
@@ -89,7 +91,7 @@ def test_equal_texts_have_equal_fingerprints(odd):
 
 
 def test_peeling_recovers_differences_and_reports_failure(spark):
-    shape = iblt.LARGE
+    shape = (4, 3)
     sets = spark.range(400).select(F.transform(F.sequence(F.lit(1), F.col("id") % 40 + 1), lambda k: F.shiftleft(F.xxhash64(k, F.col("id")), 16)).alias("raw"))
     sets = sets.select(F.transform("raw", lambda x: x.bitwiseOR(iblt._check(F.shiftrightunsigned(x, 16)))).alias("keys"))
     got = sets.select("keys", F.size("keys").alias("n"), iblt.peel(iblt.sketch(F.col("keys"), shape), shape).alias("p")).collect()
