@@ -242,12 +242,12 @@ def rust_chunks(spark, sf_dir):
 
 @query()
 def check_action(spark, sf_dir):
-    """Spelling with suggestions and grammar over all documents, as Markdown."""
+    """Spelling with suggestions and grammar over all turns of conversations, as Markdown."""
     from ..sources import readers
     from .config import Config, masked
 
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = api.check(readers.from_rows(rows, "doc_id", "text"), api.Context(forms(spark, sf_dir), config=masked(Config(), "hunspell,nlprules")))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("id", F.concat_ws(":", "conv_id", "turn"))
+    found = api.check(readers.from_rows(rows, "id", "text"), api.Context(forms(spark, sf_dir), config=masked(Config(), "hunspell,nlprules")))
     return found.select("origin_id", "detector", "start_line", "start_col", "end_line", "end_col", "word", F.array_join("replacements", ",").alias("replacements"))
 
 
