@@ -19,6 +19,8 @@ numbers; others are an error (a null where ANSI mode is off). Other columns are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,8 +151,12 @@ def likeness(n_a: Column, n_b: Column, differ: Column) -> Column:
 
 
 def as_text(cells: Column) -> Column:
-    """A fingerprint: the cells in hex."""
-    return F.array_join(F.transform(cells, lambda c: F.lower(F.hex(c))), "-")
+    """A fingerprint: the cells in hex.
+
+    Digits become small one by one, as lower() builds tables for all of Unicode when it is first used, 2.7 GB of garbage in
+    a moment, on which an executor's heap grows for good.
+    """
+    return reduce(lambda t, d: F.replace(t, F.lit(d), F.lit(d.lower())), "ABCDEF", F.array_join(F.transform(cells, F.hex), "-"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

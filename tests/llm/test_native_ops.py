@@ -106,6 +106,15 @@ def test_fingerprint_plan_has_no_python(spark):
     assert not re.search("Python|Pandas|MapInArrow", plan)
 
 
+def test_fingerprints_are_small_hex_without_tables_of_case(spark):
+    """lower() and upper() build tables for all of Unicode, on which an executor's heap grows by hundreds of MB."""
+    cells = [0, 1, -1, 0x0123456789ABCDEF, -0x123456789ABCDEF0]
+    got = spark.createDataFrame([(cells,)], "cells array<bigint>").select(iblt.as_text(F.col("cells")).alias("t")).first().t
+    assert got == "-".join(f"{c % (1 << 64):x}" for c in cells)
+    plan = Q.op3_fingerprints(spark, SF)._jdf.queryExecution().toString()
+    assert "hex(" in plan and not re.search(r"\b(lower|upper)\(", plan)
+
+
 SQL_SCHEMA = "doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT"
 
 
