@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import comments, positions
 from ..operators import chunks
-from ..tables import spread
+from ..tables import cut, pieces, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -247,7 +247,8 @@ def _module_files(spark, sf_dir):
     k = F.col("doc_id")
     name = lambda x: F.concat(F.lit("mod d"), x.cast("string"), F.lit(";"))
     content = F.concat_ws("\n", F.lit("//! mod d0;"), name(2 * k + 1), F.concat(F.lit("mod inner { pub "), name(2 * k + 2), F.lit(" }")), F.lit("mod gone;"))
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").distinct()
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    rows = rows.repartition(pieces(rows, 4 << 20), "doc_id").distinct()
     return rows.select(F.concat(F.lit("src/d"), k.cast("string"), F.lit(".rs")).alias("path"), content.alias("content"))
 
 
@@ -265,5 +266,5 @@ def module_closure(spark, sf_dir):
     from ..sources import modules
 
     files = _module_files(spark, sf_dir)
-    edges = modules.resolved(modules.declared(files), files)
-    return modules.closure(files.join(edges.select(F.col("child").alias("path")), "path", "left_anti"), edges)
+    edges = cut(modules.resolved(modules.declared(files), files), "edges")
+    return modules.closure(files.join(edges.select(F.col("child").alias("path")).hint("merge"), "path", "left_anti"), edges)

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rustlex
-from ..tables import settled
+from ..tables import cut, pieces, shared_path
+
+#: Bytes of files, by Spark's estimate, that one task of a join on paths takes.
+_FILES = 16 << 20
 
 
 def _declarations(files: DataFrame) -> DataFrame:
@@ -44,7 +47,9 @@ def _places(declarations: DataFrame, files: DataFrame) -> DataFrame:
     stem = F.regexp_extract("parent", r"([^/]*?)(\.[^./]*)?$", 1)
     spots = F.array(F.concat(folder, "name", F.lit("/mod.rs")), F.concat(folder, "name", F.lit(".rs")), F.concat(folder, stem, F.lit("/"), "name", F.lit(".rs")))
     rows = declarations.select("parent", "name", F.explode(F.array_distinct(spots)).alias("path"))
-    return rows.join(files.select("path").distinct(), "path").groupBy("parent", "name").agg(F.count("*").alias("n"), F.min("path").alias("child"))
+    n = pieces(files, _FILES)
+    met = rows.repartition(n, "path").join(files.select("path").repartition(n, "path").distinct(), "path")
+    return met.repartition(n, "parent", "name").groupBy("parent", "name").agg(F.count("*").alias("n"), F.min("path").alias("child"))
 
 
 def resolved(declarations: DataFrame, files: DataFrame) -> DataFrame:
@@ -61,15 +66,22 @@ def closure(roots: DataFrame, edges: DataFrame, depth: int = 1 << 30) -> DataFra
     """path, depth: roots (path) and all files that modules lead to, each once with its smallest depth, down to a depth.
 
     Breadth first: each round joins the newest files with the edges and takes what is not there yet; the number of
-    rounds is the depth of the deepest tree, whatever the number of files.
+    rounds is the depth of the deepest tree, whatever the number of files. Each depth is a table of one folder, so a
+    round's plan is as small as the first one's, and nothing of it is sent to the driver: joins sort, none broadcasts.
     """
-    edges = settled(edges.select("parent", "child").distinct())
-    newest = settled(roots.select("path").distinct().withColumn("depth", F.lit(0)))
-    found = newest
-    for level in range(1, depth + 1):
-        step = newest.join(edges, newest["path"] == edges["parent"]).select(F.col("child").alias("path")).distinct()
-        newest = settled(step.join(found.select("path"), "path", "left_anti").withColumn("depth", F.lit(level)))
-        if newest.isEmpty():
-            break
-        found = found.unionByName(newest)
-    return found
+    spark = edges.sparkSession
+    folder = shared_path(spark, "closure")
+    edges = cut(edges.select("parent", "child").distinct(), "edges")
+
+    def table(*levels: int) -> DataFrame:
+        return spark.read.schema("path string, depth int").parquet(*[f"{folder}/{k}" for k in levels])
+
+    def put(rows: DataFrame, level: int) -> DataFrame:
+        rows.withColumn("depth", F.lit(level)).write.parquet(f"{folder}/{level}")
+        return table(level)
+
+    newest, level = put(roots.select("path").distinct(), 0), 0
+    while level < depth and not newest.isEmpty():
+        step = newest.select(F.col("path").alias("parent")).join(edges.hint("merge"), "parent").select(F.col("child").alias("path")).distinct()
+        newest = put(step.join(table(*range(level + 1)).select("path").hint("merge"), "path", "left_anti"), level := level + 1)
+    return table(*range(level + 1))

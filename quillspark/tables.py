@@ -63,6 +63,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def pieces(df: DataFrame, each: int, most: int = 10_000) -> int:
+    """How many partitions df fills with so many bytes, by Spark's estimate of its size, and one for each core at least.
+
+    What a task holds stays the same then however large df is: adaptive execution joins small partitions, by their bytes
+    as compressed, but splits none.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(df.sparkSession.sparkContext.defaultParallelism, size // each), most)
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df shuffled by keys to as many partitions as the session shuffles to. For few bytes that cost much time: by their size alone, adaptive execution would put them into one task."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
