@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.sources import modules
+from quillspark.tables import pieces
 
 
 def _plan(df):
@@ -14,3 +15,9 @@ def test_closure_reads_its_depths_from_one_folder(spark):
     got = modules.closure(spark.createDataFrame([("f1",), ("f1",)], "path string"), edges)
     assert "Union" not in _plan(got) and "LogicalRDD" not in _plan(got)
     assert {r.path: r.depth for r in got.collect()} == {f"f{k}": k.bit_length() - 1 for k in range(1, 64)} and got.count() == 63
+
+
+def test_places_of_modules_are_dealt_by_size(spark):
+    files = spark.range(20_000_000).select(F.concat(F.lit("src/"), F.col("id").cast("string")).alias("path"), F.lit("mod a;").alias("content"))
+    n = pieces(files, modules._FILES)
+    assert n > 4 and f", {n}" in _plan(modules.resolved(files.select(F.col("path").alias("parent"), F.lit("a").alias("name")), files))
