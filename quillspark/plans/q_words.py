@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..operators import grammar, lexicon, spell, tokens
+from ..tables import cut, pieces
 from .q_positions import D, docs
 
 QUERIES: dict = {}
@@ -75,9 +76,10 @@ _JOINED_SQL = rf"""[^{_GAP}()"'']+''(?:[\p{{L}}\p{{M}}\p{{N}}_]+[{_PICTURES}]*|[
 SELECT doc_id, count(*)::BIGINT AS n_tokens, sum((token LIKE '%''s')::BIGINT)::BIGINT AS n_genitives, md5(string_agg(token, chr(10) ORDER BY token COLLATE "C")) AS tokens_md5 FROM t GROUP BY doc_id""")
 def token_stage_merge(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"(\p{L}{6,}) ", "$1's "))
-    rows = tokens.tokenize_chunks(d, ("doc_id",), "text")
-    own = F.md5(F.array_join(F.sort_array(F.collect_list("token")), "\n"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.col("token").endswith("'s").cast("long")).alias("n_genitives"), own.alias("tokens_md5"))
+    rows = tokens.token_lists(d, ("doc_id",), "text").filter("size(tokens) > 0").repartition(pieces(d, 2 << 20), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    genitives = F.size(F.filter("tokens", lambda t: t.endswith("'s"))).cast("long")
+    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), genitives.alias("n_genitives"), F.md5(F.array_join(F.sort_array("tokens"), "\n")).alias("tokens_md5"))
 
 
 _SPLIT_SQL = W.SPLIT_CHARS.replace("'", "''")

@@ -1,10 +1,18 @@
 """What a task, a worker or the driver holds does not grow with the input; results stay whole."""
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillspark.functions import words as W
+from quillspark.operators import batches, chunks, reflow, report, rustlex, tokens
+from quillspark.plans import registry
 from quillspark.sources import modules
 from quillspark.tables import pieces
 
+from .conftest import SF
+
 
 def _plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -21,3 +29,52 @@ def test_places_of_modules_are_dealt_by_size(spark):
     files = spark.range(20_000_000).select(F.concat(F.lit("src/"), F.col("id").cast("string")).alias("path"), F.lit("mod a;").alias("content"))
     n = pieces(files, modules._FILES)
     assert n > 4 and f", {n}" in _plan(modules.resolved(files.select(F.col("path").alias("parent"), F.lit("a").alias("name")), files))
+
+
+class _Batch:
+    """A batch whose columns can be read row by row only."""
+
+    def __init__(self, b):
+        self.b, self.num_rows, self.num_columns = b, b.num_rows, b.num_columns
+        self.columns = [_Column(c) for c in b.columns]
+
+    def column(self, k):
+        return self.columns[k]
+
+
+class _Column:
+    def __init__(self, c):
+        self.c = c
+
+    def __getitem__(self, k):
+        return self.c[k]
+
+    def take(self, at):
+        return self.c.take(at)
+
+
+def _passes(spark, monkeypatch, df_of, text, n):
+    """Sizes of the batches that the Arrow pass of df_of(texts) makes of n rows of a text, and their rows."""
+    held = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema, *a, **b: held.append((self, f)) or spark.createDataFrame([], schema))
+    df_of(spark.createDataFrame([(1, "1", text)], "doc_id long, origin_id string, text string"))
+    monkeypatch.undo()
+    df, f = held[-1]
+    b = df.toArrow().to_batches()[0]
+    many = pa.Table.from_batches([b] * n).combine_chunks().to_batches()[0]
+    out = list(f(iter([_Batch(many)])))
+    return [x.num_rows for x in out], pa.Table.from_batches(out).to_pylist()
+
+
+def test_tokens_go_on_in_parts(spark, monkeypatch):
+    sizes, rows = _passes(spark, monkeypatch, lambda d: tokens.tokenize_chunks(d, ("doc_id",), "text"), "isn't a b " * 500, 50)
+    assert len(rows) == 75_000 and max(sizes) <= batches.MOST_ROWS and rows[-1] == {"doc_id": 1, "tok_idx": 1499, "start": 4998, "end": 4999, "token": "b"}
+    sizes, rows = _passes(spark, monkeypatch, lambda d: tokens.token_lists(d, ("doc_id",), "text"), "isn't a b " * 5000, 100)
+    assert len(sizes) > 4 and len(rows) == 100 and rows[0]["tokens"] == ["isn't", "a", "b"] * 5000
+
+
+def test_token_counts_take_rows_of_an_id_together(spark, tmp_path):
+    spark.createDataFrame([(1, "wordsmith it b"), (1, "a"), (2, ""), (3, None), (4, " ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["token_stage_merge"](spark, str(tmp_path))
+    want = hashlib.md5("\n".join(sorted(["wordsmith's", "it", "b", "a"])).encode()).hexdigest()
+    assert [tuple(r) for r in got.collect()] == [(1, 4, 1, want)] and "Generate" not in _plan(got)
