@@ -150,10 +150,11 @@ def spell_agreement(spark, sf_dir):
 
     rows = None
     for name in ("hunspell", "zspell", "spellbook"):
-        own = api.flagged(word_rows(spark, sf_dir).select("doc_id", "tok_idx", "word"), forms(spark, sf_dir), name).select("doc_id", "tok_idx", F.lit(name).alias("detector"))
+        own = api.flagged(words, forms(spark, sf_dir), name).select("word", "n", F.lit(name).alias("detector"))
         rows = own if rows is None else rows.union(own)
-    agree = rows.groupBy("doc_id", "tok_idx").agg(F.collect_list("detector").alias("ds"))
-    return agree.select(F.explode("ds").alias("detector"), (F.size("ds") < 3).cast("long").alias("alone")).groupBy("detector").agg(F.count("*").alias("n_findings"), F.sum("alone").alias("n_alone"))
+    agree = rows.groupBy("word", "n").agg(F.collect_list("detector").alias("ds"))
+    agree = agree.select("n", F.explode("ds").alias("detector"), F.when(F.size("ds") < 3, F.col("n")).otherwise(0).alias("alone"))
+    return agree.groupBy("detector").agg(F.sum("n").alias("n_findings"), F.sum("alone").alias("n_alone"))
 
 
 @query(f"""WITH {TOK}, {LEX}, {UNKNOWN}, a AS (SELECT word FROM unk WHERE regexp_matches(word, '^[a-z]+$')), b AS (SELECT form FROM lex WHERE regexp_matches(form, '^[a-z]+$')),

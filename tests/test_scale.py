@@ -78,3 +78,11 @@ def test_token_counts_take_rows_of_an_id_together(spark, tmp_path):
     got = registry.queries()["token_stage_merge"](spark, str(tmp_path))
     want = hashlib.md5("\n".join(sorted(["wordsmith's", "it", "b", "a"])).encode()).hexdigest()
     assert [tuple(r) for r in got.collect()] == [(1, 4, 1, want)] and "Generate" not in _plan(got)
+
+
+def test_detectors_look_up_distinct_words(spark, tmp_path):
+    spark.createDataFrame([(1, "known bad bad"), (1, "bad worse"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("known",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["spell_agreement"](spark, str(tmp_path))
+    assert "posexplode" not in _plan(got)
+    assert sorted(map(tuple, got.collect())) == [(d, 4, 0) for d in ("hunspell", "spellbook", "zspell")]
