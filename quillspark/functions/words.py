@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 #: One-character tokens that are never looked up.
 SPLIT_CHARS = "!\"#&'(),-./:;?@[]_`{|}§¶‒…"
@@ -87,19 +88,34 @@ def transform(word: str, patterns: list[str]) -> tuple[str, list[tuple[int, int,
     return ("fragments", out) if out else ("whitelisted", [])
 
 
-_FRAGMENTS = "struct<outcome:string,fragments:array<struct<start:int,end:int,text:string>>>"
+_FRAGMENT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())])
 
 
-def transform_words(patterns: list[str]):
-    """transform() on a column of words, batch by batch."""
+def _transform_part(words: list[str], patterns: list[str], outcomes: set[str] | None) -> tuple[list[int], list[str], list[list[dict]]]:
+    """Which of the words have one of the outcomes, that outcome, and their fragments. Words that no pattern matches, most of them, go no further than that."""
+    compiled = []
+    for p in patterns:
+        try:
+            compiled.append(regex.compile(p).search)
+        except regex.error:
+            break  # for a word that none before matches, the list ends here
+    at, outcome, fragments = [], [], []
+    for k, w in enumerate(words):
+        said, parts = transform(w, patterns) if any(f(w) for f in compiled) else ("atomic", [(0, len(w), w)])
+        if outcomes is None or said in outcomes:
+            at.append(k)
+            outcome.append(said)
+            fragments.append([{"start": s, "end": e, "text": t} for s, e, t in parts])
+    return at, outcome, fragments
 
-    @pandas_udf(_FRAGMENTS)
-    def run(words):
-        import pandas as pd
 
-        rows = [transform(w, patterns) for w in words]
-        return pd.DataFrame({"outcome": [r[0] for r in rows], "fragments": [[{"start": s, "end": e, "text": t} for s, e, t in r[1]] for r in rows]})
-
-    return run
+def transformed(rows: DataFrame, patterns: list[str], outcomes: set[str] | None = None, word: str = "word") -> DataFrame:
+    """word, outcome, fragments: transform() of each row's word, of those rows that have one of the outcomes, if any are named."""
+    schema = f"`{word}` string, outcome string, fragments array<struct<start:int,end:int,text:string>>"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, outcome, fragments = _transform_part(b.column(0).to_pylist(), patterns, outcomes)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(outcome, pa.string()), pa.array(fragments, pa.list_(_FRAGMENT))], names=[word, "outcome", "fragments"])
 
+    return rows.select(word).mapInArrow(run, schema)

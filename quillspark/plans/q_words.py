@@ -223,15 +223,15 @@ def _raw_words(spark, sf_dir):
 
 @query(f"WITH {_RAW} SELECT word FROM w WHERE NOT regexp_matches(word, '^[0-9]+[.,]?$') AND NOT regexp_matches(word, '@')")
 def transform_whitelist(spark, sf_dir):
-    rows = _raw_words(spark, sf_dir).withColumn("t", W.transform_words(["^[0-9]+[.,]?$", "@"])("word"))
-    return rows.filter("t.outcome <> 'whitelisted'").select("word")
+    return W.transformed(_raw_words(spark, sf_dir), ["^[0-9]+[.,]?$", "@"], {"atomic", "fragments"}).select("word")
 
 
 @query(f"""WITH {_RAW} SELECT word, regexp_extract(word, '^(\\p{{L}}+)[-*&%$#!]+(\\p{{L}}*)', 1) AS first, regexp_extract(word, '^(\\p{{L}}+)[-*&%$#!]+(\\p{{L}}*)', 2) AS second
 FROM w WHERE regexp_matches(word, '^(\\p{{L}}+)[-*&%$#!]+(\\p{{L}}*)')""")
 def transform_fragments(spark, sf_dir):
-    rows = _raw_words(spark, sf_dir).withColumn("t", W.transform_words([r"^(\p{L}+)[-*&%$#!]+(\p{L}*)"])("word")).filter("t.outcome = 'fragments'")
-    piece = lambda k: F.coalesce(F.get("t.fragments", F.lit(k))["text"], F.lit(""))
+    rows = _raw_words(spark, sf_dir)
+    rows = W.transformed(rows, [r"^(\p{L}+)[-*&%$#!]+(\p{L}*)"], {"fragments"})
+    piece = lambda k: F.coalesce(F.get("fragments", F.lit(k))["text"], F.lit(""))
     return rows.select("word", piece(0).alias("first"), piece(1).alias("second"))
 
 
@@ -251,8 +251,8 @@ g AS (SELECT word, bool_or(coalesce(fit = 2, false)) AS listed, count(*) FILTER
 SELECT word, CASE WHEN NOT listed AND n = 1 AND length(fragments) = length(word) THEN 'atomic' WHEN n > 0 THEN 'fragments' ELSE 'whitelisted' END AS outcome, fragments FROM g""")
 def transform_recursive(spark, sf_dir):
     patterns = _APART
-    rows = _raw_words(spark, sf_dir).withColumn("t", W.transform_words(patterns)("word"))
-    return rows.select("word", "t.outcome", F.array_join(F.transform("t.fragments", lambda x: x["text"]), " ").alias("fragments"))
+    rows = W.transformed(_raw_words(spark, sf_dir), patterns)
+    return rows.select("word", "outcome", F.array_join(F.transform("fragments", lambda x: x["text"]), " ").alias("fragments"))
 
 
 @query(f"""WITH {TOK}, l AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS b FROM tok) SELECT doc_id, tok_idx, word FROM l WHERE lower(word) = lower(b)""")

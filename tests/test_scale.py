@@ -86,3 +86,14 @@ def test_detectors_look_up_distinct_words(spark, tmp_path):
     got = registry.queries()["spell_agreement"](spark, str(tmp_path))
     assert "posexplode" not in _plan(got)
     assert sorted(map(tuple, got.collect())) == [(d, 4, 0) for d in ("hunspell", "spellbook", "zspell")]
+
+
+def test_listed_words_go_in_the_pass_that_finds_them(spark, tmp_path):
+    spark.createDataFrame([(1, "12 12. a@b word 12x word"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["transform_whitelist"](spark, str(tmp_path))
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.word for r in got.collect()) == ["12x", "word"]
+    words = ["a1b1c", "same", "12", "zz", "(x", ""]
+    for patterns in ([r"^(\w+)1(\w)$", "^(same)$", "^[0-9]+$"], ["(", "^zz$"], ["^12$", "("]):
+        rows = W.transformed(spark.createDataFrame([(w,) for w in words], "word string"), patterns).collect()
+        assert {r.word: (r.outcome, [tuple(x) for x in r.fragments]) for r in rows} == {w: W.transform(w, patterns) for w in words}
