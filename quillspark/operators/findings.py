@@ -39,11 +39,9 @@ def overlaps(a: dict[str, Column], b: dict[str, Column]) -> Column:
 def without_overlaps(found: DataFrame, origin: str = "origin_id") -> DataFrame:
     """Findings that do not overlap the one just before them, whether that one is kept or not."""
     w = Window.partitionBy(origin).orderBy(*in_order(origin)[1:])
-    rows = found
-    for c in PLACE:
-        rows = rows.withColumn(f"__{c}", F.lag(c).over(w))
-    hit = overlaps({c: F.col(c) for c in PLACE}, {c: F.col(f"__{c}") for c in PLACE})
-    return rows.filter(F.col("__start_line").isNull() | ~hit).drop(*[f"__{c}" for c in PLACE])
+    rows = found.withColumn("__before", F.lag(F.struct(*PLACE)).over(w))
+    hit = overlaps({c: F.col(c) for c in PLACE}, {c: F.col(f"__before.{c}") for c in PLACE})
+    return rows.filter(F.col("__before").isNull() | ~hit).drop("__before")
 
 
 def counts(found: DataFrame, origin: str = "origin_id") -> DataFrame:

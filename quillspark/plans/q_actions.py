@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import positions
 from ..operators import chunks, cmark, findings, patch, reflow, report, rustlex, tokens
+from ..tables import pieces
 from . import api
 from .q_positions import D, L, docs
 from .q_words import TOK, forms, placed_words, word_rows
@@ -44,6 +45,11 @@ def _found(spark, sf_dir):
     return out.select("doc_id", F.col("k.detector").alias("detector"), F.col("line_no").alias("start_line"), col.alias("start_col"), F.col("line_no").alias("end_line"), (col + n - 1).cast("int").alias("end_col"), "word")
 
 
+def _dealt_found(spark, sf_dir):
+    """Findings dealt by document for windows, so that what a task sorts is the same whatever there is in all."""
+    return _found(spark, sf_dir).repartition(pieces(docs(spark, sf_dir), 2 << 20), "doc_id")
+
+
 _COLS = "doc_id, detector, start_line, start_col, end_line, end_col, word"
 
 
@@ -66,7 +72,7 @@ def findings_sorted(spark, sf_dir):
   WINDOW w AS (PARTITION BY doc_id ORDER BY start_line, start_col, end_line, end_col, rank))
 SELECT {_COLS} FROM o WHERE a IS NULL OR end_line < a OR c < start_line OR NOT (CASE WHEN start_line < a OR (start_line = a AND start_col < b) THEN end_col > b ELSE start_col < e END)""")
 def overlap_filtered(spark, sf_dir):
-    rows = _found(spark, sf_dir).withColumn("replacements", F.array().cast("array<string>"))
+    rows = _dealt_found(spark, sf_dir).withColumn("replacements", F.array().cast("array<string>"))
     return findings.without_overlaps(rows, "doc_id").drop("replacements")
 
 

@@ -80,6 +80,11 @@ def test_token_counts_take_rows_of_an_id_together(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [(1, 4, 1, want)] and "Generate" not in _plan(got)
 
 
+def test_windows_over_findings_are_dealt_by_document(spark):
+    for name in ("overlap_filtered", "findings_sorted"):
+        assert "RepartitionByExpression [doc_id" in _plan(registry.queries()[name](spark, SF))
+
+
 def test_detectors_look_up_distinct_words(spark, tmp_path):
     spark.createDataFrame([(1, "known bad bad"), (1, "bad worse"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("known",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
