@@ -102,3 +102,10 @@ def test_listed_words_go_in_the_pass_that_finds_them(spark, tmp_path):
     for patterns in ([r"^(\w+)1(\w)$", "^(same)$", "^[0-9]+$"], ["(", "^zz$"], ["^12$", "("]):
         rows = W.transformed(spark.createDataFrame([(w,) for w in words], "word string"), patterns).collect()
         assert {r.word: (r.outcome, [tuple(x) for x in r.fragments]) for r in rows} == {w: W.transform(w, patterns) for w in words}
+
+
+def test_words_are_taken_apart_once(spark, tmp_path):
+    spark.createDataFrame([(1, "well-known well-known a- word -b x#y-z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["transform_fragments"](spark, str(tmp_path))
+    assert got._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 0
+    assert sorted(map(tuple, got.collect())) == [("a-", "a", ""), ("well-known", "well", "known"), ("x#y-z", "x", "y")]
