@@ -66,6 +66,11 @@ def _passes(spark, monkeypatch, df_of, text, n):
     return [x.num_rows for x in out], pa.Table.from_batches(out).to_pylist()
 
 
+def test_extraction_goes_on_in_parts(spark, monkeypatch):
+    sizes, rows = _passes(spark, monkeypatch, lambda d: rustlex.extract(d, content_col="text"), "/// one\nstruct X;\n/// two\n" * 100, 300)
+    assert len(rows) == 60_000 and max(sizes) <= batches.MOST_ROWS and {r["text"] for r in rows} == {" one", " two"} and max(r["lit_idx"] for r in rows) == 199
+
+
 def test_tokens_go_on_in_parts(spark, monkeypatch):
     sizes, rows = _passes(spark, monkeypatch, lambda d: tokens.tokenize_chunks(d, ("doc_id",), "text"), "isn't a b " * 500, 50)
     assert len(rows) == 75_000 and max(sizes) <= batches.MOST_ROWS and rows[-1] == {"doc_id": 1, "tok_idx": 1499, "start": 4998, "end": 4999, "token": "b"}
