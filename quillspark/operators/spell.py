@@ -33,9 +33,25 @@ def unknown(words: DataFrame, forms: DataFrame, word: str = "word") -> DataFrame
     return met.groupBy(word).agg(F.max("__known").alias("__known")).filter("__known is null").select(word)
 
 
+def is_small(forms: DataFrame) -> bool:
+    """Whether Spark, by its estimate, would broadcast the forms."""
+    state = forms.sparkSession._jsparkSession.sessionState()
+    return int(str(forms._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= state.conf().autoBroadcastJoinThreshold()
+
+
 def misspelled(tokens: DataFrame, forms: DataFrame, word: str = "word", split_chars: str = W.SPLIT_CHARS) -> DataFrame:
-    """The tokens whose word is unknown; single marks are not looked at."""
+    """The tokens whose word is unknown; single marks are not looked at.
+
+    Where the forms are small they go to the tokens, each of whose spellings must meet none of them: tokens are read once
+    and stay where they are. Else the unknown ones of the distinct words go to the tokens, by word.
+    """
     tokens = tokens.filter(~W.is_split_char(F.col(word), split_chars))
+    if is_small(forms):
+        known = forms.select(F.col("form").alias("__form")).distinct()
+        left = tokens.filter(~W.is_ordinal(F.col(word))).withColumn("__keys", lookup_keys(F.col(word)))
+        for k in range(3):
+            left = left.join(F.broadcast(known), F.get("__keys", F.lit(k)) == F.col("__form"), "left_anti")
+        return left.drop("__keys")
     return tokens.join(unknown(tokens, forms, word), word, "left_semi")
 
 

@@ -90,6 +90,21 @@ def test_windows_over_findings_are_dealt_by_document(spark):
         assert "RepartitionByExpression [doc_id" in _plan(registry.queries()[name](spark, SF))
 
 
+def test_places_of_unknown_words_come_from_one_pass(spark, tmp_path):
+    spark.createDataFrame([(1, "Known bad KNOWN 11th bad kNown"), (1, "bad"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("known",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.queries()["misspelled"](spark, str(tmp_path))
+    assert _plan(got).count("MapInArrow") == 1
+    want = [(1, "bad", 3, 0), (1, "kNown", 1, 25)]
+    assert sorted(map(tuple, got.collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # the plan for large lexicons
+        large = registry.queries()["misspelled"](spark, str(tmp_path))
+        assert _plan(large).count("MapInArrow") == 2 and sorted(map(tuple, large.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_detectors_look_up_distinct_words(spark, tmp_path):
     spark.createDataFrame([(1, "known bad bad"), (1, "bad worse"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("known",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
