@@ -180,7 +180,7 @@ def _in_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
     for b in batches:
         rows = []
-        for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for k, text in ((b.column(0)[i].as_py(), b.column(1)[i].as_py()) for i in range(b.num_rows)):
             for no, line in enumerate((text or "").split("\n"), 1):
                 for m in tokens._WORD.finditer(line):
                     if m.end() - m.start() >= 9:

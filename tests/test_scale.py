@@ -90,6 +90,11 @@ def test_windows_over_findings_are_dealt_by_document(spark):
         assert "RepartitionByExpression [doc_id" in _plan(registry.queries()[name](spark, SF))
 
 
+def test_blocks_of_findings_name_each_step_once(spark):
+    df = spark.range(3).select(report.render(F.lit("d"), F.lit("p"), F.lit(1), F.concat(F.lit("x" * 99), F.col("id").cast("string")), F.lit(90), F.lit(95), F.array(F.lit("r")), F.lit(None).cast("string")).alias("b"))
+    assert _plan(df).count("id#") < 40 and {r.b.split(" | ")[1].split("\n")[0][-8:] for r in df.collect()} == {f"xxxxxxx{k}" for k in range(3)}
+
+
 def test_places_of_unknown_words_come_from_one_pass(spark, tmp_path):
     spark.createDataFrame([(1, "Known bad KNOWN 11th bad kNown"), (1, "bad"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("known",)], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
