@@ -55,8 +55,7 @@ _COLS = "doc_id, detector, start_line, start_col, end_line, end_col, word"
 
 @query(f"WITH {_FOUND} SELECT DISTINCT {_COLS} FROM f")
 def findings_union(spark, sf_dir):
-    rows = _found(spark, sf_dir)
-    return findings.union(*[rows.filter(F.col("detector") == x) for x in ("hunspell", "zspell", "nlprules")])
+    return findings.union(_found(spark, sf_dir))
 
 
 @query(f"WITH {_FOUND} SELECT {_COLS}, row_number() OVER (PARTITION BY doc_id ORDER BY start_line, start_col, end_line, end_col, rank)::INT AS nth FROM f")

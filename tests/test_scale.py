@@ -85,6 +85,10 @@ def test_token_counts_take_rows_of_an_id_together(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [(1, 4, 1, want)] and "Generate" not in _plan(got)
 
 
+def test_findings_come_from_one_pass(spark):
+    assert _plan(registry.queries()["findings_union"](spark, SF)).count("MapInArrow") == 1
+
+
 def test_windows_over_findings_are_dealt_by_document(spark):
     for name in ("overlap_filtered", "findings_sorted"):
         assert "RepartitionByExpression [doc_id" in _plan(registry.queries()[name](spark, SF))
