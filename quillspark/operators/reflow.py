@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import comments
 from . import cmark
+from .batches import in_parts
 from .chunks import Placed
 
 WIDTH = 80
@@ -92,18 +94,12 @@ def reflow_text(text: str, width: int, prefix: str = "", suffix: str = "", inden
 
 def reflow(chunks: DataFrame, width: int = WIDTH, keys: tuple[str, ...] = ("origin_id", "chunk_idx"), text_col: str = "text") -> DataFrame:
     """keys, start, end, replacement for each paragraph of plain Markdown that wrapping changes."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.select(*keys).schema.fields) + ", start int, end int, replacement string"
+    own = chunks.select(*keys).schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.fields) + ", start int, end int, replacement string"
+    kinds = pa.schema([*to_arrow_schema(own), ("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, at = [], []
-            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                for r in reflow_text(text or "", width):
-                    rows.append(r)
-                    at.append(k)
-            columns = [b.column(k).take(pa.array(at, pa.int64())) for k in range(len(keys))]
-            columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "start", "end", "replacement"])
+        return in_parts(batches, len(keys), lambda text: reflow_text(text or "", width), kinds)
 
     return chunks.select(*keys, text_col).mapInArrow(run, schema)
 
@@ -115,21 +111,17 @@ def reflow_chunks(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     of a comment after its first carry their indentation and the comment's marks.
     """
     schema = "origin_id string, chunk_idx int, start int, end int, start_line int, start_col int, end_line int, end_col int, replacement string"
-    kinds = [pa.int32()] * 6 + [pa.string()]
+    kinds = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in schema.split(", ")])
+
+    def of(text: str, v: dict, mapping: list[dict], delimiter: str | None) -> Iterator[tuple]:
+        placed = Placed(text, mapping)
+        blank = 1 if v["tag"] in ("TripleSlash", "DoubleSlashEM") else 0
+        prefix, suffix = comments.marks(v["tag"], v["doc_prefix"], v["hashes"])
+        for s, e, new in reflow_text(text, width, prefix, suffix, delimiter=delimiter or "\n", offsets=lambda s, e: placed.columns(s, e, blank)):
+            yield s, e, *placed.place(s), *placed.place(e - 1), new
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, at = [], []
-            for k, (text, v, mapping, delimiter) in enumerate(zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)):
-                placed = Placed(text, mapping)
-                blank = 1 if v["tag"] in ("TripleSlash", "DoubleSlashEM") else 0
-                prefix, suffix = comments.marks(v["tag"], v["doc_prefix"], v["hashes"])
-                for s, e, new in reflow_text(text, width, prefix, suffix, delimiter=delimiter or "\n", offsets=lambda s, e: placed.columns(s, e, blank)):  # noqa: B023
-                    rows.append((s, e, *placed.place(s), *placed.place(e - 1), new))
-                    at.append(k)
-            columns = [b.column(k).take(pa.array(at, pa.int64())) for k in range(2)]
-            columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+        return in_parts(batches, 2, of, kinds)
 
     rows = chunks.filter(~F.col("variant.tag").isin(*SKIPPED) & (F.size("source_mapping") > 0))
     return rows.select("origin_id", F.col("chunk_idx").cast("int"), "text", "variant", "source_mapping", "delimiter").mapInArrow(run, schema)

@@ -85,6 +85,14 @@ def test_token_counts_take_rows_of_an_id_together(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [(1, 4, 1, want)] and "Generate" not in _plan(got)
 
 
+def test_wrapped_comments_go_on_in_parts(spark, monkeypatch):
+    literals = lambda d: chunks.chunks(rustlex.extract(d, content_col="text")).withColumn("delimiter", F.lit(None).cast("string"))
+    rows = literals(spark.createDataFrame([("1", "/// " + "words go on " * 2000)], "origin_id string, text string")).collect()
+    schema = literals(spark.createDataFrame([], "origin_id string, text string")).schema
+    sizes, got = _passes(spark, monkeypatch, lambda _: reflow.reflow_chunks(spark.createDataFrame(rows, schema)), "", 120)
+    assert len(got) == 120 and max(sizes) < 120
+
+
 def test_findings_come_from_one_pass(spark):
     assert _plan(registry.queries()["findings_union"](spark, SF)).count("MapInArrow") == 1
 
