@@ -85,6 +85,12 @@ def test_token_counts_take_rows_of_an_id_together(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [(1, 4, 1, want)] and "Generate" not in _plan(got)
 
 
+def test_wrapped_paragraphs_go_on_in_parts(spark, monkeypatch):
+    text = "some words that go on\nand on " * 400
+    sizes, rows = _passes(spark, monkeypatch, lambda d: reflow.reflow(d, 40, ("doc_id",)), text, 200)
+    assert len(rows) == 200 and max(sizes) < 200 and rows[0]["start"] == 0
+
+
 def test_wrapped_comments_go_on_in_parts(spark, monkeypatch):
     literals = lambda d: chunks.chunks(rustlex.extract(d, content_col="text")).withColumn("delimiter", F.lit(None).cast("string"))
     rows = literals(spark.createDataFrame([("1", "/// " + "words go on " * 2000)], "origin_id string, text string")).collect()
