@@ -37,7 +37,7 @@ f AS (SELECT doc_id, 'hunspell' AS detector, 1 AS rank, line_no AS start_line, c
 
 
 def _found(spark, sf_dir):
-    both = placed_words(spark, sf_dir).filter(F.char_length("word") >= 9)
+    both = placed_words(spark, sf_dir, 9)
     n = F.char_length("word")
     kinds = F.array(F.struct(F.lit("hunspell").alias("detector"), F.lit(0).alias("shift")), F.when(n == 10, F.struct(F.lit("zspell").alias("detector"), F.lit(0).alias("shift"))), F.when(n >= 11, F.struct(F.lit("nlprules").alias("detector"), F.lit(2).alias("shift"))))
     out = both.withColumn("k", F.explode(F.filter(kinds, lambda x: x.isNotNull())))
@@ -62,7 +62,7 @@ def findings_union(spark, sf_dir):
 def findings_sorted(spark, sf_dir):
     from pyspark.sql import Window
 
-    rows = _found(spark, sf_dir).withColumn("replacements", F.array().cast("array<string>"))
+    rows = _dealt_found(spark, sf_dir).withColumn("replacements", F.array().cast("array<string>"))
     w = Window.partitionBy("doc_id").orderBy(*findings.in_order("doc_id")[1:])
     return rows.withColumn("nth", F.row_number().over(w)).drop("replacements")
 
@@ -96,7 +96,7 @@ def reflow_paragraphs(spark, sf_dir):
 
 @query(f"WITH {D} SELECT doc_id, md5(regexp_replace(text, '([\\p{{L}}\\p{{M}}\\p{{N}}_]{{10,}})', '<\\1>', 'g')) AS text_md5 FROM d")
 def patches_apply(spark, sf_dir):
-    rows = placed_words(spark, sf_dir).filter(F.char_length("word") >= 10)
+    rows = placed_words(spark, sf_dir, 10)
     patches = rows.select("doc_id", F.col("start_off").alias("start"), (F.col("start_off") + F.char_length("word")).alias("end"), F.concat(F.lit("<"), "word", F.lit(">")).alias("content"))
     return patch.apply(docs(spark, sf_dir), patches).select("doc_id", F.md5("text").alias("text_md5"))
 

@@ -41,8 +41,8 @@ def word_rows(spark, sf_dir):
     return tokens.word_table(docs(spark, sf_dir))
 
 
-def placed_words(spark, sf_dir):
-    return tokens.word_table(docs(spark, sf_dir), places=True)
+def placed_words(spark, sf_dir, least=1):
+    return tokens.word_table(docs(spark, sf_dir), places=True, least=least)
 
 
 def forms(spark, sf_dir):

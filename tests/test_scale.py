@@ -99,6 +99,12 @@ def test_wrapped_comments_go_on_in_parts(spark, monkeypatch):
     assert len(got) == 120 and max(sizes) < 120
 
 
+def test_places_of_words_are_found_a_part_of_a_text_at_a_time(spark, monkeypatch):
+    sizes, rows = _passes(spark, monkeypatch, lambda d: tokens.word_table(d, places=True, least=4), "long and\nlonger " * 30_000, 2)
+    assert max(sizes) <= 2 * batches.MOST_ROWS and len(rows) == 120_000
+    assert rows[0] == {"doc_id": 1, "tok_idx": 0, "word": "long", "start_off": 0, "line_no": 1, "col": 0} and rows[-1]["tok_idx"] == 89_999 and rows[-1]["line_no"] == 30_001
+
+
 def test_findings_come_from_one_pass(spark):
     assert _plan(registry.queries()["findings_union"](spark, SF)).count("MapInArrow") == 1
 
